@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.llm.common import Scratch, components, mix64, read_table, runs, shingles, text_key, texts_of
@@ -165,6 +165,10 @@ def _verifier(threshold: float, words: int):
     return verify
 
 
+def _own_id(text: Column) -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) - F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)))
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """Links between texts whose sets of word n-grams have a Jaccard similarity of at least the threshold.
 
@@ -180,11 +184,28 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     those that two texts share are joined, each text to the least of its bucket: a star, never all pairs. Stars chain into
     candidate groups, and each group's sets are compared in blocks of bounded size, with exact intersections.
     """
+    return _linked(docs, threshold, words, rows, recall).select(
+        F.when(F.col("id") > NO_ID, F.col("id")).alias("doc_id"), F.col("group").alias("class_id"), "n_links", "copy_id", "n_copies", (F.col("id") == F.col("group")).alias("kept")
+    )
+
+
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """The rows of docs that jaccard_join keeps, with all their columns; of equal rows (doc_id and text) one."""
+    kept = _linked(docs, threshold, words, rows, recall).where("id = group").select(F.col("id").alias("_id"), F.col("key_a").alias("_a"), F.col("key_b").alias("_b"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = [k.alias(n) for k, n in zip(text_key(text), ("_a", "_b"), strict=True)]
+    out = docs.select("*", _own_id(text).alias("_id"), *keys).join(kept.distinct(), ["_id", "_a", "_b"], "left_semi")
+    if kept.groupBy("_id", "_a", "_b").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_id", "_a", "_b"])
+    return out.select(*docs.columns)
+
+
+def _linked(docs: DataFrame, threshold: float, words: int, rows: int, recall: float) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     bands = bands_for(threshold, rows, recall)
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) - F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)))
+    own = _own_id(text)
     keyed = docs.select(own.alias("id"), *text_key(text), text.alias("text"))
     signed = scratch.save(keyed.mapInArrow(_signer(bands, rows, words), "id long, key_a long, key_b long, grams long, bands array<long>"), "signed")
     worded = signed.where("grams > 0")
@@ -217,11 +238,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
         .select("key_a", "key_b", "n_copies", F.col("class_id").alias("copy_id"), (F.coalesce("n", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("group")), "table"
     )
     every = signed.select("id", "key_a", "key_b", "grams")
-    out = every.where("grams > 0").join(table, ["key_a", "key_b"]).select("id", "group", "n_links", "copy_id", "n_copies")
-    blank = every.where("grams = 0").select("id", F.col("id").alias("group"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"))
-    return out.unionByName(blank).select(
-        F.when(F.col("id") > NO_ID, F.col("id")).alias("doc_id"), F.col("group").alias("class_id"), "n_links", "copy_id", "n_copies", (F.col("id") == F.col("group")).alias("kept")
-    )
+    out = every.where("grams > 0").join(table, ["key_a", "key_b"]).select("id", "key_a", "key_b", "group", "n_links", "copy_id", "n_copies")
+    blank = every.where("grams = 0").select("id", "key_a", "key_b", F.col("id").alias("group"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"))
+    return out.unionByName(blank)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
