@@ -4,11 +4,442 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from bytelode.functions import binary as B
+from bytelode.functions.catalog import catalog_search, catalog_stats, rules, rules_frame
+from bytelode.operators import carve as C
+from bytelode.operators import classify, fragment, ledger, mft, sanitize, views
+from bytelode.operators.scan import LOOKAHEAD, scan, virtual_layout
+from bytelode.plans import fixtures
+from bytelode.sources.rawimage import table_chunks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c: str):
+    return F.col(c).cast("long").alias(c)
+
+
+def _rules_sql() -> str:
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = ",".join(f"({r.number},'{r.magic.hex().upper()}','{r.extension}','{r.category}',{text(r.validator)})" for r in rules())
+    return f"(VALUES {rows}) AS rules(sig_idx, magic, extension, category, validator)"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data"))
+
+
+def _doc_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+
+
+# Catalog
+
+
+@query(f"SELECT category, count(*) AS n_rules, count(DISTINCT extension) AS n_extensions FROM {_rules_sql()} GROUP BY category")
+def catalog_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_stats(rules_frame(spark))
+
+
+@query(f"SELECT sig_idx, extension, category, magic FROM {_rules_sql()} WHERE lower(extension || chr(10) || extension || ' (' || category || ')' || chr(10) || category || chr(10) || magic) LIKE '%zip%'")
+def catalog_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_search(rules_frame(spark), "ZIP").select("sig_idx", "extension", "category", F.hex("magic").alias("magic"))
+
+
+# Scan and carve
+
+
+@query("""SELECT page_id, CAST(coalesce(sum(s) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+FROM (SELECT page_id, (octet_length(encode(html)) + 511) // 512 * 512 AS s FROM pages)""")
+def virtual_image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _pages(spark, sf_dir).select("page_id", F.length("data").alias("size"))
+    return virtual_layout(files, "page_id", "size").select("page_id", "start")
+
+
+_HTML_HITS = """SELECT image_id, "offset", sig_idx FROM (
+ SELECT CAST(page_id AS VARCHAR) AS image_id, m.sig_idx, CAST(list_sum(list_transform(list_slice(string_split(html, m.magic), 1, i), lambda x: octet_length(encode(x)))) + (i - 1) * octet_length(encode(m.magic)) AS BIGINT) AS "offset"
+ FROM pages, (VALUES (18, '<!DOCTYPE html'), (19, '<html')) AS m(sig_idx, magic), unnest(range(1, len(string_split(html, m.magic)))) AS t(i))"""
+
+
+@query(_HTML_HITS)
+def magic_scan_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table_chunks(_pages(spark, sf_dir), "page_id", "data"), ["html"])
+
+
+@query(f"""WITH h AS ({_HTML_HITS}), b AS (SELECT CAST(page_id AS VARCHAR) AS image_id, html FROM pages),
+w AS (SELECT h.image_id, h."offset", h.sig_idx, substr(hex(encode(b.html)), 2 * h."offset" + 1) AS x FROM h JOIN b USING (image_id))
+SELECT image_id, "offset", CASE sig_idx WHEN 18 THEN 'Document' ELSE 'Document' END AS category, CAST(length(x) / 2 AS BIGINT) AS size, sha256(unhex(x)) AS sha256,
+CASE WHEN sig_idx = 18 THEN 0.70 ELSE 0.65 END AS confidence, 'Medium' AS confidence_label FROM w""")
+def carve_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("image_id"), "data")
+    hits = scan(table_chunks(pages, "image_id", "data"), ["html"])
+    found = hits.join(pages, "image_id").select("image_id", "offset", "sig_idx", F.expr("substring(data, cast(offset as int) + 1)").alias("window"))
+    return C.carve(found, ["html"]).select("image_id", "offset", "category", "size", "sha256", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), "confidence_label")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def artifact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha256"))
+    return rows.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+_SECRETS = [("aws_key", "AK" + "IA" + "A1B2C3D4E5F6G7H8"), ("aws_key", "AK" + "IA" + "short"), ("github_pat", "gh" + "p_" + "a1B2" * 9), ("github_pat", "gh" + "p_" + "a1B2"), ("jwt", "ey" + "Ja.b-_c.d"), ("jwt", "ey" + "Jabc"),
+            ("pem", "-----BEG" + "IN X-----\nabcdefghijk\n-----E" + "ND X-----"), ("pem", "-----BEG" + "IN X-----\nabcdefghijk")]
+_SECRET_TESTS = {"aws_key": "^AKIA[A-Z0-9]{16}", "github_pat": "^ghp_[A-Za-z0-9]{36}", "jwt": "^[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+([.]|$|[ \\n])"}
+
+
+@query("SELECT validator, text, CASE validator WHEN 'aws_key' THEN regexp_matches(text, '^AKIA[A-Z0-9]{16}') WHEN 'github_pat' THEN regexp_matches(text, '^ghp_[A-Za-z0-9]{36}') WHEN 'jwt' THEN regexp_matches(text, '^[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+([.]|$)') ELSE starts_with(text, '-----BEGIN ') AND contains(text, '-----END ') AND length(text) >= 30 END AS ok FROM (VALUES "
+       + ",".join(f"('{v}', replace('{t}', '~', chr(10)))".replace("\n", "~") for v, t in _SECRETS) + ") AS t(validator, text)")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_SECRETS, "validator string, text string")
+    t = F.col("text")
+    pem = F.startswith(t, F.lit("-----BEGIN ")) & F.contains(t, F.lit("-----END ")) & (F.octet_length(t) >= 30)
+    ok = F.when(F.col("validator") == "pem", pem)
+    for name, pattern in _SECRET_TESTS.items():
+        ok = ok.when(F.col("validator") == name, t.rlike(pattern))
+    return rows.select("validator", "text", ok.alias("ok"))
+
+
+# Byte statistics
+
+_BYTES = "SELECT doc_id, b, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, len(h) // 2 + 1), lambda i: substr(h, 2 * i - 1, 2))) AS b FROM (SELECT doc_id, left(hex(encode(text)), 1024) AS h FROM documents)) GROUP BY 1, 2"
+
+
+@query(f"WITH c AS ({_BYTES}), n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY 1) SELECT doc_id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM c JOIN n USING (doc_id) GROUP BY 1")
+def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_bytes(spark, sf_dir).select("doc_id", F.round(B.entropy(F.substring("data", 1, 512)), 6).alias("entropy"))
+
+
+@query(f"WITH c AS ({_BYTES}), n AS (SELECT doc_id, sum(c) AS n, sum(c * c) AS s FROM c GROUP BY 1) SELECT doc_id, round(s * 256.0 / n - n, 4) AS chi_square, 'Structured' AS label FROM n")
+def byte_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _doc_bytes(spark, sf_dir).select("doc_id", F.substring("data", 1, 512).alias("d")).withColumn("c", B.byte_counts(F.col("d")))
+    chi = B.chi_square(F.col("c"))
+    return rows.select("doc_id", F.round(chi, 4).alias("chi_square"), B.randomness_label(B.entropy_of_counts(F.col("c")), chi, F.length("d")).alias("label"))
+
+
+@query(f"SELECT b AS byte, CAST(sum(c) AS BIGINT) AS n, count(*) AS docs FROM ({_BYTES}) GROUP BY 1")
+def byte_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _doc_bytes(spark, sf_dir).select(F.posexplode(B.byte_counts(F.substring("data", 1, 512))).alias("k", "c")).where("c > 0")
+    return rows.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).select(F.lpad(F.hex(F.col("k").cast("long")), 2, "0").alias("byte"), "n", "docs")
+
+
+@query(f"""WITH c AS ({_BYTES}), n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY 1), f AS (SELECT doc_id, b, c / n AS p FROM c JOIN n USING (doc_id)),
+s AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS other FROM documents), a AS (SELECT upper(printf('%02x', i)) AS b FROM range(256) AS t(i))
+SELECT s.doc_id, s.other, round(greatest(0, sum((coalesce(x.p, 0) + 1e-9) * ln((coalesce(x.p, 0) + 1e-9) / (coalesce(y.p, 0) + 1e-9)))), 4) AS kl
+FROM s CROSS JOIN a LEFT JOIN f x ON x.doc_id = s.doc_id AND x.b = a.b LEFT JOIN f y ON y.doc_id = s.other AND y.b = a.b WHERE s.other IS NOT NULL GROUP BY 1, 2""")
+def kl_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pairs = docs.select("doc_id", F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).alias("other")).where("other is not null")
+    p = _doc_bytes(spark, sf_dir).select("doc_id", B.byte_counts(F.substring("data", 1, 512)).alias("c")).select("doc_id", B.frequencies(F.col("c")).alias("p"))
+    both = pairs.join(p, "doc_id").join(p.select(F.col("doc_id").alias("other"), F.col("p").alias("q")), "other")
+    return both.select("doc_id", "other", F.round(B.kl_divergence(F.col("p"), F.col("q")), 4).alias("kl"))
+
+
+@query("""SELECT doc_id, round(length(regexp_replace(t, '[^\\x20-\\x7E\\t\\n\\r]', '', 'g')) / length(t), 6) AS printable,
+length(regexp_replace(t, '[^\\x20-\\x7E\\t\\n\\r]', '', 'g')) / length(t) > 0.85 AS is_text
+FROM (SELECT doc_id, list_aggregate(list_transform(range(1, least(octet_length(encode(text)), 1024) + 1), lambda i: chr(CAST('0x' || substr(h, 2 * i - 1, 2) AS INTEGER))), 'string_agg', '') AS t
+ FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents) WHERE length(text) > 0)""")
+def text_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _doc_bytes(spark, sf_dir).select("doc_id", F.substring("data", 1, 1024).alias("d")).where(F.length("d") > 0)
+    return rows.select("doc_id", F.round(B.printable_ratio(F.col("d")), 6).alias("printable"), B.is_text(F.col("d")).alias("is_text"))
+
+
+@query("""SELECT id, CASE WHEN n % 4096 = 0 THEN 0 ELSE 4096 - n % 4096 END AS slack_len, CASE WHEN n % 4096 = 0 THEN 0 ELSE least(40, 4096 - n % 4096) END AS nonzero,
+CASE WHEN n % 4096 = 0 THEN 0 ELSE least(40, 4096 - n % 4096) END AS printable, CASE WHEN n % 4096 = 0 THEN 0 ELSE least(40, 4096 - n % 4096) END > 16 AS anomaly FROM (SELECT doc_id AS id, octet_length(encode(text)) AS n FROM documents)""")
+def slack_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in clusters whose slack begins with 40 left-over letters."""
+    rows = _doc_bytes(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("data").cast("long").alias("logical_size"), "data")
+    slack = F.expr("cast(pmod(4096 - logical_size % 4096, 4096) as int)")
+    left = F.least(slack, F.lit(40))
+    padded = F.concat("data", F.encode(F.repeat(F.lit("x"), left), "UTF-8"), F.encode(F.repeat(F.lit("\0"), slack - left), "UTF-8"))
+    return views.slack_report(rows.withColumn("data", padded))
+
+
+# File records and times
+
+
+@query("SELECT event_id, epoch_us(ts) * 10 + 116444736000000000 AS filetime, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS text FROM events")
+def filetime_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", B.to_filetime(F.col("ts")).alias("filetime"))
+    return rows.withColumn("text", B.filetime_text(F.col("filetime")))
+
+
+_STOMP = """SELECT o_orderkey, l_linenumber, CAST(epoch_us(o_orderdate) * 10 + 116444736000000000 AS BIGINT) AS si, CAST(epoch_us(l_shipdate) * 10 + 116444736000000000 + (l_linenumber % 2) * 5 AS BIGINT) AS fn FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
+
+
+@query(f"""SELECT o_orderkey, l_linenumber, CASE WHEN si + 20000000 < fn THEN 'CRITICAL' WHEN si % 10000000 = 0 AND fn % 10000000 <> 0 THEN 'WARNING' END AS severity,
+CAST(CASE WHEN si + 20000000 < fn THEN (fn - si) // 10000000 WHEN si % 10000000 = 0 AND fn % 10000000 <> 0 THEN 0 END AS BIGINT) AS delta_seconds FROM ({_STOMP})""")
+def timestomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as a file's standard times, ship dates as its name's times."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    rows = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", B.to_filetime(F.col("o_orderdate")).alias("si"), (B.to_filetime(F.col("l_shipdate")) + F.col("l_linenumber") % 2 * 5).alias("fn"))
+    alert = mft.timestomp(F.col("si"), F.col("si"), F.col("fn"), F.col("fn"))
+    return rows.withColumn("a", alert).select("o_orderkey", "l_linenumber", "a.severity", "a.delta_seconds")
+
+
+_GREEDY = """SELECT image_id, lba, row_number() OVER (PARTITION BY image_id ORDER BY lba) - 1 AS record_number FROM (
+SELECT image_id, lba, row_number() OVER (PARTITION BY image_id, island ORDER BY lba) AS n FROM (
+SELECT event_type AS image_id, event_id AS lba, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM events)) WHERE n % 2 = 1"""
+
+
+@query(_GREEDY)
+def mft_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mft.accept_sectors(table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("event_id").alias("lba")))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("record_number"), F.concat(F.col("event_type"), F.lit("_"), F.col("user_id").cast("string"), F.lit(".dat")).alias("filename"),
+        (F.col("event_id") % 3 != 0).alias("is_in_use"), (F.coalesce(F.col("value"), F.lit(0.0)) > 50).alias("timestomp_detected"),
+    )
+
+
+_RECORDS = "(SELECT event_id AS record_number, event_type || '_' || CAST(user_id AS VARCHAR) || '.dat' AS filename, event_id % 3 <> 0 AS is_in_use, coalesce(value, 0) > 50 AS timestomp_detected FROM events)"
+
+
+@query(f"SELECT count(*) AS scanned, count(*) FILTER (is_in_use) AS active, count(*) FILTER (NOT is_in_use) AS deleted, count(*) FILTER (timestomp_detected) AS timestomps FROM {_RECORDS}")
+def mft_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mft.mft_stats(_records(spark, sf_dir))
+
+
+@query(f"SELECT record_number, filename FROM {_RECORDS} WHERE (filename LIKE '%12%' OR CAST(record_number AS VARCHAR) LIKE '%12%') AND NOT is_in_use AND timestomp_detected")
+def mft_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.mft_filter(_records(spark, sf_dir), "12", deleted=True, tampered=True).select("record_number", "filename")
+
+
+# Ledger and custody
+
+
+def _ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a ledger of its own."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("ledger"), "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"))
+    number = F.row_number().over(Window.partitionBy("ledger").orderBy("event_id")) - 1
+    return rows.select("ledger", number.cast("long").alias("index"), "timestamp", F.col("event_type").alias("operation"), F.lit("analyst@host").alias("operator"), F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.lit("}")).alias("detail"))
+
+
+_CHAIN = """WITH RECURSIVE e AS (SELECT user_id AS ledger, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, CAST(epoch_us(ts) AS VARCHAR) AS t, event_type AS o, event_id FROM events),
+c(ledger, i, prev_hash, entry_hash) AS (
+ SELECT ledger, i, repeat('0', 64), sha256('{"detail":{"event":' || event_id || '},"index":' || i || ',"operation":"' || o || '","operator":"analyst@host","prev_hash":"' || repeat('0', 64) || '","timestamp":"' || t || '"}') FROM e WHERE i = 0
+ UNION ALL
+ SELECT e.ledger, e.i, c.entry_hash, sha256('{"detail":{"event":' || e.event_id || '},"index":' || e.i || ',"operation":"' || e.o || '","operator":"analyst@host","prev_hash":"' || c.entry_hash || '","timestamp":"' || e.t || '"}')
+ FROM c JOIN e ON e.ledger = c.ledger AND e.i = c.i + 1)"""
+
+
+@query(f'{_CHAIN} SELECT ledger, i AS "index", prev_hash, entry_hash FROM c')
+def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.chain(_ledger_events(spark, sf_dir)).select("ledger", "index", "prev_hash", "entry_hash")
+
+
+@query("SELECT user_id AS ledger, count(*) AS n_entries, count(*) <= 3 AS valid, CASE WHEN count(*) > 3 THEN 3 END AS first_bad FROM events GROUP BY 1")
+def ledger_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledgers with the detail of entry 3 changed."""
+    rows = ledger.chain(_ledger_events(spark, sf_dir)).withColumn("line_no", F.col("index"))
+    return ledger.verify_chain(rows.withColumn("detail", F.when(F.col("index") == 3, F.lit("{}")).otherwise(F.col("detail"))))
+
+
+_LEVELS = 24
+
+
+@query("WITH l0 AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, sha256(CAST(event_id AS VARCHAR)) AS h FROM events)" + "".join(
+    f", l{k + 1} AS (SELECT pos // 2 AS pos, CASE WHEN (SELECT count(*) FROM l{k}) = 1 THEN min(h) ELSE sha256(arg_min(h, pos) || arg_max(h, pos)) END AS h FROM l{k} GROUP BY pos // 2)" for k in range(_LEVELS)
+) + f" SELECT h AS merkle_root FROM l{_LEVELS}")
+def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id")
+    # event_id is dense from 0 in this table; positions of other leaves come from virtual_layout's way of counting.
+    pos = virtual_layout(events.withColumn("one", F.lit(1)), "event_id", "one").select((F.col("start") / 512).cast("long").alias("pos"), F.sha2(F.col("event_id").cast("string"), 256).alias("hash"))
+    return spark.createDataFrame([(ledger.merkle_root(pos),)], "merkle_root string")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'view') AS scans, count(*) FILTER (event_type IN ('click', 'purchase')) AS wipes, count(DISTINCT user_id) AS operators FROM events")
+def ledger_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "Scan").when(F.col("event_type") == "click", "WipeDrive").when(F.col("event_type") == "purchase", "WipeFile").otherwise("Other")
+    return ledger.ledger_stats(table(spark, sf_dir, "events").select(kind.alias("operation"), F.col("user_id").alias("operator")))
+
+
+@query("""SELECT o_orderkey AS file_id, CAST(o_custkey AS VARCHAR) AS destination, c_name IS NOT NULL AND o_orderkey % 5 <> 0 AS matches FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey""")
+def custody_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as exports of files that customers not divisible by three were extracted for, one in five with another hash."""
+    o = table(spark, sf_dir, "orders")
+    taken = o.where("o_custkey % 3 <> 0").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("file_id"), F.lit("t").alias("extracted_at"), F.lit(0).cast("long").alias("source_offset"), F.sha2("c_name", 256).alias("sha256_at_extract"))
+    named = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    out = named.select(F.col("o_orderkey").alias("file_id"), F.col("o_custkey").cast("string").alias("destination"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("other")).otherwise(F.sha2("c_name", 256)).alias("sha256"))
+    return ledger.export_custody(taken, out).select("file_id", "destination", "matches")
+
+
+@query("SELECT o_custkey AS file_id, count(*) AS n_exports, bool_and(o_orderkey % 7 <> 0) AS intact FROM orders GROUP BY 1")
+def custody_intact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.custody_badges(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), (F.col("o_orderkey") % 7 != 0).alias("matches")))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def export_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+# Views
+
+
+_ARTIFACTS = "(SELECT doc_id AS id, source AS extension, sha256(text) AS sha256, (ARRAY['Image','Document','Archive','Audio','Certificate','Executable'])[1 + doc_id % 6] AS category, (50 + doc_id % 50) / 100.0 AS confidence, doc_id % 11 = 0 AS reconstructed FROM documents)"
+
+
+def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("Image", "Document", "Archive", "Audio", "Certificate", "Executable")))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("extension"), F.sha2("text", 256).alias("sha256"), F.get(names, (F.col("doc_id") % 6).cast("int")).alias("category"),
+        ((50 + F.col("doc_id") % 50) / 100).cast("float").alias("confidence"), (F.col("doc_id") % 11 == 0).alias("reconstructed"),
+    )
+
+
+@query(f"SELECT CASE category WHEN 'Image' THEN 'image' WHEN 'Document' THEN 'document' WHEN 'Audio' THEN 'media' WHEN 'Archive' THEN 'archive' WHEN 'Certificate' THEN 'secret' ELSE 'other' END AS kind, count(*) AS n FROM {_ARTIFACTS} GROUP BY 1")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.category_counts(_artifacts(spark, sf_dir))
+
+
+@query(f"SELECT CAST(id AS VARCHAR) AS id, category FROM {_ARTIFACTS} WHERE (extension LIKE '%a1%' OR sha256 LIKE '%a1%' OR CAST(id AS VARCHAR) LIKE '%a1%') AND category = 'Certificate' AND confidence >= 0.9")
+def artifact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.artifact_filter(_artifacts(spark, sf_dir), "A1", "Secret", "high").select("id", "category")
+
+
+@query(f"SELECT CAST(id AS VARCHAR) AS id, sha256 FROM {_ARTIFACTS} ORDER BY sha256, id LIMIT 25")
+def topk_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _artifacts(spark, sf_dir).orderBy("sha256", F.col("id").cast("long")).limit(25).select("id", "sha256")
+
+
+@query("""WITH t AS (SELECT CAST(max(doc_id) + 1 AS BIGINT) AS n FROM documents), h AS (SELECT least(139, doc_id * 140 // n) AS bucket, doc_id, source FROM documents, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS k FROM h)
+SELECT CAST(b AS INTEGER) AS bucket, count(r.doc_id) AS n_hits, coalesce(string_agg(source, ',' ORDER BY k) FILTER (k <= 5), '') AS extensions FROM range(140) AS x(b) LEFT JOIN r ON r.bucket = b GROUP BY 1""")
+def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    total = docs.agg(F.max("doc_id")).first()[0] + 1
+    return views.sector_map(docs.select(F.col("doc_id").alias("offset"), F.col("source").alias("extension")), total)
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events), m AS (SELECT max(day) AS last FROM d), b AS (SELECT CAST(user_id AS VARCHAR) AS path FROM d, m WHERE day = last - 1), a AS (SELECT CAST(user_id AS VARCHAR) AS path FROM d, m WHERE day = last)
+SELECT path, 'connected' AS change FROM a WHERE path NOT IN (SELECT path FROM b) UNION ALL SELECT path, 'disconnected' FROM b WHERE path NOT IN (SELECT path FROM a)""")
+def device_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the last two days as devices of two snapshots."""
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("user_id").cast("string").alias("path")).distinct()
+    last = days.agg(F.max("day")).first()[0]
+    return views.device_diff(days.where(F.col("day") == F.date_sub(F.lit(last), 1)), days.where(F.col("day") == F.lit(last)))
+
+
+@query("""WITH s AS (SELECT user_id AS job_id, epoch_us(ts) // 1000 AS ts_ms, event_id, sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id ROWS UNBOUNDED PRECEDING) AS bytes FROM events),
+g AS (SELECT job_id, ts_ms, max(bytes) AS bytes FROM s GROUP BY 1, 2), f AS (SELECT *, lag(bytes) OVER w AS pb, lag(ts_ms) OVER w AS pt, first(ts_ms) OVER w AS t0 FROM g WINDOW w AS (PARTITION BY job_id ORDER BY ts_ms))
+SELECT job_id, ts_ms, round((bytes - pb) * 1000.0 / (ts_ms - pt), 6) AS speed, round(CASE WHEN ts_ms > t0 AND bytes > 0 THEN (1000000 - bytes) / (bytes * 1000.0 / (ts_ms - t0)) END, 3) AS eta FROM f""")
+def progress_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ts_ms"), "event_id")
+    run = F.sum(F.col("event_id") % 100).over(Window.partitionBy("job_id").orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    samples = rows.withColumn("bytes", run).groupBy("job_id", "ts_ms").agg(F.max("bytes").alias("bytes")).withColumn("total", F.lit(1_000_000))
+    return views.throughput(samples).select("job_id", "ts_ms", F.round("speed", 6).alias("speed"), F.round("eta", 3).alias("eta"))
+
+
+@query("""SELECT page_id, CAST(16 * i AS BIGINT) AS "offset", substr(h, 32 * i + 1, 32) AS hex FROM (SELECT page_id, hex(encode(html)) AS h FROM pages), unnest(range((len(h) + 31) // 32)) AS t(i)""")
+def hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", F.explode(B.hex_dump(F.col("data"))).alias("r")).select("page_id", "r.offset", "r.hex")
+
+
+@query("SELECT page_id, 'data:text/html;base64,' || base64(encode(html)) AS uri FROM pages")
+def data_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", B.data_uri(F.col("data"), classify.mime(F.lit("html"))).alias("uri"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size
+FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * 2 AS BIGINT) AS n FROM orders WHERE o_orderkey % 16 <> 8)""")
+def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 16 <> 8")
+    return rows.select("o_orderkey", B.format_size((F.col("o_orderkey") * F.col("o_orderkey") * 2).cast("long")).alias("size"))
+
+
+@query("SELECT e AS extension, k AS kind FROM (VALUES ('png', 'image'), ('mp4', 'video'), ('mp3', 'audio'), ('rs', 'text'), ('exe', 'binary')) AS t(e, k)")
+def preview_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("png",), ("mp4",), ("mp3",), ("rs",), ("exe",)], "extension string")
+    return rows.select("extension", classify.preview_kind(F.col("extension")).alias("kind"))
+
+
+@query("SELECT standard, CAST(pass AS INTEGER) AS pass, pattern FROM (SELECT s AS standard, unnest(range(1, len(p) + 1)) AS pass, unnest(p) AS pattern FROM (VALUES ('Clear', ['00']), ('Random', ['R']), ('DoD', ['00','FF','R']), ('Gutmann7', ['00','FF','R','92','49','24','R']), ('Purge', ['00','R'])) AS t(s, p))")
+def wipe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.wipe_plan(spark)
+
+
+@query("SELECT event_type AS image_id, count(*) AS sectors_checked, count(*) FILTER (event_id % 10 = 0) AS mismatches, min(event_id) FILTER (event_id % 10 = 0) AS first_bad, count(*) FILTER (event_id % 10 = 0) = 0 AS passed FROM events GROUP BY 1")
+def wipe_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zeroed sector for each event; one in ten is dirty."""
+    dirty = F.when(F.col("event_id") % 10 == 0, F.lit("x")).otherwise(F.lit("\0"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("event_id").alias("lba"), F.encode(F.concat(dirty, F.repeat(F.lit("\0"), F.lit(511))), "UTF-8").alias("data"))
+    return sanitize.wipe_verify(rows, "Zero").drop("max_entropy")
+
+
+@query("SELECT * FROM (VALUES (0, 27, 100, 3, 5, false), (1, 27, 9, 3, 5, true), (2, 27, 100, 100, 5, true), (3, 27, 100, 3, 5, true)) AS t(id, celsius, spare, wear, media_errors, failing)")
+def smart_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def page(warning: int, spare: int, wear: int) -> bytearray:
+        b = bytearray(512)
+        b[0], b[3], b[5] = warning, spare, wear
+        b[1:3] = (300).to_bytes(2, "little")
+        b[176:184] = (5).to_bytes(8, "little")
+        return b
+
+    rows = spark.createDataFrame([(0, page(0, 100, 3)), (1, page(0, 9, 3)), (2, page(0, 100, 100)), (3, page(1, 100, 3))], "id int, log binary")
+    out = rows.select("id", B.smart_log(F.col("log")).alias("s")).select("id", "s.*")
+    return out.select("id", *[F.col(c).cast("int") for c in ("celsius", "spare", "wear", "media_errors")], "failing")
+
+
+# Planted image: literal expectations
+
+
+@query("""SELECT * FROM (VALUES (5120, 'jpg'), (5133, 'ico'), (51200, 'png'), (102400, 'pdf'), (256000, 'elf'), (409600, 'sqlite'), (614414, 'ico')) AS t("offset", extension)""")
+def planted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = fixtures.as_chunks(spark, fixtures.planted_image(), 64 * 1024, LOOKAHEAD)
+    return scan(chunks).join(F.broadcast(rules_frame(spark)), "sig_idx").select(F.col("offset").cast("int").alias("offset"), "extension")
+
+
+@query("""SELECT * FROM (VALUES (5120, 'jpg', 22, 1.0, 'High'), (5133, 'ico', 22, 0.8, 'Medium'), (51200, 'png', 69, 1.0, 'High'), (102400, 'pdf', 48, 1.0, 'High'), (256000, 'elf', 1841119, 1.0, 'High'), (614414, 'ico', 1024, 0.8, 'Medium')) AS t("offset", extension, size, confidence, confidence_label)""")
+def planted_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = fixtures.planted_image()
+    chunks = fixtures.as_chunks(spark, image, 64 * 1024, LOOKAHEAD)
+    found = C.carve(C.windows(scan(chunks, ["jpg", "ico", "png", "pdf", "elf"]), chunks))
+    return found.select(F.col("offset").cast("int").alias("offset"), "extension", F.col("size").cast("int").alias("size"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"), "confidence_label")
+
+
+@query("SELECT 'classified_report.txt' AS filename, false AS is_in_use, true AS is_resident, 15 AS file_size, 'top secret body' AS resident_preview, 'CRITICAL' AS severity, 150000000 AS delta_seconds")
+def planted_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = fixtures.planted_image()
+    rows = [("image", at, bytearray(image[at : at + 1024])) for at in range(0, len(image), 512) if image[at : at + 4] == b"FILE"]
+    parsed = mft.with_alert(mft.parse(spark.createDataFrame(rows, "image_id string, record_offset long, data binary")))
+    return parsed.select("filename", "is_in_use", "is_resident", F.col("file_size").cast("int").alias("file_size"), "resident_preview", "timestomp_alert.severity", F.col("timestomp_alert.delta_seconds").cast("int").alias("delta_seconds"))
+
+
+@query("SELECT 'a' AS id, 8192 AS frag_offset, 4096 AS gap")
+def best_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive's head, a gap of zeros and its tail."""
+    import random
+
+    body = random.Random(7).randbytes(8192)
+    image = body[:4096] + bytes(4096) + body[4096:] + bytes(65536)
+    probes = spark.createDataFrame([("i", at, bytearray(image[at : at + 4096])) for at in range(0, len(image) - 4095, 512)], "image_id string, pos long, data binary")
+    tails = spark.createDataFrame([("i", "a", 4096, bytearray(body[:4096]))], "image_id string, id string, end long, data binary")
+    best = fragment.best_windows(fragment.with_profile(tails), fragment.with_profile(probes))
+    return best.select("id", F.col("frag_offset").cast("int").alias("frag_offset"), F.col("gap").cast("int").alias("gap"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """Which artifacts lie in the pages, where, of which type, and how sure that is."""
+    return carve_artifacts(spark, sf_dir)
