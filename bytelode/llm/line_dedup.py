@@ -184,7 +184,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         scratch.drop(name)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near", "removed")]
     n_lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("long")
-    joined = docs.select(*own, _doc_order().alias("_doc")).join(lost.withColumnRenamed("doc", "_doc").withColumnRenamed("removed", "_removed").withColumnRenamed("n_near", "_near"), "_doc", "left")
+    joined = docs.select(*own, _doc_order().alias("_doc")).join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"), F.col("n_near").alias("_near")).hint("merge"), "_doc", "left")
     return joined.select(
         *[F.when(F.col("_removed").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_removed"))).alias("text") if c == "text" else F.col(c) for c in own],
         F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"),
