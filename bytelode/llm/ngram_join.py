@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytelode.llm.common import Scratch, components, mix64, read_table, runs, shingles, text_key, texts_of
@@ -215,7 +215,10 @@ def _linked(docs: DataFrame, threshold: float, words: int, rows: int, recall: fl
     shared = first.groupBy("band", "code").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most")
     shared = scratch.save(shared.select("band", "code", "least"), "shared")
     stars = scratch.save(first.join(shared, ["band", "code"]).where("class_id <> least").select(F.col("class_id").alias("a"), F.col("least").alias("b")).distinct(), "stars")
-    groups = components(spark, stars, scratch, "candidates")
+    # A text meets the least of up to `bands` buckets: it keeps an edge to the least of those, and they get one to it, mostly the same few.
+    met = stars.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    edges = met.select("a", F.col("m").alias("b")).unionByName(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+    groups = components(spark, edges, scratch, "candidates")
     sizes = first.where("band = 0").select(F.col("class_id").alias("node"), "grams").distinct().join(groups, "node")
     sizes = scratch.save(sizes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("chunks")), "sizes")
     wanted = scratch.save(
