@@ -166,6 +166,7 @@ def scan_text(text: bytes, machine: ahocorasick.Automaton) -> tuple:
     words = text.translate(_WORDS).split()
     joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogateescape") if words else ""
     starts, base, labels, freedom, notices, tagged = [], set(), set(), [], 0, False
+    at = word = 0  # the word that begins at a place of joined
     for end, (size, label, is_base) in machine.iter(joined):
         start = end - size - 1
         if not label:
@@ -176,7 +177,9 @@ def scan_text(text: bytes, machine: ahocorasick.Automaton) -> tuple:
         freedom.append(FREEDOM.get(label, UNKNOWN))
         if is_base:
             base.add(label)
-            starts.append(joined.count(" ", 0, start))
+            word += joined.count(" ", at, start) if start >= at else -joined.count(" ", start, at)
+            at = start
+            starts.append(word)
     expressions = []
     if tagged:
         for m in _TAG_RAW.finditer(text):
