@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from bytelode.functions import binary as B
 from bytelode.functions.catalog import catalog_search, catalog_stats, rules, rules_frame
 from bytelode.operators import carve as C
-from bytelode.operators import classify, fragment, ledger, mft, sanitize, views
+from bytelode.operators import anchor as A
+from bytelode.operators import classify, fragment, imager, ledger, mft, sanitize, views
 from bytelode.operators.scan import LOOKAHEAD, scan, virtual_layout
 from bytelode.plans import fixtures
 from bytelode.sources.rawimage import table_chunks
@@ -269,6 +270,38 @@ def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(ledger.merkle_root(pos),)], "merkle_root string")
 
 
+@query()
+def anchor_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a root to be anchored; a customer signs."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("merkle_root"), F.col("o_custkey").cast("long").alias("records"),
+        F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("timestamp"), F.col("o_orderpriority").alias("officer"),
+        F.concat(F.lit("ed25519:"), F.sha2(F.col("o_custkey").cast("string"), 512)).alias("signature"),
+    )
+    made = A.anchor(rows, A.Domain("byte evidence ledger", "1.0.0", 137, "00" * 20))
+    return made.select("o_orderkey", "digest", "call_data", "tx_hash")
+
+
+_READS = """(SELECT event_type AS image_id, event_id AS lba, a AS attempt, (event_id + a) % 4 <> 0 AND event_id % 9 <> 0 AS ok FROM events, range(3) AS t(a))"""
+
+
+@query(f"SELECT image_id, count(*) * 512 AS total_bytes, count(*) FILTER (good IS NULL) AS bad_sectors, CAST(sum(coalesce(good, 2)) AS BIGINT) AS retries, count(*) FILTER (good IS NULL) = 0 AS complete FROM (SELECT image_id, lba, min(attempt) FILTER (ok) AS good FROM {_READS} GROUP BY 1, 2) GROUP BY 1")
+def image_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imager.image_result(_sectors(spark, sf_dir))
+
+
+@query("SELECT event_type AS image_id, event_id AS lba, CAST(1 AS BIGINT) AS count, 'BAD_SECTOR_ZERO_FILLED' AS status FROM events WHERE event_id % 9 = 0")
+def image_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imager.fault_map(_sectors(spark, sf_dir))
+
+
+def _sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts at a sector for each event: one attempt in four fails, and one sector in nine always."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("event_id").alias("lba"), F.explode(F.array(*map(F.lit, range(3)))).alias("attempt"))
+    ok = ((F.col("lba") + F.col("attempt")) % 4 != 0) & (F.col("lba") % 9 != 0)
+    return imager.image_sectors(rows.withColumn("data", F.when(ok, F.encode(F.repeat(F.lit("x"), F.lit(512)), "UTF-8"))))
+
+
 @query("SELECT count(*) AS total, count(*) FILTER (event_type = 'view') AS scans, count(*) FILTER (event_type IN ('click', 'purchase')) AS wipes, count(DISTINCT user_id) AS operators FROM events")
 def ledger_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "Scan").when(F.col("event_type") == "click", "WipeDrive").when(F.col("event_type") == "purchase", "WipeFile").otherwise("Other")

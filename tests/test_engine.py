@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 
 from bytelode.functions import binary as B
 from bytelode.functions.catalog import rules, rules_frame
+from bytelode.functions.keccak import keccak256, keccak256_batch
 from bytelode.operators import carve as C
-from bytelode.operators import classify, ledger, mft, sanitize
+from bytelode.operators import anchor, classify, imager, ledger, mft, sanitize
 from bytelode.operators.scan import LOOKAHEAD, header_ok, scan
 from bytelode.plans import fixtures
 from bytelode.queries import ORACLES, QUERIES
 from bytelode.sources.rawimage import normalise_path, read_image
 from bytelode.streaming.carving import ledger_sink, stream_hits
+from bytelode.streaming.progress import ProgressLog, cancellable, observed
 
 TABLES = "customer documents events labels lineitem orders pages".split()
 
@@ -151,3 +154,61 @@ def test_streams_equal_batches(spark, data, tmp_path):
     got = ledger.verify_chain(entries).first()
     assert (got["n_entries"], got["valid"], got["first_bad"]) == (9, True, None)
     assert os.path.isdir(path)
+
+
+def test_keccak(spark):
+    known = {
+        b"": "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470",
+        b"abc": "4e03657aea45a94fc7d47ba826c8d667c0d1e6e33a64a036ec44f58fa12d6c45",
+        anchor.DOMAIN_TYPE: "8b73c3c69bb8fe3d512ecc4cf759cc79239f7b179b0ffacaa9a75d522b39400f",
+    }
+    assert [d.hex() for d in keccak256_batch(list(known))] == list(known.values())
+    messages = [random.Random(n).randbytes(n) for n in (0, 1, 135, 136, 137, 271, 272, 273, 5000)]
+    assert keccak256_batch(messages) == [keccak256_batch([m])[0] for m in messages]
+    rows = spark.createDataFrame([(0, None), (1, bytearray())], "id int, data binary")
+    assert [r[0] and r[0].hex() for r in rows.orderBy("id").select(keccak256("data")).collect()] == [None, known[b""]]
+
+
+def test_anchor(spark):
+    domain = anchor.Domain("ledger", "1", 137, "11" * 20)
+    rows = [("ab" * 32, 3, 1_700_000_000, "a@b", "ed25519:" + "cd" * 64), ("short", 0, 0, "", None)]
+    got = anchor.anchor(spark.createDataFrame(rows, "merkle_root string, records long, timestamp long, officer string, signature string"), domain).collect()
+    for (root, records, at, officer, signature), r in zip(rows, got, strict=True):
+        one = lambda m: keccak256_batch([m])[0]
+        root = root if len(root) == 64 else "0" * 64
+        sig = (signature or "").removeprefix("ed25519:")
+        inner = one(one(anchor.ANCHOR_TYPE) + bytes.fromhex(root) + records.to_bytes(32, "big") + at.to_bytes(32, "big") + one(officer.encode()))
+        digest = one(b"\x19\x01" + domain.separator() + inner)
+        assert r["digest"] == "0x" + digest.hex() and r["tx_hash"] == "0x" + one(digest + sig.encode()).hex()
+        assert r["call_data"] == f"0x{anchor.SELECTOR}{root}{records:064x}{0x60:064x}{len(sig) // 2:064x}{sig}"
+
+
+def test_imager(spark, tmp_path):
+    good = bytes(range(256)) * 2
+    reads = [("a", 0, 0, good), ("a", 1, 0, None), ("a", 1, 1, good[:100]), ("a", 1, 2, good), ("a", 2, 0, None), ("a", 2, 1, None), ("a", 2, 2, None), ("a", 2, 3, good), ("b", 0, 0, good)]
+    sectors = imager.image_sectors(spark.createDataFrame(reads, "image_id string, lba long, attempt int, data binary"))
+    assert {(r["image_id"], r["lba"], bytes(r["data"]), r["retries"], r["bad"]) for r in sectors.collect()} == {("a", 0, good, 0, False), ("a", 1, good, 2, False), ("a", 2, bytes(512), 2, True), ("b", 0, good, 0, False)}
+    imager.write_fault_map(sectors, f"{tmp_path}/map")
+    assert [tuple(r) for r in spark.read.text(f"{tmp_path}/map").select("value", "image_id").collect()] == [("2, 1, BAD_SECTOR_ZERO_FILLED", "a")]
+    assert imager.image_result(sectors.limit(0)).count() == 0
+
+
+def test_progress(spark, tmp_path):
+    log = ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        spark.range(10).write.parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        stream.awaitTermination()
+        for _ in range(100):
+            events = log.frame(spark).where(F.col("job_id") == stream.id)
+            if events.where("event = 'complete'").count():
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert events.agg(F.sum("rows")).first()[0] == 10 and {"started", "progress", "complete"} <= {r["event"] for r in events.collect()}
+    frame, seen = observed(spark.range(7).select(F.lit("ab").alias("t")), "seen", "t")
+    with cancellable(spark, "job-7"):
+        frame.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 7, "bytes": 14}
