@@ -16,7 +16,7 @@ END_ID = 1
 #: Marks that can be taken off the end of a word: the vocabulary's splitter parts them from a letter before.
 _MARKS = ".,;:!?|*$%&#)(\""
 #: Text bytes that are encoded together; what is held at a time follows from it and the longest text.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _byte_letters() -> dict[int, str]:
