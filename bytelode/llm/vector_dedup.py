@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.llm.common import Scratch, components, read_table, runs
-from bytelode.llm.ngram_join import forest
 
 THRESHOLD = 0.9
 #: Trees are fitted on so many vectors at most (the ones with the least hash); every vector is then put through them.
@@ -89,61 +88,66 @@ def close_pairs(left: np.ndarray, right: np.ndarray | None, threshold: float) ->
     return np.nonzero(good)
 
 
-def _comparer(threshold: float, kind: str):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, others, counts = [], [], []
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(counts, pa.int64())], names=["id", "other", "n"])
-            for x in (ids, others, counts):
-                x.clear()
-            return batch
-
-        for (leaf, _, i, j), rows in runs(batches, ["leaf", "dims", "i", "j"]):
-            left = [r for r in rows if r["chunk"] == i]
-            right = [r for r in rows if r["chunk"] == j] if i != j else None
-            if not left or right is not None and not right:
-                continue
-            every = left + (right or [])
-            vectors = unit(_vectors([r["vector"] for r in every], kind))
-            x, y = close_pairs(vectors[: len(left)], vectors[len(left) :] if right is not None else None, threshold)
-            if not len(x):
-                continue
-            if right is not None:
-                y = y + len(left)
-            # A pair counts in the first leaf that holds both of it: the others' shares would be the same again.
-            used = np.unique(np.concatenate((x, y)))
-            before = [np.frombuffer(every[k]["leaves"], "<i8") for k in used.tolist()]
-            before = [b[b < leaf] for b in before]
-            names = np.unique(np.concatenate(before)) if before else np.empty(0, np.int64)
-            together = np.zeros((len(used), len(used)), dtype=np.float32)
-            for k in range(0, len(names), 4096):
-                own = names[k : k + 4096]
-                m = np.zeros((len(used), len(own)), dtype=np.float32)
-                for r, b in enumerate(before):
-                    b = b[(b >= own[0]) & (b <= own[-1])]
-                    m[r, np.searchsorted(own, b)] = 1
-                together += m @ m.T
-            first = together[np.searchsorted(used, x), np.searchsorted(used, y)] == 0
-            x, y = x[first], y[first]
-            weight = np.array([r["n_copies"] for r in every], dtype=np.int64)
-            n = np.zeros(len(every), dtype=np.int64)
-            np.add.at(n, x, weight[y])
-            np.add.at(n, y, weight[x])
-            names_ = [r["class_id"] for r in every]
-            for k in np.flatnonzero(n).tolist():
-                ids.append(names_[k])
-                others.append(None)
-                counts.append(int(n[k]))
-            for a, b in forest(names_, x, y):
-                ids.append(a)
-                others.append(b)
-                counts.append(None)
-            if len(ids) > 20_000:
-                yield out()
-        yield out()
-
-    return compare
+def spanning(good: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that span the same groups as the symmetric matrix of links does, a walk by whole frontiers."""
+    left = good.any(axis=1)
+    out = []
+    for start in np.flatnonzero(left).tolist():
+        if not left[start]:
+            continue
+        left[start] = False
+        front = np.array([start])
+        while len(front):
+            reached = good[front] & left
+            new = np.flatnonzero(reached.any(axis=0))
+            out += zip(front[reached[:, new].argmax(axis=0)].tolist(), new.tolist(), strict=True)
+            left[new] = False
+            front = new
+    return out
+
+
+def _blocks(rows: DataFrame, group: list[str], tasks: int) -> DataFrame:
+    """rows(group, chunks, class_id, ...) -> the blocks (i, j) of each group's chunks, sorted: any two rows of a group stand together in one."""
+    rest = [c for c in rows.columns if c not in (*group, "chunks")]
+    spread = rows.withColumn("chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = spread.select(*group, F.least("chunk", "to").alias("i"), F.greatest("chunk", "to").alias("j"), "chunk", *rest)
+    return blocks.repartition(tasks, *group, "i", "j").sortWithinPartitions(*group, "i", "j", "class_id")
+
+
+def _sides(batches: Iterator[pa.RecordBatch], keys: list[str], kind: str) -> Iterator[tuple[list[dict], np.ndarray, int]]:
+    """Each block's rows, their directions, and how many are of its left side (all of them where a chunk meets itself)."""
+    for (*_, i, j), rows in runs(batches, [*keys, "i", "j"]):
+        left = [r for r in rows if r["chunk"] == i]
+        right = [r for r in rows if r["chunk"] == j] if i != j else []
+        if left and (right or i == j):
+            yield left + right, unit(_vectors([r["vector"] for r in left + right], kind)), len(left)
+
+
+def _linker(threshold: float, kind: str):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every, vectors, n in _sides(batches, ["leaf", "dims"], kind):
+            good = np.zeros((len(every), len(every)), dtype=bool)
+            x, y = close_pairs(vectors[:n], vectors[n:] if n < len(every) else None, threshold)
+            good[x, y + (n if n < len(every) else 0)] = True
+            pairs = spanning(good | good.T)
+            if pairs:
+                names = [r["class_id"] for r in every]
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k, _ in pairs], pa.int64()), pa.array([names[k] for _, k in pairs], pa.int64())], names=["a", "b"])
+
+    return link
+
+
+def _counter(threshold: float, kind: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every, vectors, n in _sides(batches, ["component", "dims"], kind):
+            x, y = close_pairs(vectors[:n], vectors[n:] if n < len(every) else None, threshold)
+            y = y + (n if n < len(every) else 0)
+            weight = np.array([r["n_copies"] for r in every], dtype=np.float64)
+            links = np.bincount(x, weights=weight[y], minlength=len(every)) + np.bincount(y, weights=weight[x], minlength=len(every))
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array([every[k]["class_id"] for k in some.tolist()], pa.int64()), pa.array(links[some].astype(np.int64))], names=["class_id", "n"])
+
+    return count
 
 
 def vector_dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE) -> DataFrame:
@@ -156,7 +160,9 @@ def vector_dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     An empty table gives an empty result. Further columns are ignored.
 
     Each class of equal vectors goes through all trees, into every leaf that the spill sends it to, and leaves are compared whole,
-    in blocks: nothing is dropped, a pair is found if any leaf holds both.
+    in blocks; their links chain into components. Then each component's classes are compared exactly, in blocks, for n_links: a dense
+    group larger than a leaf is parted by every tree, but its links are counted whole. A link is missed only if no chain of found ones
+    spans it.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -196,23 +202,20 @@ def vector_dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
                 n = len(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[k] for k in own], pa.int64()), pa.array([copies[k] for k in own], pa.int64()), pa.array([d] * n, pa.int32()),
-                     pa.array([matrix[k].astype(kind).tobytes() for k in range(n)], pa.binary()), pa.array([l[edge[k] : edge[k + 1]].tolist() for k in range(n)], pa.list_(pa.int64())),
-                     pa.array([l[edge[k] : edge[k + 1]].astype("<i8").tobytes() for k in range(n)], pa.binary())],
-                    names=["class_id", "n_copies", "dims", "vector", "at", "leaves"],
+                     pa.array([matrix[k].astype(kind).tobytes() for k in range(n)], pa.binary()), pa.array([l[edge[k] : edge[k + 1]].tolist() for k in range(n)], pa.list_(pa.int64()))],
+                    names=["class_id", "n_copies", "dims", "vector", "at"],
                 )
 
-    placed = scratch.save(reps.mapInArrow(place, "class_id long, n_copies long, dims int, vector binary, at array<long>, leaves binary"), "placed")
+    placed = scratch.save(reps.mapInArrow(place, "class_id long, n_copies long, dims int, vector binary, at array<long>"), "placed")
     where = placed.select("class_id", "dims", F.explode("at").alias("leaf"))
     full = scratch.save(where.groupBy("dims", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK).select("dims", "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "full")
-    spread = placed.select("class_id", "n_copies", "dims", "vector", "leaves", F.explode("at").alias("leaf")).join(full, ["dims", "leaf"], "left")
-    spread = spread.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
-    spread = spread.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = spread.select("leaf", "dims", F.least("chunk", "to").alias("i"), F.greatest("chunk", "to").alias("j"), "chunk", "class_id", "n_copies", "vector", "leaves")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.repartition(tasks, "leaf", "dims", "i", "j").sortWithinPartitions("leaf", "dims", "i", "j", "class_id")
-    found = scratch.save(dealt.mapInArrow(_comparer(threshold, kind), "id long, other long, n long"), "found")
-    linked = components(spark, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), scratch, "links")
-    n_links = found.where("n is not null").groupBy(F.col("id").alias("class_id")).agg(F.sum("n").alias("n"))
+    leaves = placed.select("class_id", "dims", "vector", F.explode("at").alias("leaf")).join(full, ["dims", "leaf"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    found = scratch.save(_blocks(leaves, ["leaf", "dims"], tasks).mapInArrow(_linker(threshold, kind), "a long, b long"), "found")
+    linked = components(spark, found, scratch, "links")
+    sizes = scratch.save(linked.groupBy("component").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("n"), F.ceil(F.count("*") / BLOCK).alias("chunks")).select("component", F.when(F.col("n") > 1, F.col("chunks")).otherwise(1).cast("int").alias("chunks")), "sizes")
+    members = placed.select("class_id", "n_copies", "dims", "vector").join(linked.withColumnRenamed("node", "class_id"), "class_id").join(sizes, "component")
+    n_links = _blocks(members, ["component", "dims"], tasks).mapInArrow(_counter(threshold, kind), "class_id long, n long").groupBy("class_id").agg(F.sum("n").alias("n"))
     table = scratch.save(
         classes.join(n_links, "class_id", "left").join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
         .select("key_a", "key_b", (F.coalesce("n", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")), "table"

@@ -332,6 +332,17 @@ def test_forest_recall():
     assert found.mean() >= 0.9
 
 
+def test_dense_vector_group_is_linked_whole(spark):
+    r = np.random.default_rng(2)
+    v = vector_dedup.unit(r.standard_normal((1, 64)) + r.standard_normal((5000, 64)) * np.sqrt(1 / 0.95 - 1))
+    v = np.concatenate((v, vector_dedup.unit(r.standard_normal((2000, 64)))))
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {g["vec_id"]: g["n_links"] for g in vector_dedup.vector_dedup(table).collect()}
+    want = ((v @ v.T) >= 0.9).sum(axis=1) - 1
+    assert want[:5000].min() > 1000 and sum(got.values()) >= 0.999 * want.sum()
+    assert all(abs(got[i] - want[i]) <= 1 for i in range(5000))
+
+
 def test_quality_knn_and_toxicity(spark, docs):
     r = random.Random(9)
     rows, labels = [], []
