@@ -1,4 +1,7 @@
-"""Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood."""
+"""Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood.
+
+The models are tables of real words and pairs of words that grow with the corpus. Documents are numbered in slices; each slice asks
+for its distinct words and pairs, in packed blocks, and gets back what the tables hold of them."""
 
 from __future__ import annotations
 
@@ -7,16 +10,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import Scratch, read_table
+from bytelode.llm.common import Scratch, mix64, read_table
 from bytelode.llm.quality_knn import crc_rest
-from bytelode.llm.words import Slice, word_slices
+from bytelode.llm.words import word_slices
 
-#: A word's beginning (its first STEM characters), the word and the word before it are numbered by hash in so many bits: the models hold
-#: 2^(all three) cells, whatever the corpus holds.
-STEM_BITS, WORD_BITS, CONTEXT_BITS = 13, 5, 4
+#: Characters of a word's beginning.
 STEM = 4
 DISCOUNT = 1.0
 #: Rows that the scale of the score is fitted on, at most: those with the least hash of doc_id.
@@ -25,7 +27,16 @@ SCALE_ROWS = 20_000
 BROADCAST_ROWS = 500_000
 WINDOW = 24
 HIGH = 0.5
-FEATURES = 4
+#: Log ratios that tell a word of one class from one that chance put there more often.
+CLEAR = (2.0, 4.0)
+FEATURES = 6
+#: Bytes and texts of a slice: larger ones ask less often for the same pair, but 16 MB took an executor beyond 3,000 MB.
+SLICE_BYTES = 4 << 20
+SLICE_TEXTS = 2048
+#: Blocks of the tables for each shuffle partition; a key's lower bits are sent, its upper ones name the block.
+BLOCKS = 4
+LOW_BITS, LOW_BYTES = 48, 6
+_SLICE = "slice long, ids array<long>, marks binary, sizes binary, words binary, stems binary, index binary"
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -35,97 +46,231 @@ def plain(text: bytes) -> bytes:
     return text.translate(_PLAIN)
 
 
-class WordNumbers(dict):
-    """word -> context number (upper bits), then word number: beginning, then the word's own bits."""
+class WordKeys(dict):
+    """word -> 64-bit hashes of the word and of its beginning, remembered; the memory is emptied when it holds too many words."""
 
     LIMIT = 400_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) >= self.LIMIT:
             self.clear()
-        own = xxhash.xxh32_intdigest(word)
-        stem = xxhash.xxh32_intdigest(word[:STEM]) & ((1 << STEM_BITS) - 1)
-        context = 1 + (own >> 16) % ((1 << CONTEXT_BITS) - 1)
-        value = context << (STEM_BITS + WORD_BITS) | stem << WORD_BITS | own & ((1 << WORD_BITS) - 1)
+        value = xxhash.xxh64_intdigest(word) or 1, xxhash.xxh64_intdigest(word[:STEM])
         if len(word) <= 64:
             self[word] = value
         return value
 
 
-_NUMBERS = WordNumbers()
-
-
-def pair_numbers(part: Slice) -> np.ndarray:
-    """For each word its cell: its own number in the upper bits, that of the word before it in its text (0 for the first) in the lower."""
-    numbers = np.fromiter(map(_NUMBERS.__getitem__, part.names), np.int64, len(part.names))[part.index]
-    word = numbers & ((1 << (STEM_BITS + WORD_BITS)) - 1)
-    before = numbers >> (STEM_BITS + WORD_BITS)
-    context = np.zeros_like(before)
-    context[1:] = np.where(part.owner[1:] == part.owner[:-1], before[:-1], 0)
-    return word << CONTEXT_BITS | context
-
-
-def log_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """log P(word | context, toxic) - log P(word | context, ordinary) for every cell, from the classes' counts.
-
-    Interpolated Kneser-Ney in layers. A class's counts of a word after a context fall back on its continuation counts (contexts that
-    the word follows), these on the continuation counts of the word's beginning (words and contexts that it begins and follows) times
-    the word's share of it in both classes together, and those on the beginning's counts in both classes: rare expressions get
-    their probability from shared counts."""
-    shape = (1 << STEM_BITS, 1 << WORD_BITS, 1 << CONTEXT_BITS)
-    toxic, ordinary = toxic.reshape(shape).astype(np.float32), ordinary.reshape(shape).astype(np.float32)
-    word_both = ((toxic > 0).sum(axis=2) + (ordinary > 0).sum(axis=2)).astype(np.float64)
-    stem_both = word_both.sum(axis=1)
-    total, kinds = stem_both.sum(), shape[0]
-    stem_shared = (np.maximum(stem_both - DISCOUNT, 0) + np.minimum(stem_both, DISCOUNT).sum() / kinds) / total if total else np.full(kinds, 1 / kinds)
-    word_share = (word_both + 1 / shape[1]) / (stem_both + 1)[:, None]
-    logs, unseen = [], []
-    for counts in (toxic, ordinary):
-        follows = (counts > 0).sum(axis=2).astype(np.float64)
-        begins = counts.sum(axis=(1, 2), dtype=np.float64)
-        n = begins.sum()
-        # The beginning's layer uses whole counts: a beginning follows nearly every context, which says nothing.
-        mass = np.minimum(begins, DISCOUNT).sum() / n if n else 1.0
-        stem = (np.maximum(begins - DISCOUNT, 0) + np.minimum(begins, DISCOUNT).sum() * stem_shared) / n if n else stem_shared
-        base = stem[:, None] * word_share
-        n = follows.sum()
-        mass *= np.minimum(follows, DISCOUNT).sum() / n if n else 1.0
-        lower = (np.maximum(follows - DISCOUNT, 0) + np.minimum(follows, DISCOUNT).sum() * base) / n if n else base
-        size = counts.sum(axis=(0, 1), dtype=np.float64)
-        lost = np.minimum(counts, np.float32(DISCOUNT)).sum(axis=(0, 1), dtype=np.float64)
-        fall = np.where(size > 0, lost / np.maximum(size, 1), 1.0).astype(np.float32)
-        p = np.maximum(counts - np.float32(DISCOUNT), 0) / np.maximum(size, 1).astype(np.float32)
-        p += fall * lower.astype(np.float32)[:, :, None]
-        np.log(p, out=p)
-        logs.append(p)
-        unseen.append(np.log(fall * np.float32(mass)))
-    ratio = logs[0]
-    ratio -= logs[1]
-    # The class of fewer texts leaves more to the shared counts; what no text of either class holds speaks for neither.
-    beyond = ratio - np.maximum(unseen[0] - unseen[1], 0)
-    np.maximum(beyond, 0, out=beyond)
-    np.minimum(ratio, beyond, out=ratio)
-    return ratio.reshape(-1)
-
-
-def ratio_features(part: Slice, table: np.ndarray) -> np.ndarray:
-    """FEATURES numbers for each text of a slice: the mean of its words' log ratios, the greatest mean of WINDOW words in a row (shorter
-    texts: of all, as if filled up with zeros), and the share and the log of the number of words with a ratio above HIGH."""
-    n = part.last - part.first
-    ratio = table[pair_numbers(part)].astype(np.float64)
-    words = np.bincount(part.owner, minlength=n)
+_KEYS = WordKeys()
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, mark, text) -> a row for each slice of texts: its ids and marks, how many words each text has, the keys of the distinct words
+    and of their beginnings (place 0: what stands before a text), and each word's place."""
+    n = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in word_slices(batch.column(2), plain, SLICE_BYTES, SLICE_TEXTS):
+            size = part.last - part.first
+            keys = np.array([(0, 0), *map(_KEYS.__getitem__, part.names)], dtype=np.uint64)
+            marks = batch.column(1).slice(part.first, size).to_numpy(zero_copy_only=False).astype(np.int8)
+            blobs = (marks, np.bincount(part.owner, minlength=size).astype(np.int32), keys[:, 0].copy(), keys[:, 1].copy(), (part.index + 1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([batch.column(0).slice(part.first, size).to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)],
+                                             names=["slice", "ids", "marks", "sizes", "words", "stems", "index"])
+            n += 1
+
+
+class Numbered:
+    """A slice's arrays; pairs: its distinct pairs as place before * number of words + place; pair: each word's number among those."""
+
+    def __init__(self, row: dict):
+        self.ids, self.slice = row["ids"], row["slice"]
+        kinds = (("marks", np.int8), ("sizes", np.int32), ("words", np.uint64), ("stems", np.uint64), ("index", np.int32))
+        self.marks, self.sizes, self.words, self.stems, self.index = (np.frombuffer(row[k], t) for k, t in kinds)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.before = np.zeros_like(self.index)
+        self.before[1:] = np.where(self.owner[1:] == self.owner[:-1], self.index[:-1], 0)
+        self.code = self.before.astype(np.int64) * len(self.words) + self.index
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the words, their beginnings and the distinct pairs, one after the other, and each word's pair."""
+        pairs, pair = np.unique(self.code, return_inverse=True)
+        before, word = np.divmod(pairs, len(self.words))
+        return np.concatenate((word_keys(self.words), stem_keys(self.stems), pair_keys(self.words[before], self.words[word]))), pair
+
+
+def word_keys(words: np.ndarray) -> np.ndarray:
+    return mix64(words + np.uint64(0x51ED270B0A1F39C1))
+
+
+def stem_keys(stems: np.ndarray) -> np.ndarray:
+    return mix64(mix64(stems) + np.uint64(0x2545F4914F6CDD1D))
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + words)
+
+
+def _blocked(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by block, then lower bits; the blocks and the lower bits in that order."""
+    block, low = (keys >> np.uint64(LOW_BITS)).astype(np.int64) % blocks, keys & np.uint64((1 << LOW_BITS) - 1)
+    order = np.lexsort((low, block))
+    return order, block[order], low[order]
+
+
+def count_pairs(slices: DataFrame) -> DataFrame:
+    """Slices -> before, word, stem and counts of each pair in marked texts: mark 0 and 1 are the classes, 2 and 3 those of the scale's rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = Numbered(batch.slice(k, 1).to_pylist()[0])
+                marks = x.marks[x.owner]
+                used = marks >= 0
+                pairs, pair = np.unique(x.code[used], return_inverse=True)
+                counts = np.bincount(pair * 4 + marks[used], minlength=4 * len(pairs)).reshape(-1, 4)
+                before, word = np.divmod(pairs, len(x.words))
+                columns = [x.words[before].view(np.int64), x.words[word].view(np.int64), x.stems[word].view(np.int64), *counts.T]
+                for at in range(0, len(pairs), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 100_000])) for c in columns], names=["before", "word", "stem", "c0", "c1", "c2", "c3"])
+
+    counted = slices.mapInArrow(count, "before long, word long, stem long, c0 long, c1 long, c2 long, c3 long")
+    return counted.groupBy("before", "word").agg(F.min("stem").alias("stem"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(4)))
+
+
+class Model:
+    """Tables of log P(word | context, toxic) - log P(word | context, ordinary).
+
+    pairs: before, word, stem, toxic, ordinary (counts). Interpolated Kneser-Ney in layers. A class's counts of a word after a context fall
+    back on its continuation counts (contexts that the word follows), these on the counts of the word's beginning times the word's
+    share of it in both classes together, and those on the beginning's continuation counts in both classes: rare expressions get their
+    probability from shared counts. A pair that either class holds twice or more has a row of its own; the discount leaves nothing of
+    the others, which are what their word and their context make them. Further words and beginnings: one unknown of each."""
+
+    def __init__(self, pairs: DataFrame, scratch: Scratch, tag: str, blocks: int):
+        kinds, counts = ("toxic", "ordinary"), pairs.where("toxic + ordinary > 0")
+        words = counts.groupBy("word").agg(F.min("stem").alias("stem"), *(F.sum(c).alias(f"n_{c}") for c in kinds), *(F.sum((F.col(c) > 0).cast("long")).alias(f"f_{c}") for c in kinds))
+        words = scratch.save(words, f"{tag}-words")
+        stems = words.groupBy("stem").agg(F.sum(F.col("f_toxic") + F.col("f_ordinary")).alias("both"), F.count("*").alias("kinds"), *(F.sum(f"n_{c}").alias(f"s_{c}") for c in kinds))
+        stems = scratch.save(stems, f"{tag}-stems")
+        t = stems.agg(F.sum("both").alias("both"), F.count("*").alias("stems"), *(F.sum(f"s_{c}").alias(f"n_{c}") for c in kinds), *(F.sum((F.col(f"s_{c}") > 0).cast("long")).alias(f"k_{c}") for c in kinds)).first().asDict()
+        t |= words.agg(*(F.sum(f"f_{c}").alias(f"f_{c}") for c in kinds), *(F.sum((F.col(f"f_{c}") > 0).cast("long")).alias(f"w_{c}") for c in kinds)).first().asDict()
+        t = {k: float(v or 0) for k, v in t.items()}
+        mass = {c: (t[f"k_{c}"] / t[f"n_{c}"] if t[f"n_{c}"] else 1.0) * (t[f"w_{c}"] / t[f"f_{c}"] if t[f"f_{c}"] else 1.0) for c in kinds}
+        self.mass = float(np.log(mass["toxic"] / mass["ordinary"]))
+
+        def lower(c: str, both, n_kinds, own, begins, follows):
+            """Probability of a word whatever stands before it; numbers or columns: the beginning's continuation counts and words, the
+            word's continuation counts in both classes, and the class's counts of the beginning and contexts of the word."""
+            less = lambda x: (x - DISCOUNT + abs(x - DISCOUNT)) / 2 if not isinstance(x, Column) else F.greatest(x - DISCOUNT, F.lit(0.0))
+            shared = (less(both) + t["stems"] / (t["stems"] + 1)) / t["both"] if t["both"] else 1.0
+            stem = (less(begins) + t[f"k_{c}"] * shared) / t[f"n_{c}"] if t[f"n_{c}"] else shared
+            base = stem * ((own + 1 / (n_kinds + 1)) / (both + 1))
+            return (less(follows) + t[f"w_{c}"] * base) / t[f"f_{c}"] if t[f"f_{c}"] else base
+
+        self.unknown = float(np.log(lower("toxic", 0.0, 0.0, 0.0, 0.0, 0.0) / lower("ordinary", 0.0, 0.0, 0.0, 0.0, 0.0)))
+        of = lambda c, own, follows: lower(c, F.col("both"), F.col("kinds"), own, F.col(f"s_{c}"), follows)
+        lowers = words.join(stems, "stem").select("word", *(of(c, F.col("f_toxic") + F.col("f_ordinary"), F.col(f"f_{c}")).alias(f"low_{c}") for c in kinds))
+        lowers = scratch.save(lowers, f"{tag}-lowers")
+        sizes = counts.groupBy("before").agg(*(F.sum(c).alias(f"size_{c}") for c in kinds), *(F.sum((F.col(c) > 0).cast("long")).alias(f"lost_{c}") for c in kinds))
+        falls = sizes.select("before", *(f"size_{c}" for c in kinds), *(F.when(F.col(f"size_{c}") > 0, F.col(f"lost_{c}") / F.col(f"size_{c}")).otherwise(1.0).alias(f"fall_{c}") for c in kinds))
+        falls = scratch.save(falls, f"{tag}-falls")
+        often = counts.where("toxic > 1 or ordinary > 1").join(lowers, "word").join(falls, "before")
+        p = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"size_{c}"), F.lit(1)) + F.col(f"fall_{c}") * F.col(f"low_{c}") for c in kinds}
+        ln = lambda kind: F.log(F.col(f"{kind}_toxic")) - F.log(F.col(f"{kind}_ordinary"))
+        own = often.select("before", "word", (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("r"), F.greatest(ln("fall") + self.mass, F.lit(0.0)).alias("u"))
+        zero = F.lit(0).cast("long")
+        rows = own.select(F.lit(0).alias("kind"), "before", "word", F.least("r", F.greatest(F.col("r") - F.col("u"), F.lit(0.0))).alias("a"), F.lit(0.0).alias("b"))
+        known = lowers.join(falls.withColumnRenamed("before", "word"), "word", "full")
+        rows = rows.unionByName(known.select(F.lit(1).alias("kind"), zero.alias("before"), "word", F.coalesce(ln("low"), F.lit(0.0)).alias("a"), F.coalesce(ln("fall"), F.lit(0.0)).alias("b")))
+        zeros = F.lit(0.0)
+        new = F.log(of("toxic", zeros, zeros)) - F.log(of("ordinary", zeros, zeros))
+        rows = rows.unionByName(stems.select(F.lit(2).alias("kind"), zero.alias("before"), F.col("stem").alias("word"), new.alias("a"), zeros.alias("b")))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kind, before, word = (batch.column(k).to_numpy() for k in range(3))
+                before, word = before.view(np.uint64), word.view(np.uint64)
+                key = np.where(kind == 0, pair_keys(before, word), np.where(kind == 1, word_keys(word), stem_keys(word)))
+                order, block, low = _blocked(key, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(low.view(np.int64)), pa.array(batch.column(3).to_numpy()[order]), pa.array(batch.column(4).to_numpy()[order])], names=["block", "low", "a", "b"])
+
+        self.table = scratch.save(rows.mapInArrow(keyed, "block long, low long, a double, b double"), f"{tag}-table")
+        self.blocks = blocks
+
+    def features(self, slices: DataFrame) -> DataFrame:
+        """Slices -> doc_id, mark and FEATURES numbers of each text."""
+        blocks, mass, unknown = self.blocks, self.mass, self.unknown
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    x = Numbered(batch.slice(k, 1).to_pylist()[0])
+                    _, block, low = _blocked(x.keys()[0], blocks)
+                    edge = np.searchsorted(block, np.arange(blocks + 1))
+                    cut = low.view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
+                    some = np.flatnonzero(np.diff(edge))
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.slice] * len(some), pa.int64()), pa.array([cut[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary())], names=["block", "slice", "lows"])
+
+        def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+            low, a, b = (table.column(k).to_numpy() for k in ("low", "a", "b"))
+            order = np.argsort(low)
+            low, a, b = low[order], a[order], b[order]
+            out = []
+            for r in asked.to_pylist():
+                want = np.zeros((len(r["lows"]) // LOW_BYTES, 8), dtype=np.uint8)
+                want[:, :LOW_BYTES] = np.frombuffer(r["lows"], np.uint8).reshape(-1, LOW_BYTES)
+                want = want.view(np.int64).reshape(-1)
+                at = np.minimum(np.searchsorted(low, want), max(0, len(low) - 1))
+                hit = np.flatnonzero(low[at] == want) if len(low) else np.empty(0, np.int64)
+                if len(hit):
+                    at = at[hit]
+                    out.append((r["slice"], r["block"], hit.astype(np.int32).tobytes(), a[at].astype(np.float32).tobytes(), b[at].astype(np.float32).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["slice", "block", "hits", "a", "b"])
+
+        def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
+            ids, marks, parts = [], [], []
+            for row in own.to_pylist():
+                x = Numbered(row)
+                keys, pair = x.keys()
+                order, block, _ = _blocked(keys, blocks)
+                edge = np.searchsorted(block, np.arange(blocks + 1))
+                a, b = np.full(len(keys), np.nan, np.float32), np.zeros(len(keys), np.float32)
+                for r in answers.to_pylist():
+                    at = order[edge[r["block"]] + np.frombuffer(r["hits"], np.int32)]
+                    a[at], b[at] = np.frombuffer(r["a"], np.float32), np.frombuffer(r["b"], np.float32)
+                n = len(x.words)
+                word = np.where(np.isnan(a[:n]), np.where(np.isnan(a[n : 2 * n]), np.float32(unknown), a[n : 2 * n]), a[:n])
+                ratio = word[x.index].astype(np.float64) + b[:n][x.before]
+                ratio = np.minimum(ratio, np.maximum(ratio - np.maximum(b[:n][x.before] + mass, 0), 0))
+                seen = a[2 * n :][pair]
+                ids += row["ids"]
+                marks.append(x.marks)
+                parts.append(ratio_features(np.where(np.isnan(seen), ratio, seen), x.owner, len(x.sizes)))
+            every = np.concatenate(parts) if parts else np.empty((0, FEATURES))
+            return pa.table([pa.array(ids, pa.int64()), pa.array(np.concatenate(marks) if marks else np.empty(0, np.int8)).cast(pa.int32()), *(pa.array(np.ascontiguousarray(every[:, k])) for k in range(FEATURES))], names=["doc_id", "mark", *(f"x{k}" for k in range(FEATURES))])
+
+        asked = slices.mapInArrow(ask, "block long, slice long, lows binary")
+        answers = asked.groupBy("block").cogroup(self.table.groupBy("block")).applyInArrow(answer, "slice long, block long, hits binary, a binary, b binary")
+        return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, "doc_id long, mark int, " + ", ".join(f"x{k} double" for k in range(FEATURES)))
+
+
+def ratio_features(ratio: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """FEATURES numbers for each of n texts: the mean of its words' log ratios, the greatest mean of WINDOW words in a row (shorter
+    texts: of all, as if filled up with zeros), the share and the log of the number of words with a ratio above HIGH, and the log of the
+    number with a ratio above each of CLEAR."""
+    words = np.bincount(owner, minlength=n)
     least = np.maximum(words, 1)
     ends = np.cumsum(words)
     total = np.concatenate(([0.0], np.cumsum(ratio)))
     at = np.arange(len(ratio))
-    begin = np.maximum(at + 1 - WINDOW, (ends - words)[part.owner])
+    begin = np.maximum(at + 1 - WINDOW, (ends - words)[owner])
     window = (total[at + 1] - total[begin]) / WINDOW
     top = np.zeros(n)
     filled = words > 0
     if len(window):
         top[filled] = np.maximum.reduceat(window, (ends - words)[filled])
-    high = np.bincount(part.owner, weights=ratio > HIGH, minlength=n)
-    return np.column_stack((np.bincount(part.owner, weights=ratio, minlength=n) / least, top, high / least, np.log1p(high)))
+    high = np.bincount(owner, weights=ratio > HIGH, minlength=n)
+    return np.column_stack((np.bincount(owner, weights=ratio, minlength=n) / least, top, high / least, np.log1p(high), *(np.log1p(np.bincount(owner, weights=ratio > c, minlength=n)) for c in CLEAR)))
 
 
 class Scale:
@@ -151,59 +296,43 @@ class Scale:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
 
 
-def count_pairs(rows: DataFrame) -> DataFrame:
-    """rows(text, label) -> pair, toxic, ordinary: counts of each pair in the texts of either class; at most one row for a pair."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for part in word_slices(batch.column(0), plain):
-                key, n = np.unique(pair_numbers(part) << 1 | label[part.first : part.last][part.owner], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((key >> 1).astype(np.int32)), pa.array(np.where(key & 1, n, 0)), pa.array(np.where(key & 1, 0, n))], names=["pair", "toxic", "ordinary"])
-
-    counted = rows.select("text", "label").mapInArrow(count, "pair int, toxic long, ordinary long")
-    return counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, held_out, score (0 to 1, likelihood of label 1), predicted (score >= 0.5).
 
-    Labels are learned from rows of labels(doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0: the models count all those with
-    remainder 1 to 3, and the scale of the score is fitted on those with 4. The least label of a doc_id counts. A null or empty text is
-    scored like any other; a null doc_id is held out. Repeated rows get a row each; further columns are ignored.
+    Labels are learned from rows of labels(doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0, and the models count all those.
+    The scale of the score is fitted on rows with remainder 4, scored by models that count remainders 1 to 3 only. The least label of a
+    doc_id counts. A null or empty text is scored like any other; a null doc_id is held out. Repeated rows get a row each; further
+    columns are ignored.
     """
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     known = known.where(crc_rest(5) != 0).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"))
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learned = rows.join(F.broadcast(known) if few else known, "doc_id")
     scratch = Scratch(spark, "toxicity")
-    counts = scratch.save(count_pairs(learned.where(crc_rest(5) != 4)), "pairs")
-    pairs = counts.toArrow()  # bounded by the pairs' bits
-    toxic, ordinary = (np.zeros(1 << (STEM_BITS + WORD_BITS + CONTEXT_BITS), dtype=np.int64) for _ in range(2))
-    at = pairs.column("pair").to_numpy()
-    toxic[at], ordinary[at] = pairs.column("toxic").to_numpy(), pairs.column("ordinary").to_numpy()
-    del pairs
-    table = spark.sparkContext.broadcast(log_ratios(toxic, ordinary))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in word_slices(batch.column(0), plain):
-                x = ratio_features(part, table.value)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.first, part.last - part.first), *(pa.array(x[:, k]) for k in range(FEATURES))], names=["label", *(f"x{k}" for k in range(FEATURES))])
-
-    chosen = known.where(crc_rest(5) == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
-    fitted = rows.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(features, "label int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).limit(2 * SCALE_ROWS).toArrow()
-    scale = Scale(np.column_stack([fitted.column(f"x{k}").to_numpy() for k in range(FEATURES)]), fitted.column("label").to_numpy().astype(np.float64))
+    blocks = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = known.withColumn("mark", F.col("label") + F.when(crc_rest(5) == 4, 2).otherwise(0)).select("doc_id", "mark")
+    every = rows.join(F.broadcast(marked) if few else marked, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(-1)).alias("mark"), "text")
+    slices = scratch.save(every.mapInArrow(sliced, _SLICE), "slices")
+    pairs = scratch.save(count_pairs(slices), "pairs")
+    chosen = marked.where("mark > 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
+    scaled = scratch.save(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "text").mapInArrow(sliced, _SLICE), "scaled")
+    early = Model(pairs.select("before", "word", "stem", F.col("c1").alias("toxic"), F.col("c0").alias("ordinary")), scratch, "early", blocks)
+    fitted = early.features(scaled).select("mark", *(f"x{k}" for k in range(FEATURES))).limit(2 * SCALE_ROWS).toArrow()
+    scale = Scale(np.column_stack([fitted.column(f"x{k}").to_numpy() for k in range(FEATURES)]), fitted.column("mark").to_numpy().astype(np.float64) - 2)
+    for name in ("words", "stems", "lowers", "falls", "table"):
+        scratch.drop(f"early-{name}")
+    whole = Model(pairs.select("before", "word", "stem", (F.col("c1") + F.col("c3")).alias("toxic"), (F.col("c0") + F.col("c2")).alias("ordinary")), scratch, "whole", blocks)
+    for name in ("scaled", "pairs"):
+        scratch.drop(name)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in word_slices(batch.column(1), plain):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.last - part.first), pa.array(scale(ratio_features(part, table.value)))], names=["doc_id", "score"])
+            x = np.column_stack([batch.column(1 + k).to_numpy() for k in range(FEATURES)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scale(x))], names=["doc_id", "score"])
 
     held = F.coalesce(crc_rest(5) == 0, F.lit(True))
-    scored = rows.mapInArrow(score, "doc_id long, score double")
+    scored = whole.features(slices).select("doc_id", *(f"x{k}" for k in range(FEATURES))).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -25,7 +25,7 @@ class Slice:
     names: list[str]
 
 
-def word_slices(texts: pa.Array, prepare: Callable[[bytes], bytes] | None = None) -> Iterator[Slice]:
+def word_slices(texts: pa.Array, prepare: Callable[[bytes], bytes] | None = None, slice_bytes: int = SLICE_BYTES, slice_texts: int = SLICE_TEXTS) -> Iterator[Slice]:
     """Words (runs of other than \\x20, \\x09-\\x0D) of whole texts, null as empty. prepare changes a text's bytes first; it may only
     change ASCII bytes into ASCII bytes."""
     texts = texts.fill_null("").cast(pa.large_binary())
@@ -33,7 +33,7 @@ def word_slices(texts: pa.Array, prepare: Callable[[bytes], bytes] | None = None
     first = 0
     while first < len(texts):
         done = int(sizes[first - 1]) if first else 0
-        last = min(first + SLICE_TEXTS, max(first + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right"))))
+        last = min(first + slice_texts, max(first + 1, int(np.searchsorted(sizes, done + slice_bytes, "right"))))
         part = texts.slice(first, last - first)
         if prepare:
             part = pa.array([prepare(t) for t in part.to_pylist()], pa.large_binary())
