@@ -1,7 +1,7 @@
-"""Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood.
+"""Toxicity: class-conditional Kneser-Ney models of expressions, compared by length-normalised log-likelihood.
 
-The models are tables of real words and pairs of words that grow with the corpus. Documents are numbered in slices; each slice asks
-for its distinct words and pairs, in packed blocks, and gets back what the tables hold of them."""
+An expression is a word with the word before it. Real words and expressions are counted in tables that grow with the corpus; they are
+dealt out by word, so that all a word's expressions, and what they fall back on, stand in one block."""
 
 from __future__ import annotations
 
@@ -10,35 +10,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.llm.common import Scratch, mix64, read_table
 from bytelode.llm.quality_knn import crc_rest
-from bytelode.llm.words import word_slices
+from bytelode.llm.words import Slice, word_slices
 
-#: Characters of a word's beginning.
-STEM = 4
-DISCOUNT = 1.0
 #: Rows that the scale of the score is fitted on, at most: those with the least hash of doc_id.
 SCALE_ROWS = 20_000
 #: Labels that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-WINDOW = 24
-HIGH = 0.5
-#: Log ratios that tell a word of one class from one that chance put there more often.
-CLEAR = (2.0, 4.0)
-FEATURES = 6
-#: Bytes and texts of a slice: larger ones ask less often for the same pair, but 16 MB took an executor beyond 3,000 MB.
-SLICE_BYTES = 4 << 20
-SLICE_TEXTS = 2048
-#: Blocks of the tables for each shuffle partition; a key's lower bits are sent, its upper ones name the block.
-BLOCKS = 4
-LOW_BITS, LOW_BYTES = 48, 6
-_SLICE = "slice long, ids array<long>, marks binary, sizes binary, words binary, stems binary, index binary"
+#: Share of a toxic text's expressions that are taken to be toxic ones, in the mixture's likelihood.
+TOXIC_SHARE = 0.003
+#: Log ratios beyond which expressions are counted.
+CLEAR = (0.5, 1.0, 2.0, 3.0, 4.0)
+FEATURES = 2 + len(CLEAR)
+#: Bytes and texts of a slice.
+SLICE_BYTES = 8 << 20
+SLICE_TEXTS = 4096
+#: Bits that tell apart what stands before one word, and steps of a unit in which log ratios are sent.
+BEFORE_BITS, STEPS = 40, 1024
+#: Words with a greater share of all words than one in this many (or in twice the blocks) are dealt out by expression.
+HOT_SHARE = 2048
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def plain(text: bytes) -> bytes:
@@ -47,14 +46,14 @@ def plain(text: bytes) -> bytes:
 
 
 class WordKeys(dict):
-    """word -> 64-bit hashes of the word and of its beginning, remembered; the memory is emptied when it holds too many words."""
+    """word -> 64-bit hash, remembered; the memory is emptied when it holds too many words."""
 
     LIMIT = 400_000
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = xxhash.xxh64_intdigest(word) or 1, xxhash.xxh64_intdigest(word[:STEM])
+        value = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
             self[word] = value
         return value
@@ -63,214 +62,323 @@ class WordKeys(dict):
 _KEYS = WordKeys()
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, text) -> a row for each slice of texts: its ids and marks, how many words each text has, the keys of the distinct words
-    and of their beginnings (place 0: what stands before a text), and each word's place."""
-    n = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for part in word_slices(batch.column(2), plain, SLICE_BYTES, SLICE_TEXTS):
-            size = part.last - part.first
-            keys = np.array([(0, 0), *map(_KEYS.__getitem__, part.names)], dtype=np.uint64)
-            marks = batch.column(1).slice(part.first, size).to_numpy(zero_copy_only=False).astype(np.int8)
-            blobs = (marks, np.bincount(part.owner, minlength=size).astype(np.int32), keys[:, 0].copy(), keys[:, 1].copy(), (part.index + 1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([batch.column(0).slice(part.first, size).to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)],
-                                             names=["slice", "ids", "marks", "sizes", "words", "stems", "index"])
-            n += 1
+def word_keys(names: list[str]) -> np.ndarray:
+    return np.fromiter(map(_KEYS.__getitem__, names), np.uint64, len(names))
+
+
+def before_keys(keys: np.ndarray) -> np.ndarray:
+    """BEFORE_BITS of a word's key, for where it stands before another; 0 is the start of a text."""
+    return (mix64(keys + np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << BEFORE_BITS) - 1)) | np.uint64(1)
+
+
+def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix64(keys) >> np.uint64(24)).astype(np.int64) % blocks
+
+
+def pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Unsigned whole numbers as planes of equal bytes of all numbers, so that upper bytes, alike or rising, take next to nothing."""
+    planes = [np.array([len(c) for c, _ in columns], "<u8").tobytes()]
+    for values, width in columns:
+        wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+        planes += [wide[:, k].tobytes() for k in range(width)]
+    return _PACK.compress(b"".join(planes))
+
+
+def unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
+    data = np.frombuffer(_UNPACK.decompress(blob), np.uint8)
+    sizes, at, out = data[: 8 * len(widths)].view("<u8").astype(np.int64), 8 * len(widths), []
+    for n, width in zip(sizes.tolist(), widths, strict=True):
+        wide = np.zeros((n, 8), np.uint8)
+        for k in range(width):
+            wide[:, k] = data[at : at + n]
+            at += n
+        out.append(wide.view("<u8").reshape(-1).astype(np.uint64))
+    return out
+
+
+#: Bytes of: words, expressions of each, what stands before, field (document or mark), count.
+_ENTRIES = (8, 4, 5, 2, 4)
+#: Bytes of: documents, sum of log ratios, log-likelihood of the mixture, counts beyond CLEAR.
+_SUMS = (2, 8, 8, *(4 for _ in CLEAR))
+
+
+def dealt(part: Slice, field: np.ndarray, blocks: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(block, packed entries) of a slice's expressions: how often each stands with each value of the field (of a document; below 0:
+    left out). hot: sorted keys of the words that are dealt out by expression."""
+    keys = word_keys(part.names)
+    before = np.zeros(len(part.index), np.int64)
+    before[1:] = np.where(part.owner[1:] == part.owner[:-1], part.index[:-1].astype(np.int64) + 1, 0)
+    used = field[part.owner] >= 0
+    n = len(keys) + 1
+    pairs, pair = np.unique(before[used] * n + part.index[used], return_inverse=True)
+    if not len(pairs):
+        return
+    first, word = np.divmod(pairs, n)
+    contexts = np.concatenate((np.zeros(1, np.uint64), before_keys(keys)))[first]
+    block = block_of(keys, blocks)[word]
+    spread = np.isin(keys, hot)[word]
+    block[spread] = block_of(keys[word[spread]] ^ contexts[spread], blocks)
+    order = np.lexsort((contexts, keys[word], block))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    entries, counts = np.unique(rank[pair] << 16 | field[part.owner[used]], return_counts=True)
+    at = order[entries >> 16]
+    edges = np.searchsorted(block[order], np.arange(blocks + 1))
+    edges = np.searchsorted(entries >> 16, edges)
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        rows = slice(edges[b], edges[b + 1])
+        words = keys[word[at[rows]]]
+        new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        yield b, pack(list(zip((words[new], np.diff(np.append(new, len(words))), contexts[at[rows]], entries[rows] & 0xFFFF, counts[rows]), _ENTRIES, strict=True)))
+
+
+def entries_of(blob: bytes) -> tuple[np.ndarray, ...]:
+    """words (sorted), each entry's place among them, what stands before, field, count."""
+    words, sizes, before, field, count = unpack(blob, _ENTRIES)
+    return words, np.repeat(np.arange(len(words)), sizes.astype(np.int64)), before, field.astype(np.int64), count.astype(np.int64)
+
+
+def heavy_words(docs: DataFrame, blocks: int) -> np.ndarray:
+    """Sorted keys of all words with at least one part in HOT_SHARE (or twice the blocks) of all words, and of few others: what has such a
+    share of all has it in a slice, so slices only name theirs. At most twice as many words as that."""
+    share = max(1, min(HOT_SHARE, 2 * blocks))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in word_slices(batch.column(0), plain, SLICE_BYTES, SLICE_TEXTS):
+                n = np.bincount(part.index, minlength=len(part.names))
+                some = np.flatnonzero(n * 2 * share >= max(1, len(part.index)))
+                keys = word_keys([part.names[k] for k in some]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, 0)), pa.array(np.append(n[some], len(part.index))), pa.array(np.append(np.zeros(len(some), bool), True))], names=["word", "n", "total"])
 
-class Numbered:
-    """A slice's arrays; pairs: its distinct pairs as place before * number of words + place; pair: each word's number among those."""
+    counted = docs.select("text").mapInArrow(count, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
+    every = counted.agg(F.sum(F.when(F.col("total"), F.col("n")))).first()[0] or 0
+    rows = counted.where(~F.col("total") & (F.col("n") * 2 * share >= every)).select("word").collect()
+    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
 
-    def __init__(self, row: dict):
-        self.ids, self.slice = row["ids"], row["slice"]
-        kinds = (("marks", np.int8), ("sizes", np.int32), ("words", np.uint64), ("stems", np.uint64), ("index", np.int32))
-        self.marks, self.sizes, self.words, self.stems, self.index = (np.frombuffer(row[k], t) for k, t in kinds)
-        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.before = np.zeros_like(self.index)
-        self.before[1:] = np.where(self.owner[1:] == self.owner[:-1], self.index[:-1], 0)
-        self.code = self.before.astype(np.int64) * len(self.words) + self.index
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the words, their beginnings and the distinct pairs, one after the other, and each word's pair."""
-        pairs, pair = np.unique(self.code, return_inverse=True)
-        before, word = np.divmod(pairs, len(self.words))
-        return np.concatenate((word_keys(self.words), stem_keys(self.stems), pair_keys(self.words[before], self.words[word]))), pair
+class Counts:
+    """Merged entries of a block: words (sorted), and for each expression its word's place, what stands before, and a count for each mark
+    (0 and 1: the classes; 2 and 3: those of the scale's rows)."""
 
+    _WIDTHS = (8, 4, 5, 4, 4, 4, 4)
 
-def word_keys(words: np.ndarray) -> np.ndarray:
-    return mix64(words + np.uint64(0x51ED270B0A1F39C1))
+    def __init__(self, words: np.ndarray, place: np.ndarray, before: np.ndarray, counts: np.ndarray):
+        self.words, self.place, self.before, self.counts = words, place, before, counts
 
+    @classmethod
+    def merged(cls, blobs: list[bytes]) -> Counts:
+        parts = [entries_of(b) for b in blobs]
+        key, before, mark, count = (np.concatenate([x[0][x[1]] if k == 0 else x[k + 1] for x in parts]) for k in range(4))
+        words, place = np.unique(key, return_inverse=True)
+        order = np.lexsort((before, place))
+        place, before, mark, count = place[order], before[order], mark[order], count[order]
+        new = np.concatenate(([True], (place[1:] != place[:-1]) | (before[1:] != before[:-1]))) if len(place) else np.empty(0, bool)
+        number = np.cumsum(new) - 1
+        counts = np.bincount(number * 4 + mark, weights=count, minlength=4 * int(new.sum())).astype(np.int64).reshape(-1, 4)
+        return cls(words, place[new], before[new], counts)
 
-def stem_keys(stems: np.ndarray) -> np.ndarray:
-    return mix64(mix64(stems) + np.uint64(0x2545F4914F6CDD1D))
+    def packed(self) -> bytes:
+        sizes = np.bincount(self.place, minlength=len(self.words))
+        return pack(list(zip((self.words, sizes, self.before, *self.counts.T), self._WIDTHS, strict=True)))
 
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Counts:
+        words, sizes, before, *counts = unpack(blob, cls._WIDTHS)
+        return cls(words, np.repeat(np.arange(len(words)), sizes.astype(np.int64)), before, np.column_stack(counts).astype(np.int64))
 
-def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix64(mix64(before + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + words)
+    def of(self, early: bool) -> np.ndarray:
+        """Counts of the classes; early: without the scale's rows."""
+        return self.counts[:, :2] if early else self.counts[:, :2] + self.counts[:, 2:]
 
+    def by_word(self, early: bool) -> np.ndarray:
+        """For each word: its continuation counts (expressions that end on it) in class 0, 1 and both together, and its count."""
+        c = self.of(early)
+        both = c.sum(axis=1)
+        return np.column_stack([np.bincount(self.place, weights=w, minlength=len(self.words)) for w in (c[:, 0] > 0, c[:, 1] > 0, both > 0, both)])
 
-def _blocked(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of keys by block, then lower bits; the blocks and the lower bits in that order."""
-    block, low = (keys >> np.uint64(LOW_BITS)).astype(np.int64) % blocks, keys & np.uint64((1 << LOW_BITS) - 1)
-    order = np.lexsort((low, block))
-    return order, block[order], low[order]
 
+def pair_tally(c: np.ndarray) -> np.ndarray:
+    """Of expressions: words and kinds in class 0, class 1 and both, and kinds that stand once and twice in both."""
+    both = c.sum(axis=1)
+    return np.array([c[:, 0].sum(), c[:, 1].sum(), both.sum(), (c[:, 0] > 0).sum(), (c[:, 1] > 0).sum(), (both > 0).sum(), (both == 1).sum(), (both == 2).sum()], np.float64)
 
-def count_pairs(slices: DataFrame) -> DataFrame:
-    """Slices -> before, word, stem and counts of each pair in marked texts: mark 0 and 1 are the classes, 2 and 3 those of the scale's rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x = Numbered(batch.slice(k, 1).to_pylist()[0])
-                marks = x.marks[x.owner]
-                used = marks >= 0
-                pairs, pair = np.unique(x.code[used], return_inverse=True)
-                counts = np.bincount(pair * 4 + marks[used], minlength=4 * len(pairs)).reshape(-1, 4)
-                before, word = np.divmod(pairs, len(x.words))
-                columns = [x.words[before].view(np.int64), x.words[word].view(np.int64), x.stems[word].view(np.int64), *counts.T]
-                for at in range(0, len(pairs), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 100_000])) for c in columns], names=["before", "word", "stem", "c0", "c1", "c2", "c3"])
+def word_tally(w: np.ndarray) -> np.ndarray:
+    """The same of words and their continuation counts."""
+    return np.array([*w[:, :3].sum(axis=0), *(w[:, :3] > 0).sum(axis=0), (w[:, 2] == 1).sum(), (w[:, 2] == 2).sum()], np.float64)
 
-    counted = slices.mapInArrow(count, "before long, word long, stem long, c0 long, c1 long, c2 long, c3 long")
-    return counted.groupBy("before", "word").agg(F.min("stem").alias("stem"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(4)))
+
+def discount(once: float, twice: float) -> float:
+    """Kneser and Ney's estimate from the kinds that were seen once and twice."""
+    return once / (once + 2 * twice) if once else 0.75
 
 
 class Model:
-    """Tables of log P(word | context, toxic) - log P(word | context, ordinary).
-
-    pairs: before, word, stem, toxic, ordinary (counts). Interpolated Kneser-Ney in layers. A class's counts of a word after a context fall
-    back on its continuation counts (contexts that the word follows), these on the counts of the word's beginning times the word's
-    share of it in both classes together, and those on the beginning's continuation counts in both classes: rare expressions get their
-    probability from shared counts. A pair that either class holds twice or more has a row of its own; the discount leaves nothing of
-    the others, which are what their word and their context make them. Further words and beginnings: one unknown of each."""
-
-    def __init__(self, pairs: DataFrame, scratch: Scratch, tag: str, blocks: int):
-        kinds, counts = ("toxic", "ordinary"), pairs.where("toxic + ordinary > 0")
-        words = counts.groupBy("word").agg(F.min("stem").alias("stem"), *(F.sum(c).alias(f"n_{c}") for c in kinds), *(F.sum((F.col(c) > 0).cast("long")).alias(f"f_{c}") for c in kinds))
-        words = scratch.save(words, f"{tag}-words")
-        stems = words.groupBy("stem").agg(F.sum(F.col("f_toxic") + F.col("f_ordinary")).alias("both"), F.count("*").alias("kinds"), *(F.sum(f"n_{c}").alias(f"s_{c}") for c in kinds))
-        stems = scratch.save(stems, f"{tag}-stems")
-        t = stems.agg(F.sum("both").alias("both"), F.count("*").alias("stems"), *(F.sum(f"s_{c}").alias(f"n_{c}") for c in kinds), *(F.sum((F.col(f"s_{c}") > 0).cast("long")).alias(f"k_{c}") for c in kinds)).first().asDict()
-        t |= words.agg(*(F.sum(f"f_{c}").alias(f"f_{c}") for c in kinds), *(F.sum((F.col(f"f_{c}") > 0).cast("long")).alias(f"w_{c}") for c in kinds)).first().asDict()
-        t = {k: float(v or 0) for k, v in t.items()}
-        mass = {c: (t[f"k_{c}"] / t[f"n_{c}"] if t[f"n_{c}"] else 1.0) * (t[f"w_{c}"] / t[f"f_{c}"] if t[f"f_{c}"] else 1.0) for c in kinds}
-        self.mass = float(np.log(mass["toxic"] / mass["ordinary"]))
-
-        def lower(c: str, both, n_kinds, own, begins, follows):
-            """Probability of a word whatever stands before it; numbers or columns: the beginning's continuation counts and words, the
-            word's continuation counts in both classes, and the class's counts of the beginning and contexts of the word."""
-            less = lambda x: (x - DISCOUNT + abs(x - DISCOUNT)) / 2 if not isinstance(x, Column) else F.greatest(x - DISCOUNT, F.lit(0.0))
-            shared = (less(both) + t["stems"] / (t["stems"] + 1)) / t["both"] if t["both"] else 1.0
-            stem = (less(begins) + t[f"k_{c}"] * shared) / t[f"n_{c}"] if t[f"n_{c}"] else shared
-            base = stem * ((own + 1 / (n_kinds + 1)) / (both + 1))
-            return (less(follows) + t[f"w_{c}"] * base) / t[f"f_{c}"] if t[f"f_{c}"] else base
-
-        self.unknown = float(np.log(lower("toxic", 0.0, 0.0, 0.0, 0.0, 0.0) / lower("ordinary", 0.0, 0.0, 0.0, 0.0, 0.0)))
-        of = lambda c, own, follows: lower(c, F.col("both"), F.col("kinds"), own, F.col(f"s_{c}"), follows)
-        lowers = words.join(stems, "stem").select("word", *(of(c, F.col("f_toxic") + F.col("f_ordinary"), F.col(f"f_{c}")).alias(f"low_{c}") for c in kinds))
-        lowers = scratch.save(lowers, f"{tag}-lowers")
-        sizes = counts.groupBy("before").agg(*(F.sum(c).alias(f"size_{c}") for c in kinds), *(F.sum((F.col(c) > 0).cast("long")).alias(f"lost_{c}") for c in kinds))
-        falls = sizes.select("before", *(f"size_{c}" for c in kinds), *(F.when(F.col(f"size_{c}") > 0, F.col(f"lost_{c}") / F.col(f"size_{c}")).otherwise(1.0).alias(f"fall_{c}") for c in kinds))
-        falls = scratch.save(falls, f"{tag}-falls")
-        often = counts.where("toxic > 1 or ordinary > 1").join(lowers, "word").join(falls, "before")
-        p = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"size_{c}"), F.lit(1)) + F.col(f"fall_{c}") * F.col(f"low_{c}") for c in kinds}
-        ln = lambda kind: F.log(F.col(f"{kind}_toxic")) - F.log(F.col(f"{kind}_ordinary"))
-        own = often.select("before", "word", (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("r"), F.greatest(ln("fall") + self.mass, F.lit(0.0)).alias("u"))
-        zero = F.lit(0).cast("long")
-        rows = own.select(F.lit(0).alias("kind"), "before", "word", F.least("r", F.greatest(F.col("r") - F.col("u"), F.lit(0.0))).alias("a"), F.lit(0.0).alias("b"))
-        known = lowers.join(falls.withColumnRenamed("before", "word"), "word", "full")
-        rows = rows.unionByName(known.select(F.lit(1).alias("kind"), zero.alias("before"), "word", F.coalesce(ln("low"), F.lit(0.0)).alias("a"), F.coalesce(ln("fall"), F.lit(0.0)).alias("b")))
-        zeros = F.lit(0.0)
-        new = F.log(of("toxic", zeros, zeros)) - F.log(of("ordinary", zeros, zeros))
-        rows = rows.unionByName(stems.select(F.lit(2).alias("kind"), zero.alias("before"), F.col("stem").alias("word"), new.alias("a"), zeros.alias("b")))
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kind, before, word = (batch.column(k).to_numpy() for k in range(3))
-                before, word = before.view(np.uint64), word.view(np.uint64)
-                key = np.where(kind == 0, pair_keys(before, word), np.where(kind == 1, word_keys(word), stem_keys(word)))
-                order, block, low = _blocked(key, blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(low.view(np.int64)), pa.array(batch.column(3).to_numpy()[order]), pa.array(batch.column(4).to_numpy()[order])], names=["block", "low", "a", "b"])
-
-        self.table = scratch.save(rows.mapInArrow(keyed, "block long, low long, a double, b double"), f"{tag}-table")
-        self.blocks = blocks
-
-    def features(self, slices: DataFrame) -> DataFrame:
-        """Slices -> doc_id, mark and FEATURES numbers of each text."""
-        blocks, mass, unknown = self.blocks, self.mass, self.unknown
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    x = Numbered(batch.slice(k, 1).to_pylist()[0])
-                    _, block, low = _blocked(x.keys()[0], blocks)
-                    edge = np.searchsorted(block, np.arange(blocks + 1))
-                    cut = low.view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
-                    some = np.flatnonzero(np.diff(edge))
-                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.slice] * len(some), pa.int64()), pa.array([cut[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary())], names=["block", "slice", "lows"])
-
-        def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-            low, a, b = (table.column(k).to_numpy() for k in ("low", "a", "b"))
-            order = np.argsort(low)
-            low, a, b = low[order], a[order], b[order]
-            out = []
-            for r in asked.to_pylist():
-                want = np.zeros((len(r["lows"]) // LOW_BYTES, 8), dtype=np.uint8)
-                want[:, :LOW_BYTES] = np.frombuffer(r["lows"], np.uint8).reshape(-1, LOW_BYTES)
-                want = want.view(np.int64).reshape(-1)
-                at = np.minimum(np.searchsorted(low, want), max(0, len(low) - 1))
-                hit = np.flatnonzero(low[at] == want) if len(low) else np.empty(0, np.int64)
-                if len(hit):
-                    at = at[hit]
-                    out.append((r["slice"], r["block"], hit.astype(np.int32).tobytes(), a[at].astype(np.float32).tobytes(), b[at].astype(np.float32).tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["slice", "block", "hits", "a", "b"])
-
-        def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
-            ids, marks, parts = [], [], []
-            for row in own.to_pylist():
-                x = Numbered(row)
-                keys, pair = x.keys()
-                order, block, _ = _blocked(keys, blocks)
-                edge = np.searchsorted(block, np.arange(blocks + 1))
-                a, b = np.full(len(keys), np.nan, np.float32), np.zeros(len(keys), np.float32)
-                for r in answers.to_pylist():
-                    at = order[edge[r["block"]] + np.frombuffer(r["hits"], np.int32)]
-                    a[at], b[at] = np.frombuffer(r["a"], np.float32), np.frombuffer(r["b"], np.float32)
-                n = len(x.words)
-                word = np.where(np.isnan(a[:n]), np.where(np.isnan(a[n : 2 * n]), np.float32(unknown), a[n : 2 * n]), a[:n])
-                ratio = word[x.index].astype(np.float64) + b[:n][x.before]
-                ratio = np.minimum(ratio, np.maximum(ratio - np.maximum(b[:n][x.before] + mass, 0), 0))
-                seen = a[2 * n :][pair]
-                ids += row["ids"]
-                marks.append(x.marks)
-                parts.append(ratio_features(np.where(np.isnan(seen), ratio, seen), x.owner, len(x.sizes)))
-            every = np.concatenate(parts) if parts else np.empty((0, FEATURES))
-            return pa.table([pa.array(ids, pa.int64()), pa.array(np.concatenate(marks) if marks else np.empty(0, np.int8)).cast(pa.int32()), *(pa.array(np.ascontiguousarray(every[:, k])) for k in range(FEATURES))], names=["doc_id", "mark", *(f"x{k}" for k in range(FEATURES))])
-
-        asked = slices.mapInArrow(ask, "block long, slice long, lows binary")
-        answers = asked.groupBy("block").cogroup(self.table.groupBy("block")).applyInArrow(answer, "slice long, block long, hits binary, a binary, b binary")
-        return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, "doc_id long, mark int, " + ", ".join(f"x{k} double" for k in range(FEATURES)))
-
-
-def ratio_features(ratio: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """FEATURES numbers for each of n texts: the mean of its words' log ratios, the greatest mean of WINDOW words in a row (shorter
-    texts: of all, as if filled up with zeros), the share and the log of the number of words with a ratio above HIGH, and the log of the
-    number with a ratio above each of CLEAR."""
-    words = np.bincount(owner, minlength=n)
-    least = np.maximum(words, 1)
-    ends = np.cumsum(words)
-    total = np.concatenate(([0.0], np.cumsum(ratio)))
-    at = np.arange(len(ratio))
-    begin = np.maximum(at + 1 - WINDOW, (ends - words)[owner])
-    window = (total[at + 1] - total[begin]) / WINDOW
-    top = np.zeros(n)
-    filled = words > 0
-    if len(window):
-        top[filled] = np.maximum.reduceat(window, (ends - words)[filled])
-    high = np.bincount(owner, weights=ratio > HIGH, minlength=n)
-    return np.column_stack((np.bincount(owner, weights=ratio, minlength=n) / least, top, high / least, np.log1p(high), *(np.log1p(np.bincount(owner, weights=ratio > c, minlength=n)) for c in CLEAR)))
+    """What all blocks share: discounts, weights and totals, and the words that are dealt out by expression.
+
+    P(expression | class) = (1 - a) * discounted share of the expression in the class + a * P(word | class) * share of the expression among
+    those of its word in both classes; P(word | class) = (1 - b) * discounted share of the word's continuation count in the class
+    + b * its share in both classes. a and b, the shares that discounting both classes' counts frees, and the shares at their ends come
+    from both classes together: what neither class has seen tells them apart in nothing."""
+
+    def __init__(self, pairs: np.ndarray, words: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
+        self.pairs, self.words, self.hot, self.hot_counts = pairs, words, hot, hot_counts
+        self.cut, self.low_cut = discount(pairs[6], pairs[7]), discount(words[6], words[7])
+        self.a = self.cut * pairs[5] / pairs[2] if pairs[2] else 1.0
+        self.b = self.low_cut * words[5] / words[2] if words[2] else 1.0
+
+    def word_probabilities(self, w: np.ndarray) -> np.ndarray:
+        """For each row of continuation counts (class 0, 1, both): P(word | class 0), P(word | class 1)."""
+        t, cut = self.words, self.low_cut
+        shared = (np.maximum(w[:, 2] - cut, 0) + cut * t[5] / (t[5] + 1)) / t[2] if t[2] else np.ones(len(w))
+        out = []
+        for c in (0, 1):
+            mass = t[c] - cut * t[3 + c]
+            out.append((1 - self.b) * np.maximum(w[:, c] - cut, 0) / mass + self.b * shared if mass > 0 else shared)
+        return np.column_stack(out)
+
+    def ratios(self, block: Counts, early: bool) -> tuple[np.ndarray, np.ndarray]:
+        """log P(... | toxic) - log P(... | ordinary) of a block's words, for expressions that neither class holds, and of its expressions."""
+        w = block.by_word(early)
+        at = np.minimum(np.searchsorted(self.hot, block.words), max(0, len(self.hot) - 1))
+        is_hot = self.hot[at] == block.words if len(self.hot) else np.zeros(len(block.words), bool)
+        w[is_hot] = self.hot_counts[at[is_hot]]
+        low = self.word_probabilities(w)
+        c, t = block.of(early), self.pairs
+        share = c.sum(axis=1) / np.maximum(w[block.place, 3], 1)
+        p = []
+        for k in (0, 1):
+            mass = t[k] - self.cut * t[3 + k]
+            back = low[block.place, k] * share
+            p.append((1 - self.a) * np.maximum(c[:, k] - self.cut, 0) / mass + self.a * back if mass > 0 else back)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            word, pair = np.log(low[:, 1] / low[:, 0]), np.log(p[1] / p[0])
+        return word, np.where(share > 0, pair, word[block.place])
+
+
+def lookup(block: Counts, ratios: tuple[np.ndarray, np.ndarray], words: np.ndarray, place: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The log ratio of each entry: of its expression, else of its word, else 0."""
+    if not len(block.words):
+        return np.zeros(len(place))
+    at = np.minimum(np.searchsorted(block.words, words), len(block.words) - 1)
+    known = block.words[at] == words
+    out = np.where(known, ratios[0][at], 0.0)[place]
+    key = block.place.astype(np.uint64) << np.uint64(BEFORE_BITS) | block.before
+    want = at[place].astype(np.uint64) << np.uint64(BEFORE_BITS) | before
+    hit = np.minimum(np.searchsorted(key, want), len(key) - 1)
+    seen = known[place] & (key[hit] == want)
+    out[seen] = ratios[1][hit[seen]]
+    return out
+
+
+def text_sums(ratio: np.ndarray, field: np.ndarray, count: np.ndarray) -> bytes:
+    """Packed sums of each document's log ratios. Sums are whole steps, so their order changes nothing."""
+    docs, own = np.unique(field, return_inverse=True)
+    mixture = np.log1p(TOXIC_SHARE * np.expm1(ratio))
+    total = lambda x: np.bincount(own, weights=x * count, minlength=len(docs))
+    steps = [np.rint(total(np.rint(x * STEPS))).astype(np.int64).view(np.uint64) for x in (ratio, mixture)]
+    return pack(list(zip((docs, *steps, *(total(ratio > c) for c in CLEAR)), _SUMS, strict=True)))
+
+
+def text_features(blobs: list[bytes], words: np.ndarray) -> np.ndarray:
+    """FEATURES numbers of each text of a slice: the length-normalised difference of the log-likelihoods, that of a mixture in which
+    TOXIC_SHARE of the expressions are toxic, and the logs of the numbers of expressions beyond each of CLEAR."""
+    sums = np.zeros((len(words), FEATURES))
+    for blob in blobs:
+        docs, *columns = unpack(blob, _SUMS)
+        for k, x in enumerate(columns):
+            sums[docs.astype(np.int64), k] += x.view(np.int64) / STEPS if k < 2 else x.astype(np.float64)
+    least = np.maximum(words, 1)[:, None]
+    return np.column_stack((sums[:, :2] / least, np.log1p(sums[:, 2:])))
+
+
+def count_blocks(marked: DataFrame, blocks: int, hot: np.ndarray, scratch: Scratch) -> DataFrame:
+    """marked(mark, text) -> the table `pairs`: block, pairs (packed Counts), tally (of the early and the whole model), and hot (packed: of
+    the words that are dealt out by expression, key and by_word of both models)."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in word_slices(batch.column(1), plain, SLICE_BYTES, SLICE_TEXTS):
+                marks = batch.column(0).slice(part.first, part.last - part.first).to_numpy(zero_copy_only=False).astype(np.int64)
+                rows = list(dealt(part, marks, blocks, hot))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["block", "blob"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        block = Counts.merged(rows.column("blob").to_pylist())
+        is_hot = np.isin(block.words, hot)
+        tally, spread = [], [block.words[is_hot]]
+        for early in (True, False):
+            w = block.by_word(early)
+            tally += [*pair_tally(block.of(early)), *word_tally(w[~is_hot])]
+            spread += list(w[is_hot].T)
+        return pa.table([rows.column("block").slice(0, 1), pa.array([block.packed()], pa.binary()), pa.array([tally], pa.list_(pa.float64())), pa.array([pack([(x, 8) for x in spread])], pa.binary())], names=["block", "pairs", "tally", "hot"])
+
+    dealt_out = marked.mapInArrow(deal, "block long, blob binary")
+    return scratch.save(dealt_out.groupBy("block").applyInArrow(merge, "block long, pairs binary, tally array<double>, hot binary"), "pairs", codec="uncompressed")
+
+
+def fit_models(pairs: DataFrame, hot: np.ndarray) -> list[Model]:
+    """The early and the whole model. What reaches the driver is one row of sums and one for each of the heavy words."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                columns = [c.view(np.int64) for c in unpack(blob, (8,) * 9)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", *(f"w{k}" for k in range(8))])
+
+    total = pairs.agg(*(F.sum(F.get("tally", k)) for k in range(32))).first()
+    tally = np.array([x or 0.0 for x in total]).reshape(2, 2, 8)
+    counted = pairs.select("hot").mapInArrow(spread, "word long, " + ", ".join(f"w{k} long" for k in range(8))).groupBy("word").agg(*(F.sum(f"w{k}") for k in range(8))).collect() if len(hot) else []
+    own = np.zeros((len(hot), 8))
+    for r in counted:
+        own[np.searchsorted(hot, np.array([r["word"]], np.int64).view(np.uint64))[0]] = r[1:]
+    return [Model(tally[k, 0], tally[k, 1] + word_tally(own[:, 4 * k : 4 * k + 4]), hot, own[:, 4 * k : 4 * k + 4]) for k in (0, 1)]
+
+
+def features(docs: DataFrame, pairs: DataFrame, model: Model, early: bool, blocks: int) -> DataFrame:
+    """docs(doc_id, mark, text) -> doc_id, mark, and FEATURES numbers. Slices send their entries to the blocks and get back a row of sums for
+    each block that they touch; ids take the same way, so that they match however a slice was cut."""
+    hot = model.hot
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in word_slices(batch.column(2), plain, SLICE_BYTES, SLICE_TEXTS):
+                size = part.last - part.first
+                ids, marks = (batch.column(k).slice(part.first, size) for k in (0, 1))
+                head = [ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False), marks.to_numpy(zero_copy_only=False) + 1, np.bincount(part.owner, minlength=size)]
+                rows = list(dealt(part, np.arange(size), blocks, hot))
+                yield pa.RecordBatch.from_arrays([pa.array([n % blocks, *(b for b, _ in rows)], pa.int64()), pa.array([n] * (1 + len(rows)), pa.int64()), pa.array([True] + [False] * len(rows)), pa.array([pack(list(zip(head, (8, 1, 1, 4), strict=True))), *(x for _, x in rows)], pa.binary())],
+                                                 names=["block", "slice", "head", "blob"])
+                n += 1
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        block = Counts.unpacked(table.column("pairs")[0].as_py()) if table.num_rows else Counts.merged([pack([(np.empty(0, np.uint64), w) for w in _ENTRIES])])
+        ratios = model.ratios(block, early)
+        out = []
+        for k in range(asked.num_rows):
+            blob = asked.column("blob")[k].as_py()
+            if not asked.column("head")[k].as_py():
+                words, place, before, field, count = entries_of(blob)
+                blob = text_sums(lookup(block, ratios, words, place, before), field, count)
+            out.append(blob)
+        return pa.table([asked.column("slice"), asked.column("head"), pa.array(out, pa.binary())], names=["slice", "head", "blob"])
+
+    def finish(rows: pa.Table) -> pa.Table:
+        head, blobs = None, []
+        for is_head, blob in zip(rows.column("head").to_pylist(), rows.column("blob").to_pylist(), strict=True):
+            if is_head:
+                head = unpack(blob, (8, 1, 1, 4))
+            else:
+                blobs.append(blob)
+        ids, null, marks, words = head
+        x = text_features(blobs, words.astype(np.int64))
+        return pa.table([pa.array(ids.view(np.int64), mask=null.astype(bool)), pa.array(marks.astype(np.int32) - 1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(FEATURES))], names=["doc_id", "mark", *(f"x{k}" for k in range(FEATURES))])
+
+    asked = docs.select("doc_id", "mark", "text").mapInArrow(ask, "block long, slice long, head boolean, blob binary")
+    answers = asked.groupBy("block").cogroup(pairs.select("block", "pairs").groupBy("block")).applyInArrow(answer, "slice long, head boolean, blob binary")
+    return answers.groupBy("slice").applyInArrow(finish, "doc_id long, mark int, " + ", ".join(f"x{k} double" for k in range(FEATURES)))
 
 
 class Scale:
@@ -302,29 +410,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels are learned from rows of labels(doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0, and the models count all those.
     The scale of the score is fitted on rows with remainder 4, scored by models that count remainders 1 to 3 only. The least label of a
     doc_id counts. A null or empty text is scored like any other; a null doc_id is held out. Repeated rows get a row each; further
-    columns are ignored.
+    columns are ignored. Documents are read three times (heavy words, counts, scores).
     """
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     known = known.where(crc_rest(5) != 0).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"))
-    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(spark, "toxicity")
-    blocks = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = known.withColumn("mark", F.col("label") + F.when(crc_rest(5) == 4, 2).otherwise(0)).select("doc_id", "mark")
-    every = rows.join(F.broadcast(marked) if few else marked, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(-1)).alias("mark"), "text")
-    slices = scratch.save(every.mapInArrow(sliced, _SLICE), "slices")
-    pairs = scratch.save(count_pairs(slices), "pairs")
+    marked = scratch.save(known.select("doc_id", (F.col("label") + F.when(crc_rest(5) == 4, 2).otherwise(0)).alias("mark")), "marks")
+    few = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A block holds the entries of two shuffle partitions' worth of input.
+    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    hot = heavy_words(rows, blocks)
+    pairs = count_blocks(rows.join(F.broadcast(marked) if few else marked, "doc_id").select("mark", "text"), blocks, hot, scratch)
+    early, whole = fit_models(pairs, hot)
     chosen = marked.where("mark > 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
-    scaled = scratch.save(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "text").mapInArrow(sliced, _SLICE), "scaled")
-    early = Model(pairs.select("before", "word", "stem", F.col("c1").alias("toxic"), F.col("c0").alias("ordinary")), scratch, "early", blocks)
-    fitted = early.features(scaled).select("mark", *(f"x{k}" for k in range(FEATURES))).limit(2 * SCALE_ROWS).toArrow()
-    scale = Scale(np.column_stack([fitted.column(f"x{k}").to_numpy() for k in range(FEATURES)]), fitted.column("mark").to_numpy().astype(np.float64) - 2)
-    for name in ("words", "stems", "lowers", "falls", "table"):
-        scratch.drop(f"early-{name}")
-    whole = Model(pairs.select("before", "word", "stem", (F.col("c1") + F.col("c3")).alias("toxic"), (F.col("c0") + F.col("c2")).alias("ordinary")), scratch, "whole", blocks)
-    for name in ("scaled", "pairs"):
-        scratch.drop(name)
+    fitted = features(rows.join(F.broadcast(chosen), "doc_id"), pairs, early, True, blocks).select("mark", *(f"x{k}" for k in range(FEATURES))).limit(2 * SCALE_ROWS).toArrow()
+    order = np.lexsort([fitted.column(k).to_numpy() for k in range(FEATURES + 1)])
+    scale = Scale(np.column_stack([fitted.column(f"x{k}").to_numpy() for k in range(FEATURES)])[order], fitted.column("mark").to_numpy().astype(np.float64)[order] - 2)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +435,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scale(x))], names=["doc_id", "score"])
 
     held = F.coalesce(crc_rest(5) == 0, F.lit(True))
-    scored = whole.features(slices).select("doc_id", *(f"x{k}" for k in range(FEATURES))).mapInArrow(score, "doc_id long, score double")
+    scored = features(rows.withColumn("mark", F.lit(-1)), pairs, whole, False, blocks).select("doc_id", *(f"x{k}" for k in range(FEATURES))).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -367,64 +367,64 @@ def test_quality_knn_and_toxicity(spark, docs):
     assert toxicity.toxicity_scores(empty(docs), marks).count() == 0 and quality_knn.quality_scores(empty(docs), marks).count() == 0
 
 
-def test_toxicity_tables_hold_real_pairs_of_all_learned_rows(spark):
+def test_toxicity_features_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE_TEXTS", 16)  # several slices a task
     rest = lambda i: zlib.crc32(str(i).encode()) % 5
     r = random.Random(2)
-    texts = {i: [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnr')}{r.randint(0, 3000)}" for _ in range(40)] for i in range(300)}
+    texts = {i: ["the" if r.random() < 0.4 else f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.randint(0, 40)}" for _ in range(40)] for i in range(300)}
     for i in range(0, 300, 6):
         texts[i][7:9] = ["late", "venom"] if rest(i) == 4 else ["grim", "slur"]
-    rows = spark.createDataFrame([(i, int(i % 6 == 0), " ".join(t)) for i, t in texts.items() if rest(i)], "doc_id long, label int, text string")
-    marked = rows.select("doc_id", (F.col("label") + F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4, 2).otherwise(0)).alias("mark"), "text").repartition(3)
-    slices = Scratch(spark, "test").save(marked.mapInArrow(toxicity.sliced, toxicity._SLICE), "slices")
-    counts = [Counter(), Counter()]
-    for i, t in texts.items():
-        if rest(i):
-            counts[i % 6 == 0].update(zip(["", *t], t))
-    want = Counter((counts[0][p], counts[1][p]) for p in counts[0].keys() | counts[1].keys())
-    pairs = toxicity.count_pairs(slices).select((F.col("c0") + F.col("c2")).alias("ordinary"), (F.col("c1") + F.col("c3")).alias("toxic"), "before", "word", "stem").cache()
-    assert Counter((p["ordinary"], p["toxic"]) for p in pairs.collect()) == want
-
-    both = [Counter(), Counter()]
-    follows, begins, size, lost = ([Counter(), Counter()] for _ in range(4))
-    for k in (0, 1):
-        for (h, w), n in counts[k].items():
-            both[k][w] += 1
-            follows[k][w] += 1
-            begins[k][w[:4]] += n
-            size[k][h] += n
-            lost[k][h] += 1
-    known = set(follows[0]) | set(follows[1])
-    stem_both, kinds = Counter(), Counter()
-    for w in known:
-        stem_both[w[:4]] += follows[0][w] + follows[1][w]
-        kinds[w[:4]] += 1
-    total, stems = sum(stem_both.values()), len(kinds)
-    mass = [len(begins[k]) / sum(begins[k].values()) * len(follows[k]) / sum(follows[k].values()) for k in (0, 1)]
-
-    def p(k, h, w):
-        s = w[:4]
-        shared = (max(stem_both[s] - 1, 0) + stems / (stems + 1)) / total
-        stem = (max(begins[k][s] - 1, 0) + len(begins[k]) * shared) / sum(begins[k].values())
-        base = stem * (follows[0][w] + follows[1][w] + 1 / (kinds[s] + 1)) / (stem_both[s] + 1)
-        low = (max(follows[k][w] - 1, 0) + len(follows[k]) * base) / sum(follows[k].values())
-        fall = lost[k][h] / size[k][h] if size[k][h] else 1
-        return max(counts[k][h, w] - 1, 0) / max(size[k][h], 1) + fall * low, fall * mass[k]
-
-    new = [(1, "grim slur and late venom new7 bal9999x"), (2, None), (3, texts[6] and " ".join(texts[6])), (4, "late venom " * 20)]
+    marked = spark.createDataFrame([((i % 6 == 0) + 2 * (rest(i) == 4), " ".join(t)) for i, t in texts.items() if rest(i)], "mark int, text string").repartition(3)
+    new = [(1, "Grim slur and late venom new7 bal9999x"), (2, None), (3, " ".join(texts[6])), (None, "late VENOM " * 20), (5, "the the the be1 the")]
     asked = spark.createDataFrame(new, "doc_id long, text string").select("doc_id", F.lit(-1).alias("mark"), "text")
-    asked = Scratch(spark, "test").save(asked.mapInArrow(toxicity.sliced, toxicity._SLICE), "slices")
-    model = toxicity.Model(pairs, Scratch(spark, "test"), "m", 7)
-    got = {g["doc_id"]: g for g in model.features(asked).collect()}
-    for i, t in new:
-        ratios = []
-        w = (t or "").split()
-        for h, x in zip(["", *w], w):
-            (a, u), (b, v) = p(1, h, x), p(0, h, x)
-            ratio = np.log(a) - np.log(b)
-            ratios.append(min(ratio, max(ratio - max(np.log(u) - np.log(v), 0), 0)))
-        assert abs(got[i]["x0"] - (np.mean(ratios) if ratios else 0)) < 1e-4, i
-        assert abs(got[i]["x3"] - np.log1p(sum(x > 0.5 for x in ratios))) < 1e-6, i
-    assert got[4]["x0"] > 1  # an expression that only rows with remainder 4 hold
+    hot = toxicity.heavy_words(marked, 3)
+    assert toxicity.word_keys(["the"])[0] in hot and len(hot) <= 12
+    pairs = toxicity.count_blocks(marked, 3, hot, Scratch(spark, "test"))
+    models = toxicity.fit_models(pairs, hot)
+    for early, model in zip((True, False), models, strict=True):
+        c = [Counter(), Counter()]
+        for i, t in texts.items():
+            if rest(i) and not (early and rest(i) == 4):
+                c[i % 6 == 0].update(zip(["", *t], t))
+        both = c[0] + c[1]
+        kinds = [Counter(w for _, w in x) for x in (*c, both)]
+        word_n = Counter()
+        for (_, w), n in both.items():
+            word_n[w] += n
+        estimate = lambda x: (n1 := sum(v == 1 for v in x.values())) / (n1 + 2 * sum(v == 2 for v in x.values()))
+        cut, low = estimate(both), estimate(kinds[2])
+        a, b = cut * len(both) / sum(both.values()), low * len(kinds[2]) / sum(kinds[2].values())
+
+        def share(counter, key, cut):
+            return max(counter[key] - cut, 0) / sum(max(v - cut, 0) for v in counter.values())
+
+        def word(k, w):
+            common = (max(kinds[2][w] - low, 0) + low * len(kinds[2]) / (len(kinds[2]) + 1)) / sum(kinds[2].values())
+            return (1 - b) * share(kinds[k], w, low) + b * common
+
+        def ratio(h, w):
+            if (h, w) not in both:
+                return np.log(word(1, w) / word(0, w))
+            p = [(1 - a) * share(c[k], (h, w), cut) + a * word(k, w) * both[h, w] / word_n[w] for k in (0, 1)]
+            return np.log(p[1] / p[0])
+
+        got = {g["doc_id"]: g for g in toxicity.features(asked, pairs, model, early, 3).collect()}
+        assert len(got) == len(new)
+        for i, t in new:
+            w = (t or "").lower().split()
+            x = np.array([ratio(h, v) for h, v in zip(["", *w], w)])
+            want = [x.mean() if w else 0, np.log1p(toxicity.TOXIC_SHARE * np.expm1(x)).mean() if w else 0, *(np.log1p((x > t).sum()) for t in toxicity.CLEAR)]
+            assert np.allclose([got[i][f"x{k}"] for k in range(toxicity.FEATURES)], want, atol=2e-3), (early, i)
+    whole = {g["doc_id"]: g for g in toxicity.features(asked, pairs, models[1], False, 3).collect()}
+    assert whole[None]["x0"] > 1  # an expression that only the scale's rows hold
+
+
+def test_toxicity_scores_of_odd_tables(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.toxicity_scores(docs, none).where("predicted <> 0").count() == 0
+    one = spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, one).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in docs.collect()) and all(0 <= r["score"] <= 1 for r in got)
 
 
 def test_pipeline(spark, data):
