@@ -35,6 +35,10 @@ SLICE_TEXTS = 4096
 BEFORE_BITS, STEPS = 40, 1024
 #: Words with a greater share of all words than one in this many (or in twice the blocks) are dealt out by expression.
 HOT_SHARE = 2048
+#: Frequent words that are sent by rank, in two bytes, not by hash. How many they are changes no result.
+COMMON = 65_535
+#: An expression has its own ratio from so many places on, in all learnable rows; with fewer, discounts leave it to its word.
+LEAST_COUNT = 2
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -96,15 +100,44 @@ def unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-#: Bytes of: words, expressions of each, what stands before, field (document or mark), count.
-_ENTRIES = (8, 4, 5, 2, 4)
+#: Bytes of: ranks of words, hashes of those without one, entries of each word, ranks of what stands before, hashes of what has none, field
+#: (document or mark), count.
+_ENTRIES = (2, 8, 4, 2, 5, 2, 4)
 #: Bytes of: documents, sum of log ratios, log-likelihood of the mixture, counts beyond CLEAR.
 _SUMS = (2, 8, 8, *(4 for _ in CLEAR))
 
 
-def dealt(part: Slice, field: np.ndarray, blocks: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+class Lexicon:
+    """hot: sorted keys of the words that are dealt out by expression. common: keys of frequent words by rank, from 1 on; before, their
+    keys where they stand before a word, with the start of a text after them."""
+
+    def __init__(self, hot: np.ndarray, common: np.ndarray):
+        self.hot, self.common = hot, common
+        self.before = np.concatenate((before_keys(common), np.zeros(1, np.uint64)))[:COMMON]
+        self._orders = [np.argsort(x) for x in (self.common, self.before)]
+
+    def _ranks(self, keys: np.ndarray, k: int) -> np.ndarray:
+        table, order = (self.common, self.before)[k], self._orders[k]
+        if not len(table):
+            return np.zeros(len(keys), np.int64)
+        at = order[np.minimum(np.searchsorted(table[order], keys), len(table) - 1)]
+        return np.where(table[at] == keys, at + 1, 0)
+
+    def coded(self, keys: np.ndarray, before: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (0: none) and the hashes of what has none."""
+        ranks = self._ranks(keys, int(before))
+        return ranks, keys[ranks == 0]
+
+    def decoded(self, ranks: np.ndarray, others: np.ndarray, before: bool) -> np.ndarray:
+        out, known = np.empty(len(ranks), np.uint64), ranks > 0
+        out[known] = (self.common, self.before)[int(before)][ranks[known].astype(np.int64) - 1]
+        out[~known] = others
+        return out
+
+
+def dealt(part: Slice, field: np.ndarray, blocks: int, lexicon: Lexicon) -> Iterator[tuple[int, bytes]]:
     """(block, packed entries) of a slice's expressions: how often each stands with each value of the field (of a document; below 0:
-    left out). hot: sorted keys of the words that are dealt out by expression."""
+    left out)."""
     keys = word_keys(part.names)
     before = np.zeros(len(part.index), np.int64)
     before[1:] = np.where(part.owner[1:] == part.owner[:-1], part.index[:-1].astype(np.int64) + 1, 0)
@@ -116,7 +149,7 @@ def dealt(part: Slice, field: np.ndarray, blocks: int, hot: np.ndarray) -> Itera
     first, word = np.divmod(pairs, n)
     contexts = np.concatenate((np.zeros(1, np.uint64), before_keys(keys)))[first]
     block = block_of(keys, blocks)[word]
-    spread = np.isin(keys, hot)[word]
+    spread = np.isin(keys, lexicon.hot)[word]
     block[spread] = block_of(keys[word[spread]] ^ contexts[spread], blocks)
     order = np.lexsort((contexts, keys[word], block))
     rank = np.empty(len(order), np.int64)
@@ -129,46 +162,54 @@ def dealt(part: Slice, field: np.ndarray, blocks: int, hot: np.ndarray) -> Itera
         rows = slice(edges[b], edges[b + 1])
         words = keys[word[at[rows]]]
         new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-        yield b, pack(list(zip((words[new], np.diff(np.append(new, len(words))), contexts[at[rows]], entries[rows] & 0xFFFF, counts[rows]), _ENTRIES, strict=True)))
+        columns = (*lexicon.coded(words[new], False), np.diff(np.append(new, len(words))), *lexicon.coded(contexts[at[rows]], True), entries[rows] & 0xFFFF, counts[rows])
+        yield b, pack(list(zip(columns, _ENTRIES, strict=True)))
 
 
-def entries_of(blob: bytes) -> tuple[np.ndarray, ...]:
+def entries_of(blob: bytes, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     """words (sorted), each entry's place among them, what stands before, field, count."""
-    words, sizes, before, field, count = unpack(blob, _ENTRIES)
+    ranks, others, sizes, before_ranks, before_others, field, count = unpack(blob, _ENTRIES)
+    words, before = lexicon.decoded(ranks, others, False), lexicon.decoded(before_ranks, before_others, True)
     return words, np.repeat(np.arange(len(words)), sizes.astype(np.int64)), before, field.astype(np.int64), count.astype(np.int64)
 
 
-def heavy_words(docs: DataFrame, blocks: int) -> np.ndarray:
-    """Sorted keys of all words with at least one part in HOT_SHARE (or twice the blocks) of all words, and of few others: what has such a
-    share of all has it in a slice, so slices only name theirs. At most twice as many words as that."""
+def heavy_words(docs: DataFrame, blocks: int) -> Lexicon:
+    """hot: all words with at least one part in HOT_SHARE (or twice the blocks) of all words, and few others; common: COMMON frequent words
+    at most. What has such a share of all words has it in a task, so tasks only name what is frequent there."""
     share = max(1, min(HOT_SHARE, 2 * blocks))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             for part in word_slices(batch.column(0), plain, SLICE_BYTES, SLICE_TEXTS):
                 n = np.bincount(part.index, minlength=len(part.names))
-                some = np.flatnonzero(n * 2 * share >= max(1, len(part.index)))
-                keys = word_keys([part.names[k] for k in some]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, 0)), pa.array(np.append(n[some], len(part.index))), pa.array(np.append(np.zeros(len(some), bool), True))], names=["word", "n", "total"])
+                some = np.flatnonzero(n)
+                own = np.concatenate((keys, word_keys([part.names[k] for k in some.tolist()])))
+                keys, number = np.unique(own, return_inverse=True)
+                counts = np.bincount(number, weights=np.concatenate((counts, n[some]))).astype(np.int64)
+        total = int(counts.sum())
+        often = counts * 2 * max(share, COMMON) >= total
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(counts[often], total)), pa.array(np.append(np.zeros(int(often.sum()), bool), True))], names=["word", "n", "total"])
 
     counted = docs.select("text").mapInArrow(count, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
-    every = counted.agg(F.sum(F.when(F.col("total"), F.col("n")))).first()[0] or 0
-    rows = counted.where(~F.col("total") & (F.col("n") * 2 * share >= every)).select("word").collect()
-    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
+    rows = counted.orderBy(F.desc("total"), F.desc("n"), "word").limit(1 + COMMON).collect()
+    every = sum(r["n"] for r in rows if r["total"])
+    words = np.array([r["word"] for r in rows if not r["total"]], np.int64).view(np.uint64)
+    hot = np.array([r["n"] * 2 * share >= every for r in rows if not r["total"]], bool)
+    return Lexicon(np.sort(words[hot]), words)
 
 
 class Counts:
     """Merged entries of a block: words (sorted), and for each expression its word's place, what stands before, and a count for each mark
     (0 and 1: the classes; 2 and 3: those of the scale's rows)."""
 
-    _WIDTHS = (8, 4, 5, 4, 4, 4, 4)
-
     def __init__(self, words: np.ndarray, place: np.ndarray, before: np.ndarray, counts: np.ndarray):
         self.words, self.place, self.before, self.counts = words, place, before, counts
 
     @classmethod
-    def merged(cls, blobs: list[bytes]) -> Counts:
-        parts = [entries_of(b) for b in blobs]
+    def merged(cls, blobs: list[bytes], lexicon: Lexicon) -> Counts:
+        none = tuple(np.empty(0, k) for k in (np.uint64, np.int64, np.uint64, np.int64, np.int64))
+        parts = [none, *(entries_of(b, lexicon) for b in blobs)]
         key, before, mark, count = (np.concatenate([x[0][x[1]] if k == 0 else x[k + 1] for x in parts]) for k in range(4))
         words, place = np.unique(key, return_inverse=True)
         order = np.lexsort((before, place))
@@ -178,15 +219,6 @@ class Counts:
         counts = np.bincount(number * 4 + mark, weights=count, minlength=4 * int(new.sum())).astype(np.int64).reshape(-1, 4)
         return cls(words, place[new], before[new], counts)
 
-    def packed(self) -> bytes:
-        sizes = np.bincount(self.place, minlength=len(self.words))
-        return pack(list(zip((self.words, sizes, self.before, *self.counts.T), self._WIDTHS, strict=True)))
-
-    @classmethod
-    def unpacked(cls, blob: bytes) -> Counts:
-        words, sizes, before, *counts = unpack(blob, cls._WIDTHS)
-        return cls(words, np.repeat(np.arange(len(words)), sizes.astype(np.int64)), before, np.column_stack(counts).astype(np.int64))
-
     def of(self, early: bool) -> np.ndarray:
         """Counts of the classes; early: without the scale's rows."""
         return self.counts[:, :2] if early else self.counts[:, :2] + self.counts[:, 2:]
@@ -195,7 +227,28 @@ class Counts:
         """For each word: its continuation counts (expressions that end on it) in class 0, 1 and both together, and its count."""
         c = self.of(early)
         both = c.sum(axis=1)
-        return np.column_stack([np.bincount(self.place, weights=w, minlength=len(self.words)) for w in (c[:, 0] > 0, c[:, 1] > 0, both > 0, both)])
+        return np.column_stack([np.bincount(self.place, weights=w, minlength=len(self.words)) for w in (c[:, 0] > 0, c[:, 1] > 0, both > 0, both)]).astype(np.int64)
+
+    def packed(self) -> bytes:
+        """All words with by_word of both models, and the expressions that can have a ratio of their own."""
+        keep = self.counts.sum(axis=1) >= LEAST_COUNT
+        sizes = np.bincount(self.place[keep], minlength=len(self.words))
+        return pack(list(zip((self.words, *self.by_word(True).T, *self.by_word(False).T, sizes, self.before[keep], *self.counts[keep].T), _TABLE, strict=True)))
+
+
+#: Bytes of: words, by_word of the early and the whole model, expressions of each word, what stands before, counts.
+_TABLE = (8, *(8 for _ in range(8)), 4, 5, 4, 4, 4, 4)
+
+
+class Block:
+    """A block's table as a model reads it."""
+
+    def __init__(self, blob: bytes | None, early: bool):
+        words, *columns = unpack(blob, _TABLE) if blob else [np.empty(0, np.uint64) for _ in _TABLE]
+        self.words, self.by_word = words, np.column_stack(columns[0:4] if early else columns[4:8]).astype(np.int64)
+        self.place, self.before = np.repeat(np.arange(len(words)), columns[8].astype(np.int64)), columns[9]
+        counts = np.column_stack(columns[10:]).astype(np.int64)
+        self.counts = counts[:, :2] if early else counts[:, :2] + counts[:, 2:]
 
 
 def pair_tally(c: np.ndarray) -> np.ndarray:
@@ -238,14 +291,14 @@ class Model:
             out.append((1 - self.b) * np.maximum(w[:, c] - cut, 0) / mass + self.b * shared if mass > 0 else shared)
         return np.column_stack(out)
 
-    def ratios(self, block: Counts, early: bool) -> tuple[np.ndarray, np.ndarray]:
-        """log P(... | toxic) - log P(... | ordinary) of a block's words, for expressions that neither class holds, and of its expressions."""
-        w = block.by_word(early)
+    def ratios(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """log P(... | toxic) - log P(... | ordinary) of a block's words, for expressions without a ratio of their own, and of its expressions."""
+        w = block.by_word.astype(np.float64)
         at = np.minimum(np.searchsorted(self.hot, block.words), max(0, len(self.hot) - 1))
         is_hot = self.hot[at] == block.words if len(self.hot) else np.zeros(len(block.words), bool)
         w[is_hot] = self.hot_counts[at[is_hot]]
         low = self.word_probabilities(w)
-        c, t = block.of(early), self.pairs
+        c, t = block.counts, self.pairs
         share = c.sum(axis=1) / np.maximum(w[block.place, 3], 1)
         p = []
         for k in (0, 1):
@@ -254,10 +307,10 @@ class Model:
             p.append((1 - self.a) * np.maximum(c[:, k] - self.cut, 0) / mass + self.a * back if mass > 0 else back)
         with np.errstate(divide="ignore", invalid="ignore"):
             word, pair = np.log(low[:, 1] / low[:, 0]), np.log(p[1] / p[0])
-        return word, np.where(share > 0, pair, word[block.place])
+        return word, np.where(c.sum(axis=1) >= LEAST_COUNT, pair, word[block.place])
 
 
-def lookup(block: Counts, ratios: tuple[np.ndarray, np.ndarray], words: np.ndarray, place: np.ndarray, before: np.ndarray) -> np.ndarray:
+def lookup(block: Block, ratios: tuple[np.ndarray, np.ndarray], words: np.ndarray, place: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The log ratio of each entry: of its expression, else of its word, else 0."""
     if not len(block.words):
         return np.zeros(len(place))
@@ -266,8 +319,8 @@ def lookup(block: Counts, ratios: tuple[np.ndarray, np.ndarray], words: np.ndarr
     out = np.where(known, ratios[0][at], 0.0)[place]
     key = block.place.astype(np.uint64) << np.uint64(BEFORE_BITS) | block.before
     want = at[place].astype(np.uint64) << np.uint64(BEFORE_BITS) | before
-    hit = np.minimum(np.searchsorted(key, want), len(key) - 1)
-    seen = known[place] & (key[hit] == want)
+    hit = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
+    seen = known[place] & (key[hit] == want) if len(key) else np.zeros(len(place), bool)
     out[seen] = ratios[1][hit[seen]]
     return out
 
@@ -293,20 +346,20 @@ def text_features(blobs: list[bytes], words: np.ndarray) -> np.ndarray:
     return np.column_stack((sums[:, :2] / least, np.log1p(sums[:, 2:])))
 
 
-def count_blocks(marked: DataFrame, blocks: int, hot: np.ndarray, scratch: Scratch) -> DataFrame:
-    """marked(mark, text) -> the table `pairs`: block, pairs (packed Counts), tally (of the early and the whole model), and hot (packed: of
+def count_blocks(marked: DataFrame, blocks: int, lexicon: Lexicon, scratch: Scratch) -> DataFrame:
+    """marked(mark, text) -> the table `pairs`: block, pairs (Counts.packed), tally (of the early and the whole model), and hot (packed: of
     the words that are dealt out by expression, key and by_word of both models)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in word_slices(batch.column(1), plain, SLICE_BYTES, SLICE_TEXTS):
                 marks = batch.column(0).slice(part.first, part.last - part.first).to_numpy(zero_copy_only=False).astype(np.int64)
-                rows = list(dealt(part, marks, blocks, hot))
+                rows = list(dealt(part, marks, blocks, shared.value))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["block", "blob"])
 
     def merge(rows: pa.Table) -> pa.Table:
-        block = Counts.merged(rows.column("blob").to_pylist())
-        is_hot = np.isin(block.words, hot)
+        block = Counts.merged(rows.column("blob").to_pylist(), shared.value)
+        is_hot = np.isin(block.words, shared.value.hot)
         tally, spread = [], [block.words[is_hot]]
         for early in (True, False):
             w = block.by_word(early)
@@ -314,11 +367,12 @@ def count_blocks(marked: DataFrame, blocks: int, hot: np.ndarray, scratch: Scrat
             spread += list(w[is_hot].T)
         return pa.table([rows.column("block").slice(0, 1), pa.array([block.packed()], pa.binary()), pa.array([tally], pa.list_(pa.float64())), pa.array([pack([(x, 8) for x in spread])], pa.binary())], names=["block", "pairs", "tally", "hot"])
 
+    shared = marked.sparkSession.sparkContext.broadcast(lexicon)  # COMMON words at most
     dealt_out = marked.mapInArrow(deal, "block long, blob binary")
     return scratch.save(dealt_out.groupBy("block").applyInArrow(merge, "block long, pairs binary, tally array<double>, hot binary"), "pairs", codec="uncompressed")
 
 
-def fit_models(pairs: DataFrame, hot: np.ndarray) -> list[Model]:
+def fit_models(pairs: DataFrame, lexicon: Lexicon) -> list[Model]:
     """The early and the whole model. What reaches the driver is one row of sums and one for each of the heavy words."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +381,7 @@ def fit_models(pairs: DataFrame, hot: np.ndarray) -> list[Model]:
                 columns = [c.view(np.int64) for c in unpack(blob, (8,) * 9)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", *(f"w{k}" for k in range(8))])
 
+    hot = lexicon.hot
     total = pairs.agg(*(F.sum(F.get("tally", k)) for k in range(32))).first()
     tally = np.array([x or 0.0 for x in total]).reshape(2, 2, 8)
     counted = pairs.select("hot").mapInArrow(spread, "word long, " + ", ".join(f"w{k} long" for k in range(8))).groupBy("word").agg(*(F.sum(f"w{k}") for k in range(8))).collect() if len(hot) else []
@@ -336,10 +391,10 @@ def fit_models(pairs: DataFrame, hot: np.ndarray) -> list[Model]:
     return [Model(tally[k, 0], tally[k, 1] + word_tally(own[:, 4 * k : 4 * k + 4]), hot, own[:, 4 * k : 4 * k + 4]) for k in (0, 1)]
 
 
-def features(docs: DataFrame, pairs: DataFrame, model: Model, early: bool, blocks: int) -> DataFrame:
+def features(docs: DataFrame, pairs: DataFrame, model: Model, early: bool, blocks: int, lexicon: Lexicon) -> DataFrame:
     """docs(doc_id, mark, text) -> doc_id, mark, and FEATURES numbers. Slices send their entries to the blocks and get back a row of sums for
     each block that they touch; ids take the same way, so that they match however a slice was cut."""
-    hot = model.hot
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
@@ -348,19 +403,19 @@ def features(docs: DataFrame, pairs: DataFrame, model: Model, early: bool, block
                 size = part.last - part.first
                 ids, marks = (batch.column(k).slice(part.first, size) for k in (0, 1))
                 head = [ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False), marks.to_numpy(zero_copy_only=False) + 1, np.bincount(part.owner, minlength=size)]
-                rows = list(dealt(part, np.arange(size), blocks, hot))
+                rows = list(dealt(part, np.arange(size), blocks, shared.value))
                 yield pa.RecordBatch.from_arrays([pa.array([n % blocks, *(b for b, _ in rows)], pa.int64()), pa.array([n] * (1 + len(rows)), pa.int64()), pa.array([True] + [False] * len(rows)), pa.array([pack(list(zip(head, (8, 1, 1, 4), strict=True))), *(x for _, x in rows)], pa.binary())],
                                                  names=["block", "slice", "head", "blob"])
                 n += 1
 
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-        block = Counts.unpacked(table.column("pairs")[0].as_py()) if table.num_rows else Counts.merged([pack([(np.empty(0, np.uint64), w) for w in _ENTRIES])])
-        ratios = model.ratios(block, early)
+        block = Block(table.column("pairs")[0].as_py() if table.num_rows else None, early)
+        ratios = model.ratios(block)
         out = []
         for k in range(asked.num_rows):
             blob = asked.column("blob")[k].as_py()
             if not asked.column("head")[k].as_py():
-                words, place, before, field, count = entries_of(blob)
+                words, place, before, field, count = entries_of(blob, shared.value)
                 blob = text_sums(lookup(block, ratios, words, place, before), field, count)
             out.append(blob)
         return pa.table([asked.column("slice"), asked.column("head"), pa.array(out, pa.binary())], names=["slice", "head", "blob"])
@@ -421,11 +476,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # A block holds the entries of two shuffle partitions' worth of input.
     blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    hot = heavy_words(rows, blocks)
-    pairs = count_blocks(rows.join(F.broadcast(marked) if few else marked, "doc_id").select("mark", "text"), blocks, hot, scratch)
-    early, whole = fit_models(pairs, hot)
+    lexicon = heavy_words(rows, blocks)
+    pairs = count_blocks(rows.join(F.broadcast(marked) if few else marked, "doc_id").select("mark", "text"), blocks, lexicon, scratch)
+    early, whole = fit_models(pairs, lexicon)
     chosen = marked.where("mark > 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
-    fitted = features(rows.join(F.broadcast(chosen), "doc_id"), pairs, early, True, blocks).select("mark", *(f"x{k}" for k in range(FEATURES))).limit(2 * SCALE_ROWS).toArrow()
+    fitted = features(rows.join(F.broadcast(chosen), "doc_id"), pairs, early, True, blocks, lexicon).select("mark", *(f"x{k}" for k in range(FEATURES))).limit(2 * SCALE_ROWS).toArrow()
     order = np.lexsort([fitted.column(k).to_numpy() for k in range(FEATURES + 1)])
     scale = Scale(np.column_stack([fitted.column(f"x{k}").to_numpy() for k in range(FEATURES)])[order], fitted.column("mark").to_numpy().astype(np.float64)[order] - 2)
 
@@ -435,7 +490,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scale(x))], names=["doc_id", "score"])
 
     held = F.coalesce(crc_rest(5) == 0, F.lit(True))
-    scored = features(rows.withColumn("mark", F.lit(-1)), pairs, whole, False, blocks).select("doc_id", *(f"x{k}" for k in range(FEATURES))).mapInArrow(score, "doc_id long, score double")
+    scored = features(rows.withColumn("mark", F.lit(-1)), pairs, whole, False, blocks, lexicon).select("doc_id", *(f"x{k}" for k in range(FEATURES))).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -61,28 +61,55 @@ def grams(t):
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
 
 
-def test_jaccard_join(docs):
-    rows = [r.asDict() for r in docs.collect()]
-    got = by_id(ngram_join.jaccard_join(docs).collect())
-    classes = {}
-    for r in rows:
-        classes.setdefault(r["text"] or "", set())
-    sets = [(r["doc_id"], r["text"] or "", grams(r["text"])) for r in rows]
-    for i, t, s in sets:
-        if i is None:
-            continue
-        links = sum(1 for j, u, v in sets if s and v and 5 * len(s & v) >= 4 * len(s | v)) - (1 if s else 0)
-        assert links in {r["n_links"] for r in got[i]}, i
-    assert sum(map(len, got.values())) == len(rows)
+def brute_links(rows):
+    """(doc_id, text) -> for each row: other rows linked, and the least doc_id reachable."""
+    sets = [grams(t) for _, t in rows]
+    close = lambda s, v: bool(s) and bool(v) and 5 * len(s & v) >= 4 * len(s | v)
+    near = [[j for j in range(len(rows)) if j != i and close(sets[i], sets[j])] for i in range(len(rows))]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        todo, seen = [i], {i}
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        group[i] = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+    return [len(n) for n in near], group
+
+
+@pytest.mark.parametrize("whole", [8192, 3])
+def test_jaccard_join(docs, monkeypatch, whole):
+    monkeypatch.setattr(ngram_join, "WHOLE_GROUP", whole)  # larger groups go by bucket
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    n, group = brute_links(rows)
+    got = ngram_join.jaccard_join(docs).collect()
+    assert Counter((r["doc_id"], r["n_links"], r["class_id"] if r["class_id"] < 1 << 62 else None) for r in got) == Counter((i, k, g) for (i, _), k, g in zip(rows, n, group, strict=True))
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns
     left = kept.collect()
     for a, b in itertools.combinations(left, 2):
         s, v = grams(a["text"]), grams(b["text"])
         assert not (s and v and 5 * len(s & v) >= 4 * len(s | v))
+    # Every text with words has a kept one that it reaches; without words all rows stay, of equal ones one.
+    wordless = {r for r in rows if not grams(r[1])}
+    assert {(r["doc_id"], r["text"]) for r in left} >= wordless and len({(r["doc_id"], r["text"]) for r in left}) == len(left)
+    n_classes = len({min(j for j in range(len(rows)) if group[j] == group[i] and (group[i] is not None or i == j) and (group[i] != 2 or rows[i][1] == rows[j][1])) for i in range(len(rows)) if grams(rows[i][1])})
+    assert len(left) == n_classes + len(wordless)
     assert ngram_join.jaccard_join(empty(docs)).count() == 0
 
 
+def test_texts_that_share_a_doc_id(spark):
+    a, b = (" ".join(words(60, s)) for s in (1, 2))
+    near = lambda t: t.replace(t.split()[30], "changed", 1)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b))]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, _id int, _a int")
+    n, group = brute_links(rows)
+    got = ngram_join.jaccard_join(docs).collect()
+    assert Counter((r["doc_id"], r["n_links"], r["class_id"]) for r in got) == Counter((i, k, g) for (i, _), k, g in zip(rows, n, group, strict=True)) and n == [1, 1, 1, 1]
+    assert sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_first(docs).collect()) == sorted(rows[:2])
+
+
 def test_bands_reach_recall():
     b = ngram_join.bands_for(0.8, 8, 0.9995)
     assert 1 - (1 - 0.8**8) ** b >= 0.9995 > 1 - (1 - 0.8**8) ** (b - 1)
@@ -377,10 +404,11 @@ def test_toxicity_features_match_brute_force(spark, monkeypatch):
     marked = spark.createDataFrame([((i % 6 == 0) + 2 * (rest(i) == 4), " ".join(t)) for i, t in texts.items() if rest(i)], "mark int, text string").repartition(3)
     new = [(1, "Grim slur and late venom new7 bal9999x"), (2, None), (3, " ".join(texts[6])), (None, "late VENOM " * 20), (5, "the the the be1 the")]
     asked = spark.createDataFrame(new, "doc_id long, text string").select("doc_id", F.lit(-1).alias("mark"), "text")
-    hot = toxicity.heavy_words(marked, 3)
-    assert toxicity.word_keys(["the"])[0] in hot and len(hot) <= 12
-    pairs = toxicity.count_blocks(marked, 3, hot, Scratch(spark, "test"))
-    models = toxicity.fit_models(pairs, hot)
+    monkeypatch.setattr(toxicity, "COMMON", 150)  # the rest goes by hash
+    lexicon = toxicity.heavy_words(marked, 3)
+    assert toxicity.word_keys(["the"])[0] in lexicon.hot and len(lexicon.hot) <= 12 and 0 < len(lexicon.common) <= 150
+    pairs = toxicity.count_blocks(marked, 3, lexicon, Scratch(spark, "test"))
+    models = toxicity.fit_models(pairs, lexicon)
     for early, model in zip((True, False), models, strict=True):
         c = [Counter(), Counter()]
         for i, t in texts.items():
@@ -403,19 +431,19 @@ def test_toxicity_features_match_brute_force(spark, monkeypatch):
             return (1 - b) * share(kinds[k], w, low) + b * common
 
         def ratio(h, w):
-            if (h, w) not in both:
+            if both[h, w] < toxicity.LEAST_COUNT:
                 return np.log(word(1, w) / word(0, w))
             p = [(1 - a) * share(c[k], (h, w), cut) + a * word(k, w) * both[h, w] / word_n[w] for k in (0, 1)]
             return np.log(p[1] / p[0])
 
-        got = {g["doc_id"]: g for g in toxicity.features(asked, pairs, model, early, 3).collect()}
+        got = {g["doc_id"]: g for g in toxicity.features(asked, pairs, model, early, 3, lexicon).collect()}
         assert len(got) == len(new)
         for i, t in new:
             w = (t or "").lower().split()
             x = np.array([ratio(h, v) for h, v in zip(["", *w], w)])
             want = [x.mean() if w else 0, np.log1p(toxicity.TOXIC_SHARE * np.expm1(x)).mean() if w else 0, *(np.log1p((x > t).sum()) for t in toxicity.CLEAR)]
             assert np.allclose([got[i][f"x{k}"] for k in range(toxicity.FEATURES)], want, atol=2e-3), (early, i)
-    whole = {g["doc_id"]: g for g in toxicity.features(asked, pairs, models[1], False, 3).collect()}
+    whole = {g["doc_id"]: g for g in toxicity.features(asked, pairs, models[1], False, 3, lexicon).collect()}
     assert whole[None]["x0"] > 1  # an expression that only the scale's rows hold
 
 
