@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -19,23 +20,32 @@ WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir), or a temporary one where that is unset, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where that is unset, a temporary one, on a single machine only, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "bytelode-scratch")
 
 
+#: Scratch folders that this process has made and not yet taken away.
+_MADE: dict[str, Scratch] = {}
+
+
 class Scratch:
-    """Tables of one operator run in the shared folder. A table cuts the lineage and survives lost executors."""
+    """Tables of one operator run in the shared folder. A table cuts the lineage and survives lost executors.
+
+    A result may be read lazily from such tables, so they stay until drop(), clear_scratch() or the end of the driver's process."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        _MADE[self.path] = self
         df.write.option("compression", codec).parquet(f"{self.path}/{name}")
         return self.load(name, df)
 
@@ -43,9 +53,36 @@ class Scratch:
         reader = self.spark.read if like is None else self.spark.read.schema(like.schema)
         return reader.parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes the named tables, or all of this run."""
+        for name in names or ("",):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if not names:
+            _MADE.pop(self.path, None)
+
+
+def clear_scratch() -> None:
+    """Deletes the tables of all operator runs of this process. Call it when no result is read any more; a long session needs it."""
+    for scratch in list(_MADE.values()):
+        try:
+            scratch.drop()
+        except Exception:  # noqa: BLE001  the session may have ended before
+            _MADE.pop(scratch.path, None)
+
+
+atexit.register(clear_scratch)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has one of them in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
