@@ -29,10 +29,10 @@ TOXIC_SHARE = 0.003
 CLEAR = (0.5, 1.0, 2.0, 3.0, 4.0)
 FEATURES = 2 + len(CLEAR)
 #: Bytes and texts of a slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SLICE_TEXTS = 4096
-#: Bits that tell apart what stands before one word, and steps of a unit in which log ratios are sent.
-BEFORE_BITS, STEPS = 40, 1024
+#: Bits that tell apart words, and what stands before one word; steps of a unit in which log ratios are sent.
+WORD_BITS, BEFORE_BITS, STEPS = 48, 40, 1024
 #: Words with a greater share of all words than one in this many (or in twice the blocks) are dealt out by expression.
 HOT_SHARE = 2048
 #: Frequent words that are sent by rank, in two bytes, not by hash. How many they are changes no result.
@@ -50,14 +50,14 @@ def plain(text: bytes) -> bytes:
 
 
 class WordKeys(dict):
-    """word -> 64-bit hash, remembered; the memory is emptied when it holds too many words."""
+    """word -> hash of WORD_BITS, remembered; the memory is emptied when it holds too many words."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word) >> 64 - WORD_BITS
         if len(word) <= 64:
             self[word] = value
         return value
@@ -100,11 +100,11 @@ def unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-#: Bytes of: ranks of words, hashes of those without one, entries of each word, ranks of what stands before, hashes of what has none, field
-#: (document or mark), count.
-_ENTRIES = (2, 8, 4, 2, 5, 2, 4)
+#: Bytes of: ranks of words, hashes of those without one, entries of each word, steps between the ranks of what stands before a word, hashes of
+#: what has none, field (document or mark), count.
+_ENTRIES = (2, 6, 4, 2, 5, 2, 4)
 #: Bytes of: documents, sum of log ratios, log-likelihood of the mixture, counts beyond CLEAR.
-_SUMS = (2, 8, 8, *(4 for _ in CLEAR))
+_SUMS = (2, 5, 5, *(3 for _ in CLEAR))
 
 
 class Lexicon:
@@ -116,18 +116,15 @@ class Lexicon:
         self.before = np.concatenate((before_keys(common), np.zeros(1, np.uint64)))[:COMMON]
         self._orders = [np.argsort(x) for x in (self.common, self.before)]
 
-    def _ranks(self, keys: np.ndarray, k: int) -> np.ndarray:
+    def ranks(self, keys: np.ndarray, before: bool) -> np.ndarray:
+        """0 where a key has none."""
+        k = int(before)
         table, order = (self.common, self.before)[k], self._orders[k]
         if not len(table):
             return np.zeros(len(keys), np.int64)
         at = order[np.minimum(np.searchsorted(table[order], keys), len(table) - 1)]
         return np.where(table[at] == keys, at + 1, 0)
 
-    def coded(self, keys: np.ndarray, before: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (0: none) and the hashes of what has none."""
-        ranks = self._ranks(keys, int(before))
-        return ranks, keys[ranks == 0]
-
     def decoded(self, ranks: np.ndarray, others: np.ndarray, before: bool) -> np.ndarray:
         out, known = np.empty(len(ranks), np.uint64), ranks > 0
         out[known] = (self.common, self.before)[int(before)][ranks[known].astype(np.int64) - 1]
@@ -151,7 +148,8 @@ def dealt(part: Slice, field: np.ndarray, blocks: int, lexicon: Lexicon) -> Iter
     block = block_of(keys, blocks)[word]
     spread = np.isin(keys, lexicon.hot)[word]
     block[spread] = block_of(keys[word[spread]] ^ contexts[spread], blocks)
-    order = np.lexsort((contexts, keys[word], block))
+    ranks = lexicon.ranks(contexts, True)
+    order = np.lexsort((contexts, ranks, keys[word], block))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     entries, counts = np.unique(rank[pair] << 16 | field[part.owner[used]], return_counts=True)
@@ -160,17 +158,23 @@ def dealt(part: Slice, field: np.ndarray, blocks: int, lexicon: Lexicon) -> Iter
     edges = np.searchsorted(entries >> 16, edges)
     for b in np.flatnonzero(np.diff(edges)).tolist():
         rows = slice(edges[b], edges[b + 1])
-        words = keys[word[at[rows]]]
+        words, own = keys[word[at[rows]]], ranks[at[rows]]
         new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-        columns = (*lexicon.coded(words[new], False), np.diff(np.append(new, len(words))), *lexicon.coded(contexts[at[rows]], True), entries[rows] & 0xFFFF, counts[rows])
+        named = lexicon.ranks(words[new], False)
+        steps = np.diff(own, prepend=0)
+        steps[new] = own[new]
+        columns = (named, words[new][named == 0], np.diff(np.append(new, len(words))), steps, contexts[at[rows]][own == 0], entries[rows] & 0xFFFF, counts[rows])
         yield b, pack(list(zip(columns, _ENTRIES, strict=True)))
 
 
 def entries_of(blob: bytes, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     """words (sorted), each entry's place among them, what stands before, field, count."""
-    ranks, others, sizes, before_ranks, before_others, field, count = unpack(blob, _ENTRIES)
-    words, before = lexicon.decoded(ranks, others, False), lexicon.decoded(before_ranks, before_others, True)
-    return words, np.repeat(np.arange(len(words)), sizes.astype(np.int64)), before, field.astype(np.int64), count.astype(np.int64)
+    ranks, others, sizes, steps, before_others, field, count = unpack(blob, _ENTRIES)
+    words, sizes, run = lexicon.decoded(ranks, others, False), sizes.astype(np.int64), np.cumsum(steps.astype(np.int64))
+    place = np.repeat(np.arange(len(words)), sizes)
+    first = np.cumsum(sizes) - sizes
+    run -= (run[first] - steps[first].astype(np.int64))[place]
+    return words, place, lexicon.decoded(run, before_others, True), field.astype(np.int64), count.astype(np.int64)
 
 
 def heavy_words(docs: DataFrame, blocks: int) -> Lexicon:
@@ -188,7 +192,7 @@ def heavy_words(docs: DataFrame, blocks: int) -> Lexicon:
                 keys, number = np.unique(own, return_inverse=True)
                 counts = np.bincount(number, weights=np.concatenate((counts, n[some]))).astype(np.int64)
         total = int(counts.sum())
-        often = counts * 2 * max(share, COMMON) >= total
+        often = counts * 6 * max(share, COMMON) >= total
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(counts[often], total)), pa.array(np.append(np.zeros(int(often.sum()), bool), True))], names=["word", "n", "total"])
 
     counted = docs.select("text").mapInArrow(count, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
@@ -330,7 +334,8 @@ def text_sums(ratio: np.ndarray, field: np.ndarray, count: np.ndarray) -> bytes:
     docs, own = np.unique(field, return_inverse=True)
     mixture = np.log1p(TOXIC_SHARE * np.expm1(ratio))
     total = lambda x: np.bincount(own, weights=x * count, minlength=len(docs))
-    steps = [np.rint(total(np.rint(x * STEPS))).astype(np.int64).view(np.uint64) for x in (ratio, mixture)]
+    steps = [np.rint(total(np.rint(x * STEPS))).astype(np.int64) for x in (ratio, mixture)]
+    steps = [np.where(x < 0, -2 * x - 1, 2 * x) for x in steps]  # small numbers of either sign have zeros above
     return pack(list(zip((docs, *steps, *(total(ratio > c) for c in CLEAR)), _SUMS, strict=True)))
 
 
@@ -341,7 +346,8 @@ def text_features(blobs: list[bytes], words: np.ndarray) -> np.ndarray:
     for blob in blobs:
         docs, *columns = unpack(blob, _SUMS)
         for k, x in enumerate(columns):
-            sums[docs.astype(np.int64), k] += x.view(np.int64) / STEPS if k < 2 else x.astype(np.float64)
+            x = x.astype(np.int64)
+            sums[docs.astype(np.int64), k] += np.where(x & 1, -(x + 1) // 2, x // 2) / STEPS if k < 2 else x
     least = np.maximum(words, 1)[:, None]
     return np.column_stack((sums[:, :2] / least, np.log1p(sums[:, 2:])))
 
@@ -391,8 +397,8 @@ def fit_models(pairs: DataFrame, lexicon: Lexicon) -> list[Model]:
     return [Model(tally[k, 0], tally[k, 1] + word_tally(own[:, 4 * k : 4 * k + 4]), hot, own[:, 4 * k : 4 * k + 4]) for k in (0, 1)]
 
 
-def features(docs: DataFrame, pairs: DataFrame, model: Model, early: bool, blocks: int, lexicon: Lexicon) -> DataFrame:
-    """docs(doc_id, mark, text) -> doc_id, mark, and FEATURES numbers. Slices send their entries to the blocks and get back a row of sums for
+def features(docs: DataFrame, pairs: DataFrame, model: Model, early: bool, blocks: int, lexicon: Lexicon, scale: Scale | None = None) -> DataFrame:
+    """docs(doc_id, mark, text) -> doc_id, mark, and FEATURES numbers, or doc_id and the scale's score of them. Slices send their entries to the blocks and get back a row of sums for
     each block that they touch; ids take the same way, so that they match however a slice was cut."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -429,11 +435,14 @@ def features(docs: DataFrame, pairs: DataFrame, model: Model, early: bool, block
                 blobs.append(blob)
         ids, null, marks, words = head
         x = text_features(blobs, words.astype(np.int64))
-        return pa.table([pa.array(ids.view(np.int64), mask=null.astype(bool)), pa.array(marks.astype(np.int32) - 1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(FEATURES))], names=["doc_id", "mark", *(f"x{k}" for k in range(FEATURES))])
+        ids = pa.array(ids.view(np.int64), mask=null.astype(bool))
+        if scale:
+            return pa.table([ids, pa.array(scale(x))], names=["doc_id", "score"])
+        return pa.table([ids, pa.array(marks.astype(np.int32) - 1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(FEATURES))], names=["doc_id", "mark", *(f"x{k}" for k in range(FEATURES))])
 
     asked = docs.select("doc_id", "mark", "text").mapInArrow(ask, "block long, slice long, head boolean, blob binary")
     answers = asked.groupBy("block").cogroup(pairs.select("block", "pairs").groupBy("block")).applyInArrow(answer, "slice long, head boolean, blob binary")
-    return answers.groupBy("slice").applyInArrow(finish, "doc_id long, mark int, " + ", ".join(f"x{k} double" for k in range(FEATURES)))
+    return answers.groupBy("slice").applyInArrow(finish, "doc_id long, score double" if scale else "doc_id long, mark int, " + ", ".join(f"x{k} double" for k in range(FEATURES)))
 
 
 class Scale:
@@ -484,13 +493,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = np.lexsort([fitted.column(k).to_numpy() for k in range(FEATURES + 1)])
     scale = Scale(np.column_stack([fitted.column(f"x{k}").to_numpy() for k in range(FEATURES)])[order], fitted.column("mark").to_numpy().astype(np.float64)[order] - 2)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.column_stack([batch.column(1 + k).to_numpy() for k in range(FEATURES)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scale(x))], names=["doc_id", "score"])
-
     held = F.coalesce(crc_rest(5) == 0, F.lit(True))
-    scored = features(rows.withColumn("mark", F.lit(-1)), pairs, whole, False, blocks, lexicon).select("doc_id", *(f"x{k}" for k in range(FEATURES))).mapInArrow(score, "doc_id long, score double")
+    scored = features(rows.withColumn("mark", F.lit(-1)), pairs, whole, False, blocks, lexicon, scale)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -189,34 +189,64 @@ def test_repair_round_trips():
         assert (token_store.expand(symbols, rules) == ids).all() and len(symbols) <= len(ids)
 
 
-def test_line_dedup(docs, spark):
-    r = random.Random(4)
-    line = "".join(r.choice("abcdefgh ä") for _ in range(90))
-    edits = [line, line[:40] + "#" + line[41:], line[:17] + line[18:], line + "!", "?" + line, line[:60] + "+" + line[60:], line[:10] + "##" + line[12:]]
-    rows = [(i, t) for i, t in enumerate([f"head {i} of a longer line here\n{e}\n\n  \nshort" for i, e in enumerate(edits)])]
-    rows += [(20, "no words" + "\n" * 3), (21, None), (22, ""), (None, edits[1] + "\nmine alone, without an id"), (23, "\n".join(["twice the same line in one text"] * 2)), (24, "z" * 3000), (25, "z" * 1500 + "y" + "z" * 1500), (25, "z" * 1500 + "y" + "z" * 1500), (26, "q" * 3001)]
-    got = line_dedup.line_dedup(spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, removed string").repartition(3)).collect()
-
-    def distance(a, b):
-        if abs(len(a) - len(b)) > 1:
-            return 2
-        h = 0
-        while h < min(len(a), len(b)) and a[h] == b[h]:
-            h += 1
-        return 0 if a == b else 1 if a[h + 1 :] == b[h + 1 :] or a[h:] == b[h + 1 :] or a[h + 1 :] == b[h:] else 2
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
 
+def brute_line_dedup(rows, edits, shortest=20):
+    """(doc_id, text) in order -> removed line numbers and the text that is left."""
     seen, want = [], {}
-    for i, t in sorted(dict.fromkeys(rows), key=lambda x: (x[0] is None, x[0] or 0)):
+    for i, t in rows:
         lost = []
         for k, l in enumerate((t or "").split("\n"), 1):
             if l.strip(SPACE):
-                if any(l == s or min(len(l), len(s)) >= 20 and distance(l, s) <= 1 for s in seen):
+                if any(l == s or min(len(l), len(s)) >= shortest and abs(len(l) - len(s)) <= edits and distance(l, s) <= edits for s in seen):
                     lost.append(k)
                 seen.append(l)
-        want[i] = (lost, None if t is None else "\n".join(l for k, l in enumerate(t.split("\n"), 1) if k not in lost))
+        want[i, t] = (lost, None if t is None else "\n".join(l for k, l in enumerate(t.split("\n"), 1) if k not in lost))
+    return want
+
+
+def edited(line, n, r):
+    for _ in range(n):
+        at = r.randrange(len(line) + 1)
+        line = r.choice([line[:at] + r.choice("xyé") + line[at:], line[:at] + line[at + 1 :], line[:at] + r.choice("xyé") + line[at + 1 :]])
+    return line
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_line_dedup(spark, edits):
+    r = random.Random(4)
+    bases = ["".join(r.choice("abcdefgh ä") for _ in range(n)) for n in (20, 21, 23, 24, 30, 47, 64, 90, 200, 700)]
+    rows = [(i, f"head {i} of a longer line here, with {r.random()}\n" + "\n".join(edited(b, r.randint(0, 3), r) for b in bases for _ in range(2)) + "\n\n  \nshort") for i in range(12)]
+    rows += [(20, "no words" + "\n" * 3), (21, None), (22, ""), (23, "\n".join(["twice the same line in one text"] * 2)), (24, "z" * 300), (25, "z" * 150 + "y" + "z" * 150), (25, "z" * 150 + "y" + "z" * 150), (26, "q" * 301)]
+    rows.append((None, bases[3] + "\nmine alone, without an id"))
+    got = line_dedup.line_dedup(spark.createDataFrame([(*x, "s", 1, 2) for x in rows], "doc_id long, text string, removed string, _doc int, doc int").repartition(3), edits).collect()
+    want = brute_line_dedup(dict.fromkeys(rows), edits)
     for r_ in got:
-        assert (r_["removed"], r_["text"]) == want[r_["doc_id"]], r_["doc_id"]
-    assert len(got) == len(rows) and line_dedup.line_dedup(empty(docs)).count() == 0
+        assert (r_["removed"], r_["text"]) == want[next(x for x in rows if x[0] == r_["doc_id"])], r_["doc_id"]
+    assert len(got) == len(rows) and {"_doc", "doc"} <= set(got[0].asDict())
+
+
+def test_line_dedup_rows_that_share_a_doc_id(spark):
+    rows = [(0, "a line that stands in two rows"), (1, "a line that stands in two rows\nonly this row has this line"), (1, "unlike any line of the other rows\nnor has this one a copy at all")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r["text"] for r in got) == Counter([rows[0][1], "only this row has this line", rows[2][1]])
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_line_dedup_long_lines(spark, edits):
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefgh ä") for _ in range(30_000))
+    texts = [base, edited(base, 1, r), edited(base, 2, r), base[:100] + "#" + base[100:20_000] + base[20_001:], base[:5] + "###" + base[8:]]
+    got = {g["doc_id"]: g["n_removed"] for g in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), edits).collect()}
+    assert got == ({0: 0, 1: 1, 2: 1, 3: 1, 4: 0} if edits == 2 else {0: 0, 1: 1, 2: got[2], 3: 0, 4: 0})
+    assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string"), edits).count() == 0
 
 
 def base_counts(t):
