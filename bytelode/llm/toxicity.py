@@ -29,10 +29,10 @@ TOXIC_SHARE = 0.003
 CLEAR = (0.5, 1.0, 2.0, 3.0, 4.0)
 FEATURES = 2 + len(CLEAR)
 #: Bytes and texts of a slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 SLICE_TEXTS = 4096
 #: Bits that tell apart words, and what stands before one word; steps of a unit in which log ratios are sent.
-WORD_BITS, BEFORE_BITS, STEPS = 48, 40, 1024
+WORD_BITS, BEFORE_BITS, STEPS = 40, 32, 1024
 #: Words with a greater share of all words than one in this many (or in twice the blocks) are dealt out by expression.
 HOT_SHARE = 2048
 #: Frequent words that are sent by rank, in two bytes, not by hash. How many they are changes no result.
@@ -102,7 +102,7 @@ def unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
 
 #: Bytes of: ranks of words, hashes of those without one, entries of each word, steps between the ranks of what stands before a word, hashes of
 #: what has none, field (document or mark), count.
-_ENTRIES = (2, 6, 4, 2, 5, 2, 4)
+_ENTRIES = (2, 5, 4, 2, 4, 2, 4)
 #: Bytes of: documents, sum of log ratios, log-likelihood of the mixture, counts beyond CLEAR.
 _SUMS = (2, 5, 5, *(3 for _ in CLEAR))
 
