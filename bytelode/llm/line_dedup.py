@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from bytelode.llm.common import Scratch, read_table
 
-#: Lines of fewer characters are only compared exactly: one edit changes too much of them.
+#: Lines that differ in so many characters at most (put in, left out or changed) are near copies: 0, 1 or 2.
+EDITS = 2
+#: Lines of fewer characters are only compared exactly, by default: two edits change too much of them.
 SHORTEST = 20
+#: Blocks of a line of which the edits are in one or two, and the length up to which all variants are emitted.
+PARTS, LEFT = 5, 10
+#: Strings that are compared at once, and their length.
+FEW, MODERATE = 16, 1000
 #: Rows of lines or candidates that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _NO_ID = 1 << 62
+_PLACE = ("doc", "twin", "line_no")
 
 
 def let(value: Column, body) -> Column:
@@ -23,137 +30,193 @@ def _key(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("key_a"), F.xxhash64(F.lit("second"), F.length(line), line).alias("key_b")]
 
 
-def _doc_order() -> Column:
-    """Documents in order of doc_id; those without one come last, in order of their texts' hashes."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)))
+def _doc_order() -> list[Column]:
+    """Documents in order of doc_id, then of their texts' hashes; those without doc_id come last."""
+    twin = F.xxhash64(F.coalesce("text", F.lit("")))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + twin.bitwiseAND(F.lit(_NO_ID - 1))).alias("doc"), twin.alias("twin")]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """All lines with a word: doc, line_no from 1, line."""
-    lines = docs.select(_doc_order().alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("doc", (F.col("at") + 1).alias("line_no"), "line")
-
-
-def _half_keys(line: Column) -> Column:
-    """Hashes of the outer parts of a line. Lines within one edit share one: of the first or of the last q characters, q being at most
-    half of the shorter one's length m, a function of m. A line may be the shorter one (m = length) or the longer (m = length - 1)."""
-    q = lambda m: F.floor(m / 16).cast("int") * 8
-    ends = lambda n: F.array(F.xxhash64(F.lit("head"), n, F.substring(line, F.lit(1), n)), F.xxhash64(F.lit("tail"), n, F.right(line, n)))
-    return let(F.length(line), lambda n: F.when(q(n) == q(n - 1), ends(q(n))).otherwise(F.concat(ends(q(n)), ends(q(n - 1)))))
-
-
-def _block_keys(line: Column) -> Column:
-    """For m = length and m = length - 1: each block of about sqrt(m) characters left out, as a hash of what stands before and after it.
-    Lines within one edit share the key of the block that holds the edit."""
-
-    def for_length(n: Column, m: Column) -> Column:
-        side = F.ceil(F.sqrt(m)).cast("int")
-        return let(
-            side,
-            lambda s: F.transform(
-                F.sequence(F.lit(0), F.ceil(m / s).cast("int") - 1),
-                lambda b: F.struct(
-                    F.xxhash64(m, b, F.substring(line, F.lit(1), b * s), F.substring(line, (b + 1) * s + 1 + n - m, n)).alias("block"),
-                    F.substring(line, b * s + 1, s + n - m).alias("inner"), (n > m).alias("longer"),
-                ),
-            ),
-        )
-
-    return let(F.length(line), lambda n: F.concat(for_length(n, n), for_length(n, n - 1)))
-
-
-def _variants(inner: Column, longer: Column) -> Column:
-    """Variants of a block's characters with their kinds: "s" one character left out at a known place (a substitution of two lines of
-    one length shares it), "b" nothing left out, "d" one left out of the longer line (an insertion shares it with the shorter one's "b")."""
-    cut = lambda i: F.concat(F.substring(inner, F.lit(1), i - 1), F.substring(inner, i + 1, F.length(inner)))
-    at = F.sequence(F.lit(1), F.length(inner))
-    return F.when(
-        longer, F.transform(at, lambda i: F.struct(F.lit("d").alias("kind"), F.xxhash64(F.lit("i"), cut(i)).alias("variant")))
-    ).otherwise(
-        F.concat(
-            F.transform(F.when(F.length(inner) > 0, at).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit("s").alias("kind"), F.xxhash64(F.lit("s"), i, cut(i)).alias("variant"))),
-            F.array(F.struct(F.lit("b").alias("kind"), F.xxhash64(F.lit("i"), inner).alias("variant"))),
-        )
+    """All lines with a word: doc, twin, line_no from 1, line."""
+    lines = docs.select(*_doc_order(), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("doc", "twin", (F.col("at") + 1).alias("line_no"), "line")
+
+
+def _outer_keys(line: Column, edits: int) -> Column:
+    """Hashes of which lines within the edits share one. Of edits + 1 parts of length z of the shorter line one is whole: its head, its
+    tail, or, of three, if head and tail hold an edit each, what follows the head, moved by one place at most. z is a function of the
+    shorter one's length m, which may be a line's own length or up to `edits` less."""
+    parts = edits + 1
+    z = lambda m: F.when(m < 8 * parts, F.floor(m / parts)).otherwise(F.floor(m / (8 * parts)) * 8).cast("int")
+
+    def of(n: Column) -> Column:
+        keys = [F.xxhash64(F.lit("head"), n, F.substring(line, F.lit(1), n)), F.xxhash64(F.lit("tail"), n, F.right(line, n))]
+        return F.array(*keys, *([F.xxhash64(F.lit("mid"), n, F.substring(line, n + 1 + s, n)) for s in (-1, 0, 1)] if edits == 2 else []))
+
+    def every(n: Column) -> Column:
+        out = of(z(n))
+        for k in range(1, edits + 1):
+            out = F.when(z(n - k) != z(n - k + 1), F.concat(out, of(z(n - k)))).otherwise(out)
+        return F.array_distinct(out)
+
+    return let(F.length(line), every)
+
+
+def _left_out(edits: int) -> list[tuple[int, int, int, int]]:
+    """Ways (i, j, shift, longer) to leave out blocks i and j of a line of which the shorter one of a pair, `longer` characters shorter, sets
+    the blocks. i = j: all edits are in one block; else one is in each, and what stands between the blocks, if anything, is moved by `shift`."""
+    out = [(i, j, 0, d) for i in range(PARTS) for j in (i, i + 1)[:edits] if j < PARTS for d in range(edits + 1)]
+    if edits == 2:
+        out += [(i, j, e, d) for i in range(PARTS) for j in range(i + 2, PARTS) for e, d in ((0, 0), (1, 0), (1, 1), (0, 1), (1, 2))]
+    return out
+
+
+def _pieces(s: Column, c: Column) -> tuple[list[Column], Column, Column]:
+    """What a way leaves of s, and the two blocks that it takes out (i = j: the block and an empty one)."""
+    n = F.length(s)
+    m = n - c["d"]
+    edge = lambda k: F.floor(k * m / PARTS).cast("int")
+    i0, i1, j0, j1, e, d = edge(c["i"]), edge(c["i"] + 1), edge(c["j"]), edge(c["j"] + 1), c["e"], c["d"]
+    one = c["i"] == c["j"]
+    cut = lambda a, b: F.substring(s, a + 1, F.greatest(b - a, F.lit(0)))
+    between = F.when(one, F.lit("")).otherwise(cut(i1 + e, j0 + e))
+    first = cut(i0, F.when(one, i1 + d).otherwise(i1 + e))
+    second = F.when(one, F.lit("")).otherwise(cut(j0 + e, j1 + d))
+    return [m, cut(F.lit(0), i0), between, cut(j1 + d, n)], first, second
+
+
+def _narrowed(state: DataFrame, ways: list[tuple[int, int, int, int]], scratch: Scratch, step: int) -> DataFrame:
+    """One step of state(rid, num, place, grp, s): strings of one group are within the edits only if they agree when some way leaves out one
+    or two blocks; these blocks are the next strings, and what they agree on is the next group: num, place, grp, s."""
+    c = F.col("c")
+    rest, first, second = _pieces(F.col("s"), c)
+    codes = F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip(w, "ijed", strict=True)]) for w in ways])
+    cut = state.select("rid", "num", "grp", "s", F.explode(codes).alias("c")).where(F.length("s") > F.col("c.d"))
+    own, other = F.xxhash64(first), F.xxhash64(second)
+    keys = cut.select("rid", "num", "c", F.xxhash64("grp", c["i"], c["j"], *rest).alias("h"), own.alias("u"), F.when(c["i"] == c["j"], own).otherwise(other).alias("v"))
+    keys = scratch.save(keys, f"keys-{step}")
+    # Strings that differ in one of two blocks only also agree when that block alone is left out.
+    alike = keys.groupBy("h").agg(*[f(x).alias(f"{x}{k}") for x in ("num", "u", "v") for k, f in enumerate((F.min, F.max))])
+    alike = scratch.save(alike.where("num0 <> num1 and u0 <> u1 and v0 <> v1").select("h"), f"alike-{step}")
+    kept = keys.select("rid", "c", "h").join(alike, "h").join(state.select("rid", "num", "place", "s"), "rid")
+    inner = F.when(c["j"] - c["i"] < 2, F.concat(first, second)).otherwise(F.concat(first, F.lit("\n"), second))
+    return scratch.save(kept.select("num", "place", F.col("h").alias("grp"), inner.alias("s")).distinct(), f"next-{step}")
+
+
+def _still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Of rows(num, place, grp, s): those of lines that are not found near yet and have an earlier one in their group, and of what is
+    earlier than such a line, found or not."""
+    looked = rows.join(found.withColumn("found", F.lit(True)), "num", "left")
+    last = looked.groupBy("grp").agg(F.max(F.when(F.col("found").isNull(), F.col("place"))).alias("last"), F.min("place").alias("head")).where("last > head")
+    return rows.join(last, "grp").where("place <= last").select("num", "place", "grp", "s")
+
+
+def _near(s: Column, other: Column, edits: int) -> Column:
+    return F.when(F.abs(F.length(s) - F.length(other)) <= edits, F.levenshtein(s, other, edits) >= 0).otherwise(F.lit(False))
+
+
+def _settled(groups: DataFrame, found: DataFrame, edits: int, scratch: Scratch, step: int) -> tuple[DataFrame, DataFrame]:
+    """What groups(num, place, grp, s) settle: the lines found near so far, and the rows that are still to be looked at. A group of at most
+    FEW strings of moderate length is compared in one row; a larger one only with its earliest member."""
+    sizes = scratch.save(groups.groupBy("grp").agg(((F.count("*") <= FEW) & (F.max(F.length("s")) <= MODERATE)).alias("small")), f"sizes-{step}")
+    small = groups.join(sizes.where("small"), "grp").groupBy("grp").agg(F.collect_list(F.struct("place", "num", "s")).alias("m"))
+    hit = F.filter("m", lambda x: F.exists("m", lambda e: (e["place"] < x["place"]) & _near(x["s"], e["s"], edits)))
+    near = small.select(F.explode(hit).alias("x")).select("x.num")
+    large = groups.join(sizes.where("not small"), "grp")
+    heads = large.groupBy("grp").agg(F.min(F.struct("place", "s")).alias("head"))
+    by_head = large.join(heads, "grp").where((F.col("place") > F.col("head.place")) & _near(F.col("s"), F.col("head.s"), edits)).select("num")
+    found = scratch.save(found.unionByName(near).unionByName(by_head).distinct(), f"found-{step}")
+    # Found lines need no partner any more, so that dense groups do not multiply.
+    rest = _still_open(large.select("num", "place", "grp", "s"), found).withColumn("rid", F.monotonically_increasing_id())
+    return found, scratch.save(rest, f"state-{step}")
+
+
+def _variants(state: DataFrame, edits: int) -> DataFrame:
+    """All variants within the edits of strings of up to LEFT characters: num, place, kind, variant. A: up to `edits` characters at known places
+    masked; b and B: a character fewer in B, after which one (or none) is masked in both; c and C: two fewer in C; D: one left out of
+    either. Equal variants of kinds A and A, b and B, c and C, D and D are of strings within the edits, and all such strings have some."""
+    ks = range(1, LEFT + 1)
+    ways = [("A", p, q) for p in ks for q in (ks if edits == 2 else [p]) if p <= q]
+    ways += [("b", 0, p) for p in ((0, *ks) if edits == 2 else (0,))] + [("B", r, p) for r in ks for p in ((0, *ks[:-1]) if edits == 2 else (0,))]
+    if edits == 2:
+        ways += [("c", 0, 0)] + [("C", r, t) for r in ks for t in ks if r < t] + [("D", r, 0) for r in ks]
+    codes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, x, y in ways])
+    s, k, x, y, n = F.col("s"), F.col("w.k"), F.col("w.x"), F.col("w.y"), F.length("s")
+    without = lambda t, at: F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), F.substring(t, at + 1, F.length(t)))).otherwise(t)
+    mask = lambda t, at: F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), F.lit("\r"), F.substring(t, at + 1, F.length(t)))).otherwise(t)
+    fits = F.when(k.isin("A", "C"), y <= n).when(k == "b", y <= n).when(k == "B", (x <= n) & (y <= n - 1)).otherwise(x <= n)
+    value = (
+        F.when(k == "A", F.xxhash64("grp", F.lit("A"), n, x, y, mask(mask(s, x), y))).when(k.isin("b", "B"), F.xxhash64("grp", F.lit("B"), y, mask(without(s, x), y)))
+        .when(k.isin("c", "C"), F.xxhash64("grp", F.lit("C"), without(without(s, y), x))).otherwise(F.xxhash64("grp", F.lit("D"), without(s, x)))
     )
+    return state.select("num", "place", "grp", "s", F.explode(codes).alias("w")).where(fits).select("num", "place", k.alias("kind"), value.alias("variant")).distinct()
 
 
-def near_lines(first: DataFrame, texts, scratch: Scratch) -> DataFrame:
-    """Distinct lines that an earlier distinct line is within one edit of: key_a, key_b.
+def near_lines(first: DataFrame, texts, scratch: Scratch, edits: int) -> DataFrame:
+    """Distinct lines that an earlier distinct line is within the edits of: key_a, key_b.
 
-    first: key_a, key_b, doc, line_no of each distinct line. texts: a function that gives the lines' texts (doc, line_no, key_a, key_b,
-    line). Three steps, each on what the step before left: outer halves, left-out blocks, left-out characters. Groups of equal keys are
-    only ever reduced to their earliest member, which the others are joined to; no pairs within a group are made.
+    first: key_a, key_b, doc, twin, line_no of each distinct line. texts: a function that gives the lines' texts. Lines that share an outer
+    key are candidates; left-out blocks narrow them step by step to short strings, whose variants are joined. Groups of equal keys of FEW
+    members are settled at once; larger ones are only ever reduced to their earliest member, which the others are compared with. No rows
+    are made for pairs within a group, and what is settled leaves the search.
     """
-    halves = scratch.load("halves").where("half is not null")
+    halves = scratch.load("halves")
     shared = halves.groupBy("half").agg(F.min("key_a").alias("least"), F.max("key_a").alias("most")).where("least <> most").select("half")
     shared = scratch.save(shared, "shared")
     some = scratch.save(halves.join(shared, "half").select("key_a", "key_b").distinct(), "some")
     few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = first.join(F.broadcast(some) if few else some, ["key_a", "key_b"])
-    candidates = texts().join(F.broadcast(wanted) if few else wanted, ["key_a", "key_b", "doc", "line_no"]).dropDuplicates(["key_a", "key_b"])
-    candidates = scratch.save(candidates.select("key_a", "key_b", "doc", "line_no", "line"), "candidates")
-    blocks = candidates.select("key_a", "key_b", "doc", "line_no", F.explode(_block_keys(F.col("line"))).alias("x")).select("key_a", "key_b", "doc", "line_no", "x.*")
-    blocks = scratch.save(blocks, "blocks")
-    alike = blocks.groupBy("block").agg(F.min("key_a").alias("least"), F.max("key_a").alias("most")).where("least <> most").select("block")
-    alike = scratch.save(alike, "alike")
-    variants = blocks.join(alike, "block").select("block", "key_a", "key_b", "doc", "line_no", F.explode(_variants(F.col("inner"), F.col("longer"))).alias("x"))
-    variants = scratch.save(variants.select(F.xxhash64("block", "x.variant").alias("variant"), "x.kind", "key_a", "key_b", "doc", "line_no"), "variants")
-    earliest = variants.groupBy("variant", "kind").agg(F.min(F.struct("doc", "line_no", "key_a", "key_b")).alias("e"))
-    earliest = scratch.save(earliest, "earliest")
-    other = F.when(F.col("kind") == "b", F.lit("d")).when(F.col("kind") == "d", F.lit("b")).otherwise(F.col("kind"))
-    met = variants.join(earliest.withColumn("kind", other), ["variant", "kind"]).where(F.col("e") < F.struct("doc", "line_no", "key_a", "key_b"))
-    pairs = scratch.save(met.select("key_a", "key_b", F.col("e.key_a").alias("a"), F.col("e.key_b").alias("b")).distinct(), "pairs")
-    own = candidates.select("key_a", "key_b", "line")
-    both = pairs.join(own, ["key_a", "key_b"]).join(own.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("line").alias("earlier")), ["a", "b"])
-    # The keys differ by one edit at most if no hashes collide; so few lines can be compared in full.
-    return both.where(_one_edit(F.col("line"), F.col("earlier"))).select("key_a", "key_b").distinct()
-
-
-def _one_edit(x: Column, y: Column) -> Column:
-    """Whether two lines are at most one edit apart. Short ones by the built-in distance; long ones, which that would compare cell by
-    cell, by what stands before and after the first place where they differ, found by halving."""
-    short = F.greatest(F.length(x), F.length(y)) <= 2000
-    steps = F.sequence(F.lit(1), F.lit(31))
-
-    def same_head(n: Column) -> Column:
-        """Length of the common head: halves the range (lo, hi) as often as needed."""
-        return F.aggregate(
-            steps, F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi")),
-            lambda r, _: let(
-                F.ceil((r["lo"] + r["hi"]) / 2).cast("int"),
-                lambda mid: F.when(F.substring(x, F.lit(1), mid) == F.substring(y, F.lit(1), mid), F.struct(mid.alias("lo"), r["hi"].cast("int").alias("hi")))
-                .otherwise(F.struct(r["lo"].cast("int").alias("lo"), F.greatest(mid - 1, r["lo"]).cast("int").alias("hi"))),
-            ),
-            lambda r: r["lo"],
-        )
-
-    def rest(line: Column, at: Column) -> Column:
-        return F.substring(line, at + 1, F.length(line))
-
-    long_ = let(
-        same_head(F.least(F.length(x), F.length(y))),
-        lambda h: (rest(x, h + 1) == rest(y, h + 1)) | (rest(x, h) == rest(y, h + 1)) | (rest(x, h + 1) == rest(y, h)),
-    )
-    return F.when(short, F.levenshtein(x, y) <= 1).otherwise(long_)
-
-
-def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """For each document (doc) that loses lines: removed (sorted line numbers) and n_near of them."""
+    candidates = texts().join(F.broadcast(wanted) if few else wanted, ["key_a", "key_b", *_PLACE]).dropDuplicates(["key_a", "key_b"])
+    candidates = scratch.save(candidates.select("key_a", "key_b", *_PLACE, "line").withColumn("num", F.monotonically_increasing_id()), "candidates")
+    place = F.struct(*_PLACE, "num").alias("place")
+    texts_of = candidates.select("key_a", "key_b", "num", place, F.col("line").alias("s"))
+    groups = scratch.save(halves.join(shared, "half").distinct().join(texts_of, ["key_a", "key_b"]).select("num", "place", F.col("half").alias("grp"), "s"), "next-0")
+    step, short, found = 0, [], candidates.where("false").select("num")
+    while True:
+        found, state = _settled(groups, found, edits, scratch, step)
+        scratch.drop(f"next-{step}")
+        # Lengths of a pair differ by the edits at most: those next to LEFT go both ways, so that a pair meets in one of them.
+        short.append(state.where(F.length("s") <= LEFT).select("num", "place", "grp", "s"))
+        longer = state.where(F.length("s") > LEFT - edits)
+        if not longer.limit(1).count():
+            break
+        step += 1
+        groups = _narrowed(longer, _left_out(edits), scratch, step)
+        scratch.drop(f"keys-{step}", f"alike-{step}")
+    ends = short[0]
+    for s in short[1:]:
+        ends = ends.unionByName(s)
+    ends = scratch.save(_still_open(ends, found), "ends")
+    variants = scratch.save(_variants(ends, edits), "variants")
+    earliest = scratch.save(variants.groupBy("variant", "kind").agg(F.min("place").alias("e")), "earliest")
+    other = F.translate("kind", "bBcC", "BbCc")
+    met = variants.join(earliest.withColumn("kind", other), ["variant", "kind"]).where("e < place")
+    pairs = scratch.save(met.select("num", F.col("e.num").alias("before")).distinct(), "pairs")
+    own = candidates.select("num", "line")
+    both = pairs.join(own, "num").join(own.select(F.col("num").alias("before"), F.col("line").alias("earlier")), "before")
+    near = found.unionByName(both.where(F.levenshtein("line", "earlier", edits) >= 0).select("num")).distinct()
+    return candidates.join(near, "num").select("key_a", "key_b")
+
+
+def removed_lines(docs: DataFrame, scratch: Scratch, edits: int, shortest: int) -> DataFrame:
+    """For each document (doc, twin) that loses lines: removed (sorted line numbers) and n_near of them."""
     line = F.col("line")
-    lines = scratch.save(_lines(docs).select("doc", "line_no", *_key(line), F.when(F.length(line) >= SHORTEST, _half_keys(line)).alias("halves")), "lines")
-    first = lines.groupBy("key_a", "key_b").agg(F.min(F.struct("doc", "line_no")).alias("f"), F.count("*").alias("n"))
-    first = scratch.save(first.select("key_a", "key_b", "f.doc", "f.line_no", "n"), "first")
-    scratch.save(lines.select("key_a", "key_b", F.explode("halves").alias("half")), "halves")
-    near = scratch.save(near_lines(first.drop("n"), lambda: _lines(docs).select("doc", "line_no", *_key(line), "line"), scratch), "near")
-    gone = scratch.save(
-        first.join(near.withColumn("near", F.lit(True)), ["key_a", "key_b"], "left").where("n > 1 or near")
-        .select("key_a", "key_b", F.col("doc").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("near", F.lit(False)).alias("near")), "gone"
-    )
-    out = lines.select("doc", "line_no", "key_a", "key_b").join(gone, ["key_a", "key_b"])
-    out = out.where(F.col("near") | (F.struct("doc", "line_no") != F.struct(F.col("first_doc").alias("doc"), F.col("first_line").alias("line_no"))))
+    outer = F.when(F.length(line) >= shortest, _outer_keys(line, edits)) if edits else F.lit(None).cast("array<long>")
+    lines = scratch.save(_lines(docs).select(*_PLACE, *_key(line), outer.alias("halves")), "lines")
+    first = lines.groupBy("key_a", "key_b").agg(F.min(F.struct(*_PLACE)).alias("f"), F.count("*").alias("n"))
+    first = scratch.save(first.select("key_a", "key_b", "f.*", "n"), "first")
+    if edits:
+        scratch.save(lines.select("key_a", "key_b", F.explode("halves").alias("half")), "halves")
+        near = scratch.save(near_lines(first.drop("n"), lambda: _lines(docs).select(*_PLACE, *_key(line), "line"), scratch, edits), "near")
+    else:
+        near = first.where("false").select("key_a", "key_b")
+    at = F.struct(*_PLACE)
+    gone = first.join(near.withColumn("near", F.lit(True)), ["key_a", "key_b"], "left").where("n > 1 or near")
+    gone = scratch.save(gone.select("key_a", "key_b", at.alias("kept"), F.coalesce("near", F.lit(False)).alias("near")), "gone")
+    out = lines.select(*_PLACE, "key_a", "key_b").join(gone, ["key_a", "key_b"]).where(F.col("near") | (at != F.col("kept")))
     # Rows of one document are as many as it has lines.
-    lost = out.select("doc", F.struct("line_no", "near").alias("x")).groupBy("doc").agg(F.array_sort(F.collect_set("x")).alias("x"))
-    return lost.select("doc", F.col("x.line_no").alias("removed"), F.size(F.filter("x", lambda r: r["near"])).cast("long").alias("n_near"))
+    lost = out.select("doc", "twin", F.struct("line_no", "near").alias("x")).groupBy("doc", "twin").agg(F.array_sort(F.collect_set("x")).alias("x"))
+    return lost.select("doc", "twin", F.col("x.line_no").alias("removed"), F.size(F.filter("x", lambda r: r["near"])).cast("long").alias("n_near"))
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -167,29 +230,31 @@ def _without(text: Column, removed: Column) -> Column:
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """Adds n_lines (lines with a word), n_removed, n_near (of those, near copies) and removed (their numbers, from 1) to each row of
     docs, and takes those lines out of text.
 
-    Lines end at \\\\n. A line with a word goes if the same line stands earlier, or if a line of at least 20 characters stands earlier
-    that is at most one edit (a character put in, left out or changed) from it; earlier means by doc_id, then line number. Lines
-    without a word stay. Rows with one doc_id count as one document. Rows with a null doc_id come last, in order of their texts'
-    hashes. A null text stays null; a document may be left with an empty text. An empty table gives an empty result. Further columns
-    are kept; columns named like the added ones are replaced.
+    Lines end at \\\\n. A line with a word goes if the same line stands earlier, or if both have at least `shortest` characters and it is
+    at most `edits` (0, 1 or 2) characters put in, left out or changed from an earlier one; earlier means by doc_id, then the text's hash
+    where rows share a doc_id, then line number. Lines without a word stay. Rows with the same doc_id and text count as one document,
+    whose lines stay or go alike. Rows with a null doc_id come last, in order of their texts' hashes. A null text stays null; a document
+    may be left with an empty text. An empty table gives an empty result. Further columns are kept; columns named like the added ones
+    are replaced.
     """
+    if edits not in (0, 1, 2):
+        raise ValueError("edits must be 0, 1 or 2")
     scratch = Scratch(docs.sparkSession, "lines")
     # A written table, so that both sides of the join are dealt out anew and a hot document's partition can be split.
-    lost = scratch.save(removed_lines(docs, scratch), "lost")
-    for name in ("lines", "first", "halves", "shared", "some", "candidates", "blocks", "alike", "variants", "earliest", "pairs", "near", "gone"):
-        scratch.drop(name)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near", "removed")]
-    n_lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("long")
-    joined = docs.select(*own, _doc_order().alias("_doc")).join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"), F.col("n_near").alias("_near")).hint("merge"), "_doc", "left")
+    lost = scratch.save(removed_lines(docs, scratch, edits, shortest), "lost")
+    scratch.drop("lines", "first", "halves", "shared", "some", "candidates", "ends", "variants", "earliest", "pairs", "near", "gone")
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "n_near", "removed")]
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *_doc_order()).join(lost.hint("merge"), ["doc", "twin"], "left")
+    text, removed = F.col("row.text"), F.col("removed")
+    n_lines = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("long")
     return joined.select(
-        *[F.when(F.col("_removed").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_removed"))).alias("text") if c == "text" else F.col(c) for c in own],
-        F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
-        F.coalesce("_removed", F.array().cast("array<int>")).alias("removed"),
+        *[F.when(removed.isNull(), text).otherwise(_without(text, removed)).alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in own],
+        F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed"),
     )
 
 
