@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # 100 ns steps between 1601 and 1970, and in a second.
@@ -39,14 +39,17 @@ def byte_counts(data: Column) -> Column:
     return F.pandas_udf(every, "array<long>")(data)
 
 
+def _with_total(counts: Column, body) -> Column:
+    """body(total of the counts), the total being computed once, also where body uses it inside of a lambda."""
+    return F.transform(F.array(F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)), body)[0]
+
+
 def entropy_of_counts(counts: Column) -> Column:
-    n = F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
-    return F.aggregate(counts, F.lit(0.0), lambda a, c: F.when(c > 0, a - c / n * F.log2(c / n)).otherwise(a))
+    return _with_total(counts, lambda n: F.aggregate(counts, F.lit(0.0), lambda a, c: F.when(c > 0, a - c / n * F.log2(c / n)).otherwise(a)))
 
 
 def frequencies(counts: Column) -> Column:
-    n = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c), F.lit(1))
-    return F.transform(counts, lambda c: c / n)
+    return _with_total(counts, lambda n: F.transform(counts, lambda c: c / F.greatest(n, F.lit(1))))
 
 
 def kl_divergence(p: Column, q: Column) -> Column:
@@ -58,9 +61,8 @@ def kl_divergence(p: Column, q: Column) -> Column:
 
 def chi_square(counts: Column) -> Column:
     """Chi-square statistic against equal shares of the 256 byte values."""
-    n = F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
     squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c.cast("double") * c)
-    return F.when(n > 0, squares * 256 / n - n).otherwise(F.lit(0.0))
+    return _with_total(counts, lambda n: F.when(n > 0, squares * 256 / n - n).otherwise(F.lit(0.0)))
 
 
 def randomness_label(h: Column, chi: Column, n: Column) -> Column:
@@ -68,11 +70,15 @@ def randomness_label(h: Column, chi: Column, n: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
+    """In whole numbers, so that every tie is rounded up."""
+
     # Units and their digits.
-    return (
-        F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024))
-        .when(n < 1 << 30, F.format_string("%.1f MB", n / (1 << 20))).otherwise(F.format_string("%.2f GB", n / (1 << 30)))
-    )
+    def of(unit: int, digits: int, name: str) -> Column:
+        scale = 10**digits
+        parts = F.floor((n * (2 * scale) + unit) / (2 * unit)).cast("long")
+        return F.format_string(f"%d.%0{digits}d {name}", F.floor(parts / scale).cast("long"), parts % scale)
+
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, of(1 << 10, 1, "KB")).when(n < 1 << 30, of(1 << 20, 1, "MB")).otherwise(of(1 << 30, 2, "GB"))
 
 
 def filetime_text(ft: Column) -> Column:
@@ -98,13 +104,50 @@ def tier(score: Column) -> Column:
     return F.when(score >= f(0.85), "High").when(score >= f(0.60), "Medium").when(score >= f(0.40), "Low").otherwise("Fragment")
 
 
-def hex_dump(data: Column) -> Column:
-    """Rows of 16 bytes: struct of offset, hex and printable text."""
+def hex_dump(files: DataFrame, key: str, data: str = "data") -> DataFrame:
+    """Rows of 16 bytes of each file: key, offset, hex, ascii (printable text, else dots). Offsets are dealt out first, so that only a row's
+    own bytes are looked at. No bytes and null: one empty row."""
+    rows = files.select(key, data, F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(F.length(data), F.lit(0)) - 1, F.lit(0)), F.lit(16))).alias("_at"))
+    piece = F.coalesce(F.substring(F.col(data), F.col("_at") + 1, F.lit(16)), F.lit(b""))
+    ascii_ = F.regexp_replace(F.decode(piece, "ISO-8859-1"), "[^\\x20-\\x7E]", ".")
+    return rows.select(key, F.col("_at").cast("long").alias("offset"), F.hex(piece).alias("hex"), ascii_.alias("ascii"))
+
+
+def hex_window(files: DataFrame, key: str, data: str, offset: int, length: int) -> DataFrame:
+    """Part of each file as a viewer asks for it: key, offset (at most the file's size), bytes (at most 4096), total_size."""
+    total = F.coalesce(F.length(data), F.lit(0)).cast("long")
+    at = F.least(F.lit(offset).cast("long"), total)
+    return files.select(key, at.alias("offset"), F.coalesce(F.substring(F.col(data), (at + 1).cast("int"), F.lit(min(length, 4096))), F.lit(b"")).alias("bytes"), total.alias("total_size"))
+
+
+def html_escape(text: Column) -> Column:
+    # The characters that stand for markup, the ampersand first.
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Whole percents, rounded down; 0 of nothing."""
+    return F.when(whole > 0, F.floor(part * 100 / whole)).otherwise(F.lit(0)).cast("int")
+
+
+def with_namespace(svg: Column) -> Column:
+    """An SVG text whose root names its namespace."""
+    return F.when(F.contains(svg, F.lit("xmlns=")), svg).otherwise(F.regexp_replace(svg, "^([\\s\\S]*?)<svg", '$1<svg xmlns="http://www.w3.org/2000/svg"'))
+
+
+def embedded_jpeg(data: Column) -> Column:
+    """The first JPEG inside of other bytes, from its first start mark to the first end mark after it or else to the end; null without one."""
     latin = F.decode(data, "ISO-8859-1")
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.length(data) - 1, F.lit(0)), F.lit(16)),
-        lambda o: F.struct(o.cast("long").alias("offset"), F.hex(F.substring(data, o + 1, F.lit(16))).alias("hex"), F.regexp_replace(F.substring(latin, o + 1, F.lit(16)), "[^\\x20-\\x7E]", ".").alias("ascii")),
-    )
+    start = F.locate("\u00ff\u00d8\u00ff", latin)
+    end = F.locate("\u00ff\u00d9", F.substring(latin, start, F.length(latin)))
+    return F.when(start > 0, F.substring(data, start, F.when(end > 0, end + 1).otherwise(F.length(data))))
+
+
+def tier_class(label: Column) -> Column:
+    # Style names of the tiers.
+    return F.when(label == "High", "badge-high").when(label == "Medium", "badge-medium").when(label == "Low", "badge-low").otherwise("badge-fragment")
 
 
 def data_uri(data: Column, mime: Column) -> Column:

@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from bytelode.functions.binary import confidence, tier
 from bytelode.functions.catalog import MIB, Rule, rules, rules_frame
 from bytelode.operators.scan import DIB_SIZES, SECTOR, adts_frame
+from bytelode.sources.rawimage import image_files, read_range
 
 
 def _u16(b: bytes, at: int) -> int:
@@ -292,3 +294,44 @@ def windows(hits: DataFrame, chunks: DataFrame, extensions: list[str] | None = N
     piece = F.struct("chunk_start", F.expr(f"substring(data, cast(greatest(offset - chunk_start, 0) as int) + 1, cast(least(offset + probe - greatest(offset, chunk_start), {size}) as int))").alias("piece"))
     joined = got.groupBy("image_id", "offset", "sig_idx").agg(F.array_sort(F.collect_list(piece)).alias("_p"))
     return joined.select("image_id", "offset", "sig_idx", F.aggregate("_p.piece", F.lit(b""), lambda a, x: F.concat(a, x)).alias("window"))
+
+
+def validated(rows: DataFrame) -> DataFrame:
+    """rows(..., validator, data) with ok: whether the bytes are such a file."""
+
+    @F.pandas_udf("boolean")
+    def check(name: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([valid(n, d or b"") for n, d in zip(name, data, strict=True)], dtype=bool)
+
+    return rows.withColumn("ok", check("validator", "data"))
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows(..., extension, data) with end: where a file of that kind ends, by its format alone; null if the bytes don't say."""
+
+    @F.pandas_udf("long")
+    def find(extension: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([ENDS.get(e, lambda _: None)(d or b"") for e, d in zip(extension, data, strict=True)], dtype="Int64")
+
+    return rows.withColumn("end", find("extension", "data"))
+
+
+def write_artifacts(artifacts: DataFrame, path: str) -> None:
+    """Artifacts with their payloads as Parquet, a folder for each category; a row's path column names it as a file."""
+    artifacts.write.mode("append").partitionBy("category").parquet(path)
+
+
+def file_windows(hits: DataFrame, path: str, extensions: list[str] | None = None) -> DataFrame:
+    """The bytes from each hit on, read from the image files that the pattern names where they are carved: nothing of an image is shuffled.
+    hits(image_id, offset, sig_idx); image_id is a file's name."""
+    probes = {r.number: probe_size(r) for r in rules(extensions)}
+    paths = {p.rsplit("/", 1)[-1]: p for p, _ in image_files(path)}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, offset, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if image in paths and number in probes:
+                    window = read_range(paths[image], offset, probes[number])
+                    yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([offset], pa.int64()), pa.array([number], pa.int32()), pa.array([window], pa.binary())], names=["image_id", "offset", "sig_idx", "window"])
+
+    return hits.select("image_id", "offset", "sig_idx").mapInArrow(read, "image_id string, offset long, sig_idx int, window binary")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Pairs = list[tuple[str, str]]
@@ -102,3 +103,13 @@ def preview_kind(extension: Column) -> Column:
     for kind, names in reversed(KINDS.items()):
         out = F.when(extension.isin(names), kind).otherwise(out)
     return out
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """rows(..., extension, data) with metadata: what the file says about itself, as pairs of name and value."""
+
+    @F.pandas_udf("array<struct<k:string,v:string>>")
+    def look(extension: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([[{"k": k, "v": v} for k, v in metadata(e, d or b"")] for e, d in zip(extension, data, strict=True)])
+
+    return rows.withColumn("metadata", look("extension", "data"))

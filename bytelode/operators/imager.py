@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +43,29 @@ def write_fault_map(sectors: DataFrame, path: str) -> None:
     lines = fault_map(sectors).select("image_id", "lba", F.concat_ws(", ", F.col("lba").cast("string"), F.col("count").cast("string"), "status").alias("value"))
     ordered = lines.repartitionByRange("image_id", "lba").sortWithinPartitions("image_id", "lba")
     ordered.select("image_id", "value").write.mode("overwrite").partitionBy("image_id").text(path)
+
+
+def image_digest(chunks: DataFrame) -> DataFrame:
+    """SHA-256 of whole images from chunks(image_id, chunk_start, data): image_id, n_bytes, sha256. The digest depends on the order of all bytes,
+    so an image streams through one task, a chunk at a time; images are independent."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, state, n = None, None, 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([image]), pa.array([n], pa.int64()), pa.array([state.hexdigest()])], names=["image_id", "n_bytes", "sha256"])
+
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if state is None or own != image:
+                    if state is not None:
+                        yield out()
+                    image, state, n = own, hashlib.sha256(), 0
+                state.update(data or b"")
+                n += len(data or b"")
+        if state is not None:
+            yield out()
+
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = chunks.select("image_id", "chunk_start", "data").repartition(tasks, "image_id").sortWithinPartitions("image_id", "chunk_start")
+    return ordered.mapInArrow(digest, "image_id string, n_bytes long, sha256 string")

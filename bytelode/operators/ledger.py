@@ -19,19 +19,25 @@ def canonical(index: Column, timestamp: Column, operation: Column, operator: Col
     )
 
 
-def chain(events: DataFrame) -> DataFrame:
-    """Gives ledger rows (ledger, index, timestamp, operation, operator, detail) their prev_hash and entry_hash. Each hash needs the one
-    before, so a ledger is folded in one task; ledgers are independent."""
-    fields = F.struct("index", "timestamp", "operation", "operator", "detail")
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<struct<index:bigint,timestamp:string,operation:string,operator:string,detail:string,prev_hash:string,entry_hash:string>>").alias("rows"))
+def fold(entries: Column | str, last: Column) -> Column:
+    """Ordered entries(index, timestamp, operation, operator, detail), chained on the hash `last`: with prev_hash and entry_hash."""
+    kind = "array<struct<index:bigint,timestamp:string,operation:string,operator:string,detail:string,prev_hash:string,entry_hash:string>>"
+    start = F.struct(last.alias("last"), F.array().cast(kind).alias("rows"))
 
     def step(acc: Column, e: Column) -> Column:
         digest = F.sha2(canonical(e["index"], e["timestamp"], e["operation"], e["operator"], e["detail"], acc["last"]), 256)
-        row = F.struct(e["index"].alias("index"), e["timestamp"].alias("timestamp"), e["operation"].alias("operation"), e["operator"].alias("operator"), e["detail"].alias("detail"), acc["last"].alias("prev_hash"), digest.alias("entry_hash"))
+        row = F.struct(*[e[c].alias(c) for c in ("index", "timestamp", "operation", "operator", "detail")], acc["last"].alias("prev_hash"), digest.alias("entry_hash"))
         return F.struct(digest.alias("last"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-    folded = events.groupBy("ledger").agg(F.array_sort(F.collect_list(fields)).alias("e")).select("ledger", F.aggregate("e", start, step)["rows"].alias("rows"))
-    return folded.select("ledger", F.explode("rows").alias("r")).select("ledger", "r.*")
+    return F.aggregate(entries, start, step)["rows"]
+
+
+def chain(events: DataFrame) -> DataFrame:
+    """Gives ledger rows (ledger, index, timestamp, operation, operator, detail) their prev_hash and entry_hash. Each hash needs the one
+    before, so a ledger is folded in one task; ledgers are independent."""
+    fields = F.struct("index", "timestamp", "operation", "operator", "detail")
+    ordered = events.groupBy("ledger").agg(F.array_sort(F.collect_list(fields)).alias("e"))
+    return ordered.select("ledger", F.explode(fold("e", F.lit(GENESIS))).alias("r")).select("ledger", "r.*")
 
 
 def verify_chain(entries: DataFrame) -> DataFrame:
@@ -79,10 +85,12 @@ def report(entries: DataFrame, case: str) -> DataFrame:
 
 
 def certificate(entries: DataFrame, wiped: DataFrame) -> DataFrame:
-    """One row of what a certificate states, derived from the chain and from wipe_verify's rows; nothing is taken for granted."""
+    """What a certificate states of each ledger, derived from the chain, the log's hash and wipe_verify's rows; nothing is taken for granted."""
     checked = verify_chain(entries).select("ledger", "n_entries", F.when(F.col("valid"), "INTACT").otherwise("BROKEN").alias("chain_status"))
+    checked = checked.join(log_hash(entries), "ledger")
     surface = wiped.agg(F.sum("sectors_checked").alias("sectors_checked"), F.sum("mismatches").alias("mismatches"), F.max("max_entropy").alias("max_entropy"))
-    return checked.join(F.broadcast(surface.withColumn("result", F.when(F.col("mismatches") == 0, "PASSED").otherwise("FAILED"))), F.lit(True))
+    # One row: an aggregate without groups.
+    return checked.crossJoin(F.broadcast(surface.withColumn("result", F.when(F.col("mismatches") == 0, "PASSED").otherwise("FAILED"))))
 
 
 def export_custody(extractions: DataFrame, exports: DataFrame) -> DataFrame:
@@ -94,3 +102,27 @@ def export_custody(extractions: DataFrame, exports: DataFrame) -> DataFrame:
 
 def custody_badges(checked: DataFrame) -> DataFrame:
     return checked.groupBy("file_id").agg(F.count("*").alias("n_exports"), F.every("matches").alias("intact"))
+
+
+def log_hash(entries: DataFrame) -> DataFrame:
+    """SHA-256 of each ledger's lines in order: ledger, log_hash. A line is the canonical text of an entry and its hash. The digest depends on
+    the order of all lines, so a ledger's hashes are put together in one task."""
+    lines = entries.groupBy("ledger").agg(F.array_sort(F.collect_list(F.struct("line_no", "entry_hash"))).alias("e"))
+    return lines.select("ledger", F.sha2(F.array_join(F.col("e.entry_hash"), "\n"), 256).alias("log_hash"))
+
+
+def of_kind(entries: DataFrame, kind: str) -> DataFrame:
+    """Entries of scans ("Scan") or of wipes ("Wipe": of drives and files)."""
+    return entries.where(F.col("operation").isin("WipeDrive", "WipeFile") if kind == "Wipe" else F.col("operation") == kind)
+
+
+def selected(artifacts: DataFrame, ids: DataFrame, session: str) -> DataFrame:
+    """Artifacts(session_id, id, ...) with one of the ids: those of the session; an id that the session lacks is taken from the others."""
+    named = artifacts.join(ids.select("id").distinct(), "id", "left_semi")
+    own = named.where(F.col("session_id") == session)
+    return own.unionByName(named.where(F.col("session_id") != session).join(own.select("id"), "id", "left_anti"))
+
+
+def exported(artifacts: DataFrame, destination: str) -> DataFrame:
+    """What exporting artifacts(id, payload, ...) records: file_id, destination and the hash of what was copied, taken anew."""
+    return artifacts.select(F.col("id").alias("file_id"), F.concat(F.lit(destination.rstrip("/") + "/"), F.col("path")).alias("destination"), F.sha2("payload", 256).alias("sha256"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytelode.functions.binary import FILETIME_SECOND
+from bytelode.sources.rawimage import image_files, read_range
 
 RECORD = 1024
 TIMES = "created long, modified long, mft_modified long, accessed long"
@@ -134,19 +137,94 @@ def runs_of(b: bytes, cluster: int = 4096) -> list[tuple[int | None, int]]:
     return out
 
 
-def extract(record: bytes, read) -> bytes | None:
-    """The content of a record's first data attribute; read(offset, size) gives bytes of the image. Sparse runs are zeros."""
+def data_runs(record: bytes) -> tuple[bytes | None, list[tuple[int | None, int]], int] | None:
+    """A record's first data attribute: its bytes if they stand in the record, else its runs, and its real size. None without one. Update
+    sequences are not put back here. What doesn't fit in the record ends it."""
+    if len(record) < 48:
+        return None
     at = struct.unpack_from("<H", record, 20)[0]
     while at + 24 <= len(record):
         kind, size = struct.unpack_from("<II", record, at)
-        if kind in (0, 0xFFFFFFFF) or size < 16:
+        if kind in (0, 0xFFFFFFFF) or size < 16 or at + size > len(record):
             return None
         if kind == 0x80:
             if record[at + 8] == 0:
                 length, content = struct.unpack_from("<IH", record, at + 16)
-                return record[at + content : at + content + length]
-            first = struct.unpack_from("<H", record, at + 32)[0]
-            real = struct.unpack_from("<Q", record, at + 48)[0]
-            return b"".join(bytes(n) if o is None else read(o, n) for o, n in runs_of(record[at + first : at + size]))[:real]
+                body = record[at + content : at + content + length]
+                return body, [], len(body)
+            if size < 56:
+                return None
+            first, real = struct.unpack_from("<H", record, at + 32)[0], struct.unpack_from("<Q", record, at + 48)[0]
+            return None, runs_of(record[at + first : at + size]), real
         at += size
     return None
+
+
+def extract(record: bytes, read, most: int = 1 << 30) -> bytes | None:
+    """The content of a record's first data attribute, `most` bytes at most; read(offset, size) gives bytes of the image. Sparse runs are
+    zeros; no more than the real size is ever made."""
+    found = data_runs(record)
+    if found is None or found[0] is not None:
+        return found and found[0]
+    out, left = [], min(found[2], most)
+    for offset, size in found[1]:
+        size = min(size, left)
+        if size <= 0:
+            break
+        out.append(bytes(size) if offset is None else read(offset, size))
+        left -= size
+    return b"".join(out)
+
+
+def record_sectors(chunks: DataFrame) -> DataFrame:
+    """Sectors of chunks(image_id, chunk_start, owned_len, data) that begin like a record, with its bytes: image_id, lba, data. A chunk owns
+    the sectors that begin in it and looks ahead for the rest of a record."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for image, start, owned, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = data.find(b"FILE") if data else -1
+                while 0 <= at < owned:
+                    if (start + at) % 512 == 0 and at + RECORD <= len(data):
+                        rows.append((image, (start + at) // 512, data[at : at + RECORD]))
+                    at = data.find(b"FILE", at + 1)
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["image_id", "lba", "data"])
+
+    return chunks.select("image_id", "chunk_start", "owned_len", "data").mapInArrow(find, "image_id string, lba long, data binary")
+
+
+def scan_records(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """All file records of images, or the first `most` of each in order of place, with record_number and their columns and alert."""
+    sectors = record_sectors(chunks)
+    taken = accept_sectors(sectors.select("image_id", "lba"))
+    if most is not None:
+        taken = taken.where(F.col("record_number") < most)
+    records = sectors.join(taken, ["image_id", "lba"]).withColumn("record_offset", F.col("lba") * 512)
+    parsed = with_alert(parse(records))
+    return parsed.join(records.select("image_id", "record_offset", "record_number"), ["image_id", "record_offset"])
+
+
+def extract_records(chunks: DataFrame, path: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """Content of the records of image files: image_id, record_offset, name (of safe letters), size, sha256, payload. path: the pattern that
+    names the files; a record's runs are read from its file where it is extracted."""
+    paths = {p.rsplit("/", 1)[-1]: p for p, _ in image_files(path)}
+    sectors = record_sectors(chunks)
+    records = sectors.join(accept_sectors(sectors.select("image_id", "lba")), ["image_id", "lba"]).select("image_id", (F.col("lba") * 512).alias("record_offset"), "data")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                body = extract(data, lambda o, n, p=paths.get(image): read_range(p, o, n) if p else b"", most_bytes)
+                if body is not None:
+                    name = (parse_record(data) or {}).get("filename") or f"record_{at}"
+                    yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([at], pa.int64()), pa.array([re.sub(r"[^\w.\-]", "_", name)]), pa.array([len(body)], pa.int64()), pa.array([hashlib.sha256(body).hexdigest()]), pa.array([body], pa.binary())],
+                                                     names=["image_id", "record_offset", "name", "size", "sha256", "payload"])
+
+    return records.mapInArrow(read, "image_id string, record_offset long, name string, size long, sha256 string, payload binary")
+
+
+def first_seen(records: DataFrame) -> DataFrame:
+    """Records that come twice, as a stream of findings may bring them, once."""
+    return records.dropDuplicates(["image_id", "record_number", "record_offset"])

@@ -44,3 +44,48 @@ def wipe_verify(sectors: DataFrame, mode: str) -> DataFrame:
         judged = whole.select("image_id", "lba", F.lit(1).alias("n"), (~same).alias("bad"), (entropy(F.col("data")) if mode == "Zero" else F.lit(0.0)).alias("h"))
     out = judged.groupBy("image_id").agg(F.sum("n").cast("long").alias("sectors_checked"), F.count_if("bad").alias("mismatches"), F.min(F.when(F.col("bad"), F.col("lba"))).alias("first_bad"), F.max("h").alias("max_entropy"))
     return out.withColumn("passed", F.col("mismatches") == 0)
+
+
+# The standards' ids and labels.
+LABELS = {
+    "Clear": ("nist_clear", "NIST SP 800-88 Clear"),
+    "Random": ("random", "BSI TR-02102 Random"),
+    "DoD": ("dod3", "DoD 5220.22-M (3-pass)"),
+    "Gutmann7": ("gutmann7", "Gutmann 7-pass"),
+    "Purge": ("nist_purge", "NIST SP 800-88 Purge (NVMe Sanitize & Flash TRIM)"),
+}
+
+
+def wipe_standards(spark: SparkSession) -> DataFrame:
+    """The standards: standard, id, label, passes."""
+    return spark.createDataFrame([(name, *LABELS[name], len(passes)) for name, passes in STANDARDS.items()], "standard string, id string, label string, passes int")
+
+
+def block_pattern(pattern: Column, size: int, seed: Column) -> Column:
+    """A block of bytes as a pass writes it: one byte in hex, repeated, or for R bytes that follow from the seed alone."""
+    # 32 bytes of hash a piece; a seed and a piece's number make it.
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(-(-size // 32) - 1)), lambda k: F.sha2(F.concat_ws(":", seed.cast("string"), k.cast("string")), 256))
+    random_ = F.substring(F.unhex(F.array_join(pieces, "")), 1, size)
+    return F.when(pattern == "R", random_).otherwise(F.unhex(F.repeat(pattern, F.lit(size))))
+
+
+def shred_summary(results: DataFrame) -> DataFrame:
+    """Of results(path, ok): how many files were shredded and how many were not."""
+    return results.agg(F.count_if("ok").alias("shredded"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"))
+
+
+def adversarial_summary(planted: int, before: DataFrame, verified: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of a trial: files planted, artifacts carved before the wipe, what wipe_verify found after it, hits that are left, passed."""
+    carved, left = (x.agg(F.count("*").alias(n)) for x, n in ((before, "carved_files"), (after, "post_wipe_carved")))
+    surface = verified.agg(F.sum("sectors_checked").alias("sectors_checked"), F.sum("mismatches").alias("sector_mismatches"))
+    row = carved.crossJoin(surface).crossJoin(left).withColumn("planted_files", F.lit(planted))  # three rows of one
+    return row.withColumn("passed", (F.col("sector_mismatches") == 0) & (F.col("post_wipe_carved") == 0))
+
+
+def trial_phases(summary: DataFrame) -> DataFrame:
+    """The five phases of a trial as rows: phase, title, status."""
+    # The phases.
+    titles = ("Image created", "Evidence planted", "Carving before the wipe", "Surface overwritten", "Carving after the wipe")
+    rows = F.array(*[F.struct(F.lit(k).alias("phase"), F.lit(t).alias("title")) for k, t in enumerate(titles, 1)])
+    out = summary.select("passed", F.explode(rows).alias("r")).select("r.*", "passed")
+    return out.select("phase", "title", F.when((F.col("phase") < 5) | F.col("passed"), "success").otherwise("failed").alias("status"))

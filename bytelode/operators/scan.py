@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytelode.functions.catalog import Rule, rules
+from bytelode.session import durable
 
 #: Bytes that a chunk holds beyond those it owns: more than any check of a header needs.
 LOOKAHEAD = 16 * 1024
@@ -61,20 +64,43 @@ def header_ok(ext: str, w: bytes) -> bool:
     return True
 
 
-def hits_in(data: bytes, start: int, owned: int, table: list[Rule]) -> Iterator[tuple[int, int]]:
-    """(offset, rule) of the hits that begin in the first `owned` bytes. Overlapping magics are all found; magics of two bytes count at
-    sector starts only."""
+@lru_cache(maxsize=16)
+def _automaton(table: tuple[Rule, ...]) -> ahocorasick.Automaton:
+    """All magics at once, as Latin-1 text: each with its rules."""
+    found, by_magic = ahocorasick.Automaton(), {}
     for rule in table:
-        for m in re.finditer(b"(?=" + re.escape(rule.magic) + b")", data):
-            at = m.start()
-            if at >= owned:
-                break
-            if len(rule.magic) <= 2 and (start + at) % SECTOR:
-                continue
+        by_magic.setdefault(rule.magic, []).append(rule)
+    for magic, own in by_magic.items():
+        found.add_word(magic.decode("latin-1"), (len(magic), own))
+    found.make_automaton()
+    return found
+
+
+def hits_in(data: bytes, start: int, owned: int, table: list[Rule]) -> Iterator[tuple[int, int]]:
+    """(offset, rule) of the hits that begin in the first `owned` bytes, in one pass over them and the longest magic's tail. Overlapping
+    magics are all found; magics of two bytes count at sector starts only."""
+    if not table:
+        return
+    longest = max(len(r.magic) for r in table)
+    for end, (size, own) in _automaton(tuple(table)).iter(data[: owned + longest - 1].decode("latin-1")):
+        at = end - size + 1
+        if at >= owned or size <= 2 and (start + at) % SECTOR:
+            continue
+        for rule in own:
             if header_ok(rule.extension, data[at : at + LOOKAHEAD]):
                 yield start + at, rule.number
 
 
+def header_checks(rows: DataFrame) -> DataFrame:
+    """rows(..., extension, data) with ok: whether the bytes can be the header of such a file."""
+
+    @F.pandas_udf("boolean")
+    def check(extension: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([header_ok(e, d or b"") for e, d in zip(extension, data, strict=True)], dtype=bool)
+
+    return rows.withColumn("ok", check("extension", "data"))
+
+
 def scan(chunks: DataFrame, extensions: list[str] | None = None) -> DataFrame:
     """Hits of chunks(image_id, chunk_start, owned_len, data). A chunk owns the hits that begin in its first owned_len bytes and only looks
     at what follows, so chunks of any size give the same hits, each once, without a shuffle."""
@@ -92,10 +118,10 @@ def scan(chunks: DataFrame, extensions: list[str] | None = None) -> DataFrame:
 
 def virtual_layout(files: DataFrame, order: str, size: str) -> DataFrame:
     """Where files stand one after the other on an image, each from a sector's start: adds start. Bytes before a file are summed by
-    ranges of the order first, so that no task sees all files."""
+    ranges of the order first, so that no task sees all files. The ranges are checkpointed: dealt out twice, they need not be the same."""
     sectors = F.ceil(F.col(size) / SECTOR).cast("long") * SECTOR
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = files.repartitionByRange(tasks, order).withColumn("_part", F.spark_partition_id()).withColumn("_size", sectors)
+    ranged = durable(files.repartitionByRange(tasks, order).withColumn("_part", F.spark_partition_id()).withColumn("_size", sectors))
     before = ranged.groupBy("_part").agg(F.sum("_size").alias("_n"))
     before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

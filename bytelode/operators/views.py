@@ -77,3 +77,35 @@ def slack_report(files: DataFrame, cluster: int = 4096) -> DataFrame:
     part = files.select("id", slack.cast("long").alias("slack_len"), F.when(slack > 0, text).otherwise(F.lit("")).alias("t"))
     nonzero = F.length(F.regexp_replace("t", "\\x00", "")).cast("long")
     return part.select("id", "slack_len", nonzero.alias("nonzero"), F.length(F.regexp_replace("t", "[^\\x20-\\x7E]", "")).cast("long").alias("printable"), (nonzero > 16).alias("anomaly"))
+
+
+def wipe_map(jobs: DataFrame) -> DataFrame:
+    """Of jobs(job_id, bytes_written, total_bytes) the 140 parts of each medium: bucket, state (wiped, writing, pending), start_lba, end_lba."""
+    sectors = F.floor(F.col("total_bytes") / 512)
+    done = F.when(F.col("total_bytes") > 0, F.least(F.lit(BUCKETS), F.floor(F.least(F.lit(1.0), F.col("bytes_written") / F.col("total_bytes")) * BUCKETS))).otherwise(F.lit(0))
+    rows = jobs.select("job_id", sectors.alias("n"), done.alias("done"), F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
+    first = F.floor(F.col("bucket") * F.col("n") / BUCKETS)
+    last = F.least(F.col("n") - 1, F.floor((F.col("bucket") + 1) * F.col("n") / BUCKETS) - 1)
+    state = F.when(F.col("bucket") < F.col("done"), "wiped").when(F.col("bucket") == F.col("done"), "writing").otherwise("pending")
+    return rows.select("job_id", "bucket", state.alias("state"), first.cast("long").alias("start_lba"), F.greatest(first, last).cast("long").alias("end_lba"))
+
+
+def sampled(samples: DataFrame, every_ms: int = 400) -> DataFrame:
+    """Of progress samples(job_id, ts_ms, bytes, total) the last of each span of every_ms, for throughput()."""
+    span = F.floor(F.col("ts_ms") / every_ms)
+    last = samples.groupBy("job_id", span.alias("_span")).agg(F.max(F.struct("ts_ms", "bytes", "total")).alias("s"))
+    return last.select("job_id", "s.*")
+
+
+def block_devices(lines: DataFrame) -> DataFrame:
+    """Devices of a partition listing(line) of the system: name, path, size_bytes, scheme. Lines of fewer than four fields, and names that
+    don't end in a digit, are left out."""
+    f = F.split(F.trim("line"), "\\s+")
+    rows = lines.select(f.alias("f")).where((F.size("f") >= 4) & F.col("f")[3].rlike("[0-9]$") & F.col("f")[2].rlike("^[0-9]+$"))
+    size = F.col("f")[2].cast("long") * 1024
+    return rows.select(F.col("f")[3].alias("name"), F.concat(F.lit("/dev/"), F.col("f")[3]).alias("path"), size.alias("size_bytes"), F.when(size > 2_000_000_000_000, "GPT").otherwise("MBR").alias("scheme"))
+
+
+def artifact(rows: DataFrame, artifact_id: str) -> DataFrame:
+    """The artifact of an id; of several sessions' the first."""
+    return rows.where(F.col("id") == artifact_id).orderBy("session_id").limit(1)

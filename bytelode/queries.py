@@ -12,7 +12,7 @@ from bytelode.functions.catalog import catalog_search, catalog_stats, rules, rul
 from bytelode.operators import carve as C
 from bytelode.operators import anchor as A
 from bytelode.operators import classify, fragment, imager, ledger, mft, sanitize, views
-from bytelode.operators.scan import LOOKAHEAD, scan, virtual_layout
+from bytelode.operators.scan import LOOKAHEAD, header_checks, scan, virtual_layout
 from bytelode.plans import fixtures
 from bytelode.sources.rawimage import table_chunks
 
@@ -103,43 +103,79 @@ def artifact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-_SECRETS = [("aws_key", "AK" + "IA" + "A1B2C3D4E5F6G7H8"), ("aws_key", "AK" + "IA" + "short"), ("github_pat", "gh" + "p_" + "a1B2" * 9), ("github_pat", "gh" + "p_" + "a1B2"), ("jwt", "ey" + "Ja.b-_c.d"), ("jwt", "ey" + "Jabc"),
-            ("pem", "-----BEG" + "IN X-----\nabcdefghijk\n-----E" + "ND X-----"), ("pem", "-----BEG" + "IN X-----\nabcdefghijk")]
-_SECRET_TESTS = {"aws_key": "^AKIA[A-Z0-9]{16}", "github_pat": "^ghp_[A-Za-z0-9]{36}", "jwt": "^[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+([.]|$|[ \\n])"}
+def _flags(rows: list[tuple[str, bytes, bool]], names: str) -> str:
+    """SQL of literal expectations: (name, number of the case, ok)."""
+    return f"SELECT * FROM (VALUES {', '.join(f'({k}, {n!r}, {str(ok).lower()})' for k, (n, _, ok) in enumerate(rows))}) AS t(id, {names}, ok)"
 
 
-@query("SELECT validator, text, CASE validator WHEN 'aws_key' THEN regexp_matches(text, '^AKIA[A-Z0-9]{16}') WHEN 'github_pat' THEN regexp_matches(text, '^ghp_[A-Za-z0-9]{36}') WHEN 'jwt' THEN regexp_matches(text, '^[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+([.]|$)') ELSE starts_with(text, '-----BEGIN ') AND contains(text, '-----END ') AND length(text) >= 30 END AS ok FROM (VALUES "
-       + ",".join(f"('{v}', replace('{t}', '~', chr(10)))".replace("\n", "~") for v, t in _SECRETS) + ") AS t(validator, text)")
+def _cases(spark: SparkSession, rows: list[tuple[str, bytes, bool]], name: str) -> DataFrame:
+    return spark.createDataFrame([(k, n, bytearray(d)) for k, (n, d, _) in enumerate(rows)], f"id int, {name} string, data binary")
+
+
+@query(_flags(fixtures.VALIDATOR_CASES, "validator"))
+def validator_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.validated(_cases(spark, fixtures.VALIDATOR_CASES, "validator")).select("id", "validator", "ok")
+
+
+@query(_flags(fixtures.HEADER_CASES, "extension"))
+def header_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return header_checks(_cases(spark, fixtures.HEADER_CASES, "extension")).select("id", "extension", "ok")
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({k}, {e!r}, {end})' for k, (e, _, end) in enumerate(fixtures.BOUNDARY_CASES))}) AS t(id, extension, \"end\")")
+def boundary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.bounded(_cases(spark, fixtures.BOUNDARY_CASES, "extension")).select("id", "extension", F.col("end").cast("int").alias("end"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {e!r}, '{name}', '{value}')" for k, (e, _, pairs) in enumerate(fixtures.METADATA_CASES) for name, value in pairs) + ") AS t(id, extension, k, v)")
+def metadata_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classify.classified(_cases(spark, fixtures.METADATA_CASES, "extension"))
+    return rows.select("id", "extension", F.explode("metadata").alias("m")).select("id", "extension", "m.k", "m.v")
+
+
+_SECRET_RULES = ["key", "token", "jwt", "pem"]
+
+
+@query("""WITH h AS (SELECT doc_id, text, m.rule, m.magic, i, list_slice(string_split(text, m.magic), 1, i) AS before
+ FROM documents, (VALUES ('aws_key', 'AKIA'), ('github_pat', 'ghp_'), ('jwt', 'eyJ'), ('pem', '-----BEGIN ')) AS m(rule, magic), unnest(range(1, len(string_split(text, m.magic)))) AS t(i)),
+f AS (SELECT doc_id, rule, CAST(list_sum(list_transform(before, lambda x: octet_length(encode(x)))) + (i - 1) * length(magic) AS BIGINT) AS "offset", substr(text, CAST(list_sum(list_transform(before, lambda x: length(x))) + i * length(magic) + 1 AS BIGINT)) AS rest FROM h)
+SELECT CAST(doc_id AS VARCHAR) AS image_id, rule, "offset" FROM f WHERE CASE rule WHEN 'aws_key' THEN regexp_matches(rest, '^[A-Z0-9]{16}') WHEN 'github_pat' THEN regexp_matches(rest, '^[A-Za-z0-9]{36}')
+ WHEN 'jwt' THEN regexp_matches(rest, '^[A-Za-z0-9_-]*[.][A-Za-z0-9_-]+([.]|[ \\t-\\r]|$)') ELSE contains(rest, '-----END ') END""")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_SECRETS, "validator string, text string")
-    t = F.col("text")
-    pem = F.startswith(t, F.lit("-----BEGIN ")) & F.contains(t, F.lit("-----END ")) & (F.octet_length(t) >= 30)
-    ok = F.when(F.col("validator") == "pem", pem)
-    for name, pattern in _SECRET_TESTS.items():
-        ok = ok.when(F.col("validator") == name, t.rlike(pattern))
-    return rows.select("validator", "text", ok.alias("ok"))
+    """Secrets in documents: hits of the rules for them whose text passes the rule's validator."""
+    docs = _doc_bytes(spark, sf_dir).select(F.col("doc_id").cast("string").alias("image_id"), "data")
+    hits = scan(table_chunks(docs, "image_id", "data"), _SECRET_RULES).join(F.broadcast(rules_frame(spark, _SECRET_RULES).where("validator is not null")), "sig_idx")
+    found = hits.join(docs, "image_id").withColumn("data", F.expr("substring(data, cast(offset as int) + 1)"))
+    return C.validated(found.select("image_id", "offset", "validator", "data")).where("ok").select("image_id", F.col("validator").alias("rule"), "offset")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS image_id, CAST(NULL AS BIGINT) AS \"offset\", CAST(NULL AS INTEGER) AS sig_idx WHERE false")
+def scan_documents_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives, pictures and programs in documents: prose holds none."""
+    docs = _doc_bytes(spark, sf_dir)
+    return scan(table_chunks(docs, "doc_id", "data"), ["zip", "png", "jpg", "elf", "sqlite", "7z"])
 
 
 # Byte statistics
 
-_BYTES = "SELECT doc_id, b, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, len(h) // 2 + 1), lambda i: substr(h, 2 * i - 1, 2))) AS b FROM (SELECT doc_id, left(hex(encode(text)), 1024) AS h FROM documents)) GROUP BY 1, 2"
+_BYTES = "SELECT doc_id, b, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY 1, 2"
 
 
-@query(f"WITH c AS ({_BYTES}), n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY 1) SELECT doc_id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM c JOIN n USING (doc_id) GROUP BY 1")
+@query(f"WITH c AS ({_BYTES}), n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY 1), h AS (SELECT doc_id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM c JOIN n USING (doc_id) GROUP BY 1) SELECT doc_id, coalesce(entropy, 0) AS entropy FROM documents LEFT JOIN h USING (doc_id)")
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_bytes(spark, sf_dir).select("doc_id", F.round(B.entropy(F.substring("data", 1, 512)), 6).alias("entropy"))
+    return _doc_bytes(spark, sf_dir).select("doc_id", F.round(B.entropy(F.col("data")), 6).alias("entropy"))
 
 
-@query(f"WITH c AS ({_BYTES}), n AS (SELECT doc_id, sum(c) AS n, sum(c * c) AS s FROM c GROUP BY 1) SELECT doc_id, round(s * 256.0 / n - n, 4) AS chi_square, 'Structured' AS label FROM n")
+@query(f"WITH c AS ({_BYTES}), n AS (SELECT doc_id, sum(c) AS n, sum(c * c) AS s FROM c GROUP BY 1), h AS (SELECT doc_id, -sum(c / n * log2(c / n)) AS h FROM c JOIN n USING (doc_id) GROUP BY 1) SELECT doc_id, coalesce(round(s * 256.0 / n - n, 4), 0) AS chi_square, CASE WHEN h >= 7.85 AND s * 256.0 / n - n <= 380 AND n >= 512 THEN 'Uniform random' WHEN h >= 7.5 THEN 'Compressed or encrypted' ELSE 'Structured' END AS label FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)")
 def byte_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _doc_bytes(spark, sf_dir).select("doc_id", F.substring("data", 1, 512).alias("d")).withColumn("c", B.byte_counts(F.col("d")))
-    chi = B.chi_square(F.col("c"))
-    return rows.select("doc_id", F.round(chi, 4).alias("chi_square"), B.randomness_label(B.entropy_of_counts(F.col("c")), chi, F.length("d")).alias("label"))
+    rows = _doc_bytes(spark, sf_dir).select("doc_id", F.length("data").alias("n"), B.byte_counts(F.col("data")).alias("c"))
+    rows = rows.select("doc_id", "n", B.chi_square(F.col("c")).alias("chi"), B.entropy_of_counts(F.col("c")).alias("h"))
+    return rows.select("doc_id", F.round("chi", 4).alias("chi_square"), B.randomness_label(F.col("h"), F.col("chi"), F.col("n")).alias("label"))
 
 
 @query(f"SELECT b AS byte, CAST(sum(c) AS BIGINT) AS n, count(*) AS docs FROM ({_BYTES}) GROUP BY 1")
 def byte_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _doc_bytes(spark, sf_dir).select(F.posexplode(B.byte_counts(F.substring("data", 1, 512))).alias("k", "c")).where("c > 0")
+    rows = _doc_bytes(spark, sf_dir).select(F.posexplode(B.byte_counts(F.col("data"))).alias("k", "c")).where("c > 0")
     return rows.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).select(F.lpad(F.hex(F.col("k").cast("long")), 2, "0").alias("byte"), "n", "docs")
 
 
@@ -150,18 +186,16 @@ FROM s CROSS JOIN a LEFT JOIN f x ON x.doc_id = s.doc_id AND x.b = a.b LEFT JOIN
 def kl_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pairs = docs.select("doc_id", F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).alias("other")).where("other is not null")
-    p = _doc_bytes(spark, sf_dir).select("doc_id", B.byte_counts(F.substring("data", 1, 512)).alias("c")).select("doc_id", B.frequencies(F.col("c")).alias("p"))
+    p = _doc_bytes(spark, sf_dir).select("doc_id", B.byte_counts(F.col("data")).alias("c")).select("doc_id", B.frequencies(F.col("c")).alias("p"))
     both = pairs.join(p, "doc_id").join(p.select(F.col("doc_id").alias("other"), F.col("p").alias("q")), "other")
     return both.select("doc_id", "other", F.round(B.kl_divergence(F.col("p"), F.col("q")), 4).alias("kl"))
 
 
-@query("""SELECT doc_id, round(length(regexp_replace(t, '[^\\x20-\\x7E\\t\\n\\r]', '', 'g')) / length(t), 6) AS printable,
-length(regexp_replace(t, '[^\\x20-\\x7E\\t\\n\\r]', '', 'g')) / length(t) > 0.85 AS is_text
-FROM (SELECT doc_id, list_aggregate(list_transform(range(1, least(octet_length(encode(text)), 1024) + 1), lambda i: chr(CAST('0x' || substr(h, 2 * i - 1, 2) AS INTEGER))), 'string_agg', '') AS t
- FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents) WHERE length(text) > 0)""")
+@query("""WITH b AS (SELECT doc_id, regexp_extract_all(left(hex(encode(coalesce(text, ''))), 8192), '..') AS b FROM documents),
+p AS (SELECT doc_id, b, CASE WHEN len(b) = 0 THEN 0 ELSE len(list_filter(b, lambda x: x BETWEEN '20' AND '7E' OR x IN ('09', '0A', '0D'))) / len(b) END AS p FROM b)
+SELECT doc_id, round(p, 6) AS printable, p > 0.85 AND NOT list_contains(b, '00') AS is_text FROM p""")
 def text_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _doc_bytes(spark, sf_dir).select("doc_id", F.substring("data", 1, 1024).alias("d")).where(F.length("d") > 0)
-    return rows.select("doc_id", F.round(B.printable_ratio(F.col("d")), 6).alias("printable"), B.is_text(F.col("d")).alias("is_text"))
+    return _doc_bytes(spark, sf_dir).select("doc_id", F.round(B.printable_ratio(F.col("data")), 6).alias("printable"), B.is_text(F.col("data")).alias("is_text"))
 
 
 @query("""SELECT id, CASE WHEN n % 4096 = 0 THEN 0 ELSE 4096 - n % 4096 END AS slack_len, CASE WHEN n % 4096 = 0 THEN 0 ELSE least(40, 4096 - n % 4096) END AS nonzero,
@@ -387,7 +421,7 @@ def progress_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, CAST(16 * i AS BIGINT) AS "offset", substr(h, 32 * i + 1, 32) AS hex FROM (SELECT page_id, hex(encode(html)) AS h FROM pages), unnest(range((len(h) + 31) // 32)) AS t(i)""")
 def hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", F.explode(B.hex_dump(F.col("data"))).alias("r")).select("page_id", "r.offset", "r.hex")
+    return B.hex_dump(_pages(spark, sf_dir), "page_id").select("page_id", "offset", "hex")
 
 
 @query("SELECT page_id, 'data:text/html;base64,' || base64(encode(html)) AS uri FROM pages")
@@ -395,11 +429,11 @@ def data_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", B.data_uri(F.col("data"), classify.mime(F.lit("html"))).alias("uri"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size
-FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * 2 AS BIGINT) AS n FROM orders WHERE o_orderkey % 16 <> 8)""")
+@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n * 20 + 1024) // 2048 // 10 || '.' || (n * 20 + 1024) // 2048 % 10 || ' KB' WHEN n < 1073741824 THEN (n * 20 + 1048576) // 2097152 // 10 || '.' || (n * 20 + 1048576) // 2097152 % 10 || ' MB'
+ELSE (n * 200 + 1073741824) // 2147483648 // 100 || '.' || lpad(CAST((n * 200 + 1073741824) // 2147483648 % 100 AS VARCHAR), 2, '0') || ' GB' END AS size FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_orderkey * 2 AS n FROM orders)""")
 def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 16 <> 8")
-    return rows.select("o_orderkey", B.format_size((F.col("o_orderkey") * F.col("o_orderkey") * 2).cast("long")).alias("size"))
+    key = F.col("o_orderkey").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", B.format_size(key * key * 2).alias("size"))
 
 
 @query("SELECT e AS extension, k AS kind FROM (VALUES ('png', 'image'), ('mp4', 'video'), ('mp3', 'audio'), ('rs', 'text'), ('exe', 'binary')) AS t(e, k)")
@@ -413,12 +447,16 @@ def wipe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize.wipe_plan(spark)
 
 
-@query("SELECT event_type AS image_id, count(*) AS sectors_checked, count(*) FILTER (event_id % 10 = 0) AS mismatches, min(event_id) FILTER (event_id % 10 = 0) AS first_bad, count(*) FILTER (event_id % 10 = 0) = 0 AS passed FROM events GROUP BY 1")
+@query("SELECT event_type AS image_id, count(*) AS sectors_checked, count(*) FILTER (event_id % 10 = 0) AS mismatches, min(event_id) FILTER (event_id % 10 = 0) AS first_bad, round(max(CASE WHEN event_id % 10 = 0 THEN -(1 / 512.0 * log2(1 / 512.0) + 511 / 512.0 * log2(511 / 512.0)) ELSE 0 END), 6) AS max_entropy, count(*) FILTER (event_id % 10 = 0) = 0 AS passed FROM events GROUP BY 1")
 def wipe_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A zeroed sector for each event; one in ten is dirty."""
+    return _verified(spark, sf_dir).withColumn("max_entropy", F.round("max_entropy", 6))
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = F.when(F.col("event_id") % 10 == 0, F.lit("x")).otherwise(F.lit("\0"))
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("event_id").alias("lba"), F.encode(F.concat(dirty, F.repeat(F.lit("\0"), F.lit(511))), "UTF-8").alias("data"))
-    return sanitize.wipe_verify(rows, "Zero").drop("max_entropy")
+    return sanitize.wipe_verify(rows, "Zero")
 
 
 @query("SELECT * FROM (VALUES (0, 27, 100, 3, 5, false), (1, 27, 9, 3, 5, true), (2, 27, 100, 100, 5, true), (3, 27, 100, 3, 5, true)) AS t(id, celsius, spare, wear, media_errors, failing)")
@@ -454,9 +492,7 @@ def planted_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'classified_report.txt' AS filename, false AS is_in_use, true AS is_resident, 15 AS file_size, 'top secret body' AS resident_preview, 'CRITICAL' AS severity, 150000000 AS delta_seconds")
 def planted_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image = fixtures.planted_image()
-    rows = [("image", at, bytearray(image[at : at + 1024])) for at in range(0, len(image), 512) if image[at : at + 4] == b"FILE"]
-    parsed = mft.with_alert(mft.parse(spark.createDataFrame(rows, "image_id string, record_offset long, data binary")))
+    parsed = mft.scan_records(fixtures.as_chunks(spark, fixtures.planted_image(), 64 * 1024, LOOKAHEAD))
     return parsed.select("filename", "is_in_use", "is_resident", F.col("file_size").cast("int").alias("file_size"), "resident_preview", "timestomp_alert.severity", F.col("timestomp_alert.delta_seconds").cast("int").alias("delta_seconds"))
 
 
@@ -473,6 +509,149 @@ def best_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("id", F.col("frag_offset").cast("int").alias("frag_offset"), F.col("gap").cast("int").alias("gap"))
 
 
+# An image of files: literal expectations
+
+
+@query("""SELECT event_type AS image_id, CAST(sum(octet_length(encode(t))) AS BIGINT) AS n_bytes, sha256(string_agg(t, '' ORDER BY event_id)) AS sha256 FROM (SELECT event_type, event_id, event_type || ':' || event_id || ';' AS t FROM events) GROUP BY 1""")
+def image_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("event_id").alias("chunk_start"), F.encode(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string"), F.lit(";")), "UTF-8").alias("data"))
+    return imager.image_digest(rows)
+
+
+@query("SELECT page_id, least(100, n) AS \"offset\", substr(h, 201, 64) AS hex, n AS total_size FROM (SELECT page_id, hex(encode(html)) AS h, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM pages)")
+def hex_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.hex_window(_pages(spark, sf_dir), "page_id", "data", 100, 32).select("page_id", "offset", F.hex("bytes").alias("hex"), "total_size")
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS md5 FROM pages""")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(B.html_escape(F.col("html"))).alias("md5"))
+
+
+@query("""SELECT * FROM (VALUES (0, '<svg xmlns="http://www.w3.org/2000/svg" width="1"/>'), (1, 'x<svg xmlns="u"/>'), (2, 'no root')) AS t(id, svg)""")
+def svg_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(0, '<svg width="1"/>'), (1, 'x<svg xmlns="u"/>'), (2, "no root")], "id int, svg string")
+    return rows.select("id", B.with_namespace(F.col("svg")).alias("svg"))
+
+
+@query("SELECT * FROM (VALUES (0, 'FFD8FF01FFD9'), (1, 'FFD8FF0102'), (2, NULL)) AS t(id, jpeg)")
+def embedded_thumbnail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(0, bytearray(b"II*\0" + bytes.fromhex("FFD8FF01FFD9") + b"\xff\xd9tail")), (1, bytearray(b"MM" + bytes.fromhex("FFD8FF0102"))), (2, bytearray(b"nothing"))], "id int, data binary")
+    return rows.select("id", F.hex(B.embedded_jpeg(F.col("data"))).alias("jpeg"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_partkey > 0 THEN 100 * l_linenumber // l_partkey ELSE 0 END AS INTEGER) AS percent FROM lineitem")
+def percent_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", B.percent(F.col("l_linenumber"), F.col("l_partkey")).alias("percent"))
+
+
+@query(f"SELECT CAST(id AS VARCHAR) AS id, CASE WHEN confidence >= 0.85 THEN 'badge-high' WHEN confidence >= 0.60 THEN 'badge-medium' WHEN confidence >= 0.40 THEN 'badge-low' ELSE 'badge-fragment' END AS style FROM {_ARTIFACTS}")
+def tier_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _artifacts(spark, sf_dir).select("id", B.tier_class(B.tier(F.col("confidence"))).alias("style"))
+
+
+@query("""WITH j AS (SELECT user_id AS job_id, CAST(count(*) AS BIGINT) * 1000000 AS b, CAST(1000000000 AS BIGINT) AS t FROM events GROUP BY 1)
+SELECT job_id, CAST(k AS INTEGER) AS bucket, CASE WHEN k < d THEN 'wiped' WHEN k = d THEN 'writing' ELSE 'pending' END AS state, k * n // 140 AS start_lba, greatest(k * n // 140, least(n - 1, (k + 1) * n // 140 - 1)) AS end_lba
+FROM (SELECT job_id, t // 512 AS n, least(140, CAST(floor(least(1.0, b / t) * 140) AS BIGINT)) AS d FROM j), range(140) AS x(k)""")
+def wipe_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg((F.count("*") * 1_000_000).alias("bytes_written")).withColumn("total_bytes", F.lit(1_000_000_000).cast("long"))
+    return views.wipe_map(jobs)
+
+
+@query("""WITH s AS (SELECT user_id AS job_id, epoch_us(ts) // 1000 AS ts_ms, event_id, sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id ROWS UNBOUNDED PRECEDING) AS bytes FROM events),
+g AS (SELECT job_id, max(ts_ms) AS ts_ms, max(bytes) AS bytes FROM s GROUP BY job_id, ts_ms // 86400000) SELECT job_id, ts_ms, round((bytes - lag(bytes) OVER w) * 1000.0 / (ts_ms - lag(ts_ms) OVER w), 6) AS speed FROM g WINDOW w AS (PARTITION BY job_id ORDER BY ts_ms)""")
+def progress_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress sampled once a day, events being further apart than the 400 ms of a live job."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ts_ms"), "event_id")
+    run = F.sum(F.col("event_id") % 100).over(Window.partitionBy("job_id").orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    samples = rows.withColumn("bytes", run).withColumn("total", F.lit(1_000_000))
+    return views.throughput(views.sampled(samples.select("job_id", "ts_ms", "bytes", "total"), 86_400_000)).select("job_id", "ts_ms", F.round("speed", 6).alias("speed"))
+
+
+@query("SELECT count(*) FILTER (event_id % 3 <> 0) AS shredded, count(*) FILTER (event_id % 3 = 0) AS failed FROM events")
+def shred_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.shred_summary(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), (F.col("event_id") % 3 != 0).alias("ok")))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'purchase')")
+def ledger_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "Scan").when(F.col("event_type") == "click", "WipeDrive").when(F.col("event_type") == "purchase", "WipeFile").otherwise("Other")
+    return ledger.of_kind(table(spark, sf_dir, "events").select("event_id", "event_type", kind.alias("operation")), "Wipe").select("event_id", "event_type")
+
+
+@query(f"""{_CHAIN}, v AS (SELECT CAST(count(*) AS BIGINT) AS s, CAST(count(*) FILTER (event_id % 10 = 0) AS BIGINT) AS m FROM events)
+SELECT ledger, count(*) AS n_entries, 'INTACT' AS chain_status, sha256(string_agg(entry_hash, chr(10) ORDER BY i)) AS log_hash, any_value(s) AS sectors_checked, any_value(m) AS mismatches, CASE WHEN any_value(m) = 0 THEN 'PASSED' ELSE 'FAILED' END AS result FROM c, v GROUP BY 1""")
+def certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = ledger.chain(_ledger_events(spark, sf_dir)).withColumn("line_no", F.col("index"))
+    return ledger.certificate(entries, _verified(spark, sf_dir)).drop("max_entropy")
+
+
+@query("""WITH a AS (SELECT user_id % 3 AS session_id, CAST(event_id % 500 AS VARCHAR) AS id, event_id FROM events), n AS (SELECT DISTINCT id FROM a WHERE CAST(id AS INTEGER) % 7 = 0), s AS (SELECT a.* FROM a JOIN n USING (id))
+SELECT CAST(session_id AS VARCHAR) AS session_id, id, event_id FROM s WHERE session_id = 1 OR id NOT IN (SELECT id FROM s WHERE session_id = 1)""")
+def session_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).cast("string").alias("session_id"), (F.col("event_id") % 500).cast("string").alias("id"), "event_id")
+    return ledger.selected(rows, rows.where(F.col("id").cast("int") % 7 == 0).select("id"), "1").select("session_id", "id", "event_id")
+
+
+@query("SELECT * FROM (VALUES ('sda1', '/dev/sda1', CAST(524288000 AS BIGINT), 'MBR'), ('nvme0n1p2', '/dev/nvme0n1p2', CAST(4096000000000 AS BIGINT), 'GPT')) AS t(name, path, size_bytes, scheme)")
+def block_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = ["major minor  #blocks  name", "", "   8        0  976762584 sda", "   8        1     512000 sda1", " 259        2 4000000000 nvme0n1p2", "   8        3 12"]
+    return views.block_devices(spark.createDataFrame([(x,) for x in lines], "line string"))
+
+
+@query("SELECT * FROM (VALUES ('Clear', 'nist_clear', 1), ('Random', 'random', 1), ('DoD', 'dod3', 3), ('Gutmann7', 'gutmann7', 7), ('Purge', 'nist_purge', 2)) AS t(standard, id, passes)")
+def wipe_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.wipe_standards(spark).select("standard", "id", "passes")
+
+
+@query("SELECT standard, CASE standard WHEN 'Clear' THEN 'Zero' ELSE 'Random' END AS expected FROM (VALUES ('Clear'), ('Random'), ('DoD'), ('Gutmann7'), ('Purge')) AS t(standard)")
+def wipe_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.wipe_standards(spark).select("standard", sanitize.expected_last(F.col("standard")).alias("expected"))
+
+
+@query("SELECT standard, pass, CASE pattern WHEN 'R' THEN NULL ELSE repeat(pattern, 512) END AS hex, CAST(512 AS INTEGER) AS size FROM (VALUES ('DoD', 1, '00'), ('DoD', 2, 'FF'), ('DoD', 3, 'R')) AS t(standard, pass, pattern)")
+def pass_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sanitize.wipe_plan(spark).where("standard = 'DoD'").withColumn("block", sanitize.block_pattern(F.col("pattern"), 512, F.col("pass")))
+    return rows.select("standard", "pass", F.when(F.col("pattern") != "R", F.hex("block")).alias("hex"), F.length("block").alias("size"))
+
+
+@query("SELECT 6 AS planted_files, 6 AS carved_files, 4096 AS sectors_checked, 0 AS sector_mismatches, 0 AS post_wipe_carved, true AS passed")
+def adversarial_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image with planted files is carved, wiped and carved again."""
+    return _trial(spark).select(*[F.col(c).cast("int") for c in ("planted_files", "carved_files", "sectors_checked", "sector_mismatches", "post_wipe_carved")], "passed")
+
+
+@query("SELECT * FROM (VALUES (1, 'success'), (2, 'success'), (3, 'success'), (4, 'success'), (5, 'success')) AS t(phase, status)")
+def trial_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.trial_phases(_trial(spark)).select("phase", "status")
+
+
+def _trial(spark: SparkSession) -> DataFrame:
+    image = fixtures.planted_image()
+    before = fixtures.as_chunks(spark, image, 64 * 1024, LOOKAHEAD)
+    wiped = fixtures.as_chunks(spark, bytes(len(image)), 64 * 1024, LOOKAHEAD)
+    sectors = wiped.select("image_id", F.col("chunk_start").alias("at"), "owned_len", "data").select("image_id", F.explode(F.sequence(F.lit(0), F.col("owned_len") - 512, F.lit(512))).alias("o"), "at", "data")
+    sectors = sectors.select("image_id", ((F.col("at") + F.col("o")) / 512).cast("long").alias("lba"), F.substring("data", F.col("o") + 1, F.lit(512)).alias("data"))
+    carved = C.carve(C.windows(scan(before, ["jpg", "ico", "png", "pdf", "elf"]), before))
+    return sanitize.adversarial_summary(6, carved, sanitize.wipe_verify(sectors, "Zero"), scan(wiped))
+
+
+@query("SELECT * FROM (VALUES (0, 'classified_report.txt', 1200)) AS t(record_number, filename, lba)")
+def mft_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mft.first_seen(mft.scan_records(fixtures.as_chunks(spark, fixtures.planted_image(), 100_000, LOOKAHEAD), 500))
+    return found.select(F.col("record_number").cast("int").alias("record_number"), "filename", (F.col("record_offset") / 512).cast("int").alias("lba"))
+
+
+@query("SELECT 'zip' AS extension, 12288 AS size, true AS reconstructed, 2 AS fragment_count, 8192 AS frag_offset, 4096 AS gap_bytes, 'High (Bi-Fragment Stitched)' AS confidence_label")
+def reassembled_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive's head, a gap of zeros and its tail."""
+    head, tail = fixtures.split_archive()
+    artifact = C.carve(spark.createDataFrame([("i", 0, 13, bytearray(head))], "image_id string, offset long, sig_idx int, window binary"), ["zip"])
+    cut = spark.createDataFrame([("i", 0, "zip", "Archive", len(head), bytearray(head), True, 0.85, "High")], "image_id string, offset long, extension string, category string, size long, payload binary, truncated boolean, confidence float, confidence_label string")
+    whole = fragment.reassemble(cut.withColumn("sha256", F.sha2("payload", 256)), spark.createDataFrame([("i", 0, bytearray(bytes(4096) + tail + bytes(4096)))], "image_id string, offset long, follows binary"))
+    return whole.join(artifact.select("offset"), "offset", "left_anti").select("extension", F.col("size").cast("int").alias("size"), "reconstructed", F.col("fragment_count").cast("int").alias("fragment_count"), F.col("frag_offset").cast("int").alias("frag_offset"), F.col("gap_bytes").cast("int").alias("gap_bytes"), "confidence_label")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which artifacts lie in the pages, where, of which type, and how sure that is."""
     return carve_artifacts(spark, sf_dir)

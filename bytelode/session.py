@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows as they are now, checkpointed in the folder that spark.checkpoint.dir names: what is read twice is then the same, and lost
+    executors take nothing. Where no folder is set, a temporary one, on a single machine only."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or "file://" + os.path.join(tempfile.gettempdir(), "bytelode-checkpoints"))
+    return df.checkpoint()
 
 
 def session(master: str = "local[*]", partitions: str | int = 8, **more: str) -> SparkSession:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelode.operators.ledger import GENESIS, canonical
+from bytelode.operators.ledger import GENESIS, fold
 from bytelode.operators.scan import scan
 from bytelode.sources.rawimage import table_chunks
 
@@ -29,14 +29,6 @@ def ledger_sink(path: str):
             last = spark.read.parquet(path).agg(F.max("index").alias("i"), F.max_by("entry_hash", "index").alias("h")).first()
         new = batch.where(F.col("index") > (last["i"] if last and last["i"] is not None else -1))
         rows = F.array_sort(F.collect_list(F.struct("index", "timestamp", "operation", "operator", "detail")))
-        kind = "array<struct<index:bigint,timestamp:string,operation:string,operator:string,detail:string,prev_hash:string,entry_hash:string>>"
-        start = F.struct(F.lit(last["h"] if last and last["h"] else GENESIS).alias("last"), F.array().cast(kind).alias("rows"))
-
-        def step(acc, e):
-            digest = F.sha2(canonical(e["index"], e["timestamp"], e["operation"], e["operator"], e["detail"], acc["last"]), 256)
-            row = F.struct(*[e[c].alias(c) for c in ("index", "timestamp", "operation", "operator", "detail")], acc["last"].alias("prev_hash"), digest.alias("entry_hash"))
-            return F.struct(digest.alias("last"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-        new.agg(rows.alias("e")).select(F.explode(F.aggregate("e", start, step)["rows"]).alias("r")).select("r.*").write.mode("append").parquet(path)
+        new.agg(rows.alias("e")).select(F.explode(fold("e", F.lit(last["h"] if last and last["h"] else GENESIS))).alias("r")).select("r.*").write.mode("append").parquet(path)
 
     return append

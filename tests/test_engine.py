@@ -7,21 +7,23 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bytelode.functions import binary as B
 from bytelode.functions.catalog import rules, rules_frame
 from bytelode.functions.keccak import keccak256, keccak256_batch
 from bytelode.operators import carve as C
-from bytelode.operators import anchor, classify, imager, ledger, mft, sanitize
-from bytelode.operators.scan import LOOKAHEAD, header_ok, scan
+from bytelode.operators import anchor, classify, imager, ledger, mft, sanitize, views
+from bytelode.operators.scan import LOOKAHEAD, header_ok, scan, virtual_layout
 from bytelode.plans import fixtures
 from bytelode.queries import ORACLES, QUERIES
-from bytelode.sources.rawimage import normalise_path, read_image
+from bytelode.sources.rawimage import RawImage, normalise_path, read_image
 from bytelode.streaming.carving import ledger_sink, stream_hits
 from bytelode.streaming.progress import ProgressLog, cancellable, observed
 
 TABLES = "customer documents events labels lineitem orders pages".split()
+ROWS = 1_200_000
 
 
 @pytest.fixture(scope="session")
@@ -73,8 +75,8 @@ def test_raw_image_source(spark, tmp_path):
 def test_validators():
     png = fixtures.png()
     ok = {"jpeg": fixtures.JPEG, "png": png, "pdf": fixtures.PDF, "zip": b"PK\3\4" + bytes(20) + b"PK\5\6" + bytes(18), "elf": b"\x7fELF\2\1" + bytes(58), "wav": b"RIFF\0\0\0\0WAVE",
-          "mp4": b"\0\0\0\x18ftypisom", "json": b'{"a": 1}', "jwt": b"ey" + b"Ja.b.c rest", "pem": b"-----BEGIN A-----\nxxxx\n-----END A-----", "aws_key": b"AK" + b"IA" + b"A" * 16,
-          "github_pat": b"gh" + b"p_" + b"a" * 36, "eth_keystore": b'{"crypto": {"ciphertext": "x", "cipher": "y"}}', "pe": b"MZ".ljust(60, b"\0") + b"\x40\0\0\0PE\0\0",
+          "mp4": b"\0\0\0\x18ftypisom", "json": b'{"a": 1}', "jwt": b"eyJa.b.c rest", "pem": b"-----BEGIN A-----\nxxxx\n-----END A-----", "aws_key": b"AKIA" + b"A" * 16,
+          "github_pat": b"ghp_" + b"a" * 36, "eth_keystore": b'{"crypto": {"ciphertext": "x", "cipher": "y"}}', "pe": b"MZ".ljust(60, b"\0") + b"\x40\0\0\0PE\0\0",
           "bmp": b"BM" + (60).to_bytes(4, "little") + bytes(8) + (40).to_bytes(4, "little") + bytes(42)}
     for name, data in ok.items():
         assert C.valid(name, data), name
@@ -212,3 +214,66 @@ def test_progress(spark, tmp_path):
     with cancellable(spark, "job-7"):
         frame.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 7, "bytes": 14}
+
+
+def test_layout_with_a_payload(spark):
+    files = spark.range(0, ROWS, 1, 6).select((F.lit(ROWS) - F.col("id")).alias("file"), (F.col("id") % 1500).alias("size"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("payload"))
+    laid = virtual_layout(files, "file", "size").withColumn("sectors", F.ceil(F.col("size") / 512) * 512)
+    ends = laid.select("file", "start", (F.lag(F.col("start") + F.col("sectors"), 1, 0).over(Window.orderBy("file"))).alias("end"))
+    assert ends.where("start <> end").count() == 0 and laid.count() == ROWS
+
+
+def test_growing_image_stream(spark, tmp_path):
+    path, png = tmp_path / "live.img", fixtures.png()
+    path.write_bytes(bytes(600) + png[:4])
+    spark.dataSource.register(RawImage)
+    hits = scan(spark.readStream.format("rawimage").option("path", str(path)).option("chunk", 500).load(), ["png"])
+    q = hits.writeStream.format("memory").queryName("live").start()
+    q.processAllAvailable()
+    with open(path, "ab") as f:
+        f.write(png[4:] + bytes(LOOKAHEAD))
+    q.processAllAvailable()
+    with open(path, "ab") as f:
+        f.write(png)
+    (tmp_path / "live.img.closed").touch()
+    q.processAllAvailable()
+    q.stop()
+    want = [600, 600 + len(png) + LOOKAHEAD]
+    assert sorted(r["offset"] for r in spark.table("live").collect()) == want
+    assert sorted(r["offset"] for r in scan(read_image(spark, str(path), 500), ["png"]).collect()) == want
+
+
+def test_carving_and_records_from_files(spark, tmp_path):
+    times = (132_000_000_000_000_000,) * 4
+    body = random.Random(3).randbytes(9000)
+    runs = bytes([0x11, 2, 20, 0x01, 1, 0x11, 1, 10, 0])
+    image = bytearray(fixtures.planted_image(bytes(2 << 20)))
+    image[20 * 4096 : 20 * 4096 + 8192], image[30 * 4096 : 30 * 4096 + 808] = body[:8192], body[8192:]
+    image[700 * 512 : 702 * 512] = fixtures.file_record("a b/ä.bin", times, times, None, runs=runs, real=8192 + 4096 + 808)
+    (tmp_path / "disk.img").write_bytes(image)
+    path = str(tmp_path / "*.img")
+    chunks = read_image(spark, path, 300_000)
+    hits = scan(chunks, ["png", "pdf"])
+    by_range, by_chunk = (C.carve(w, ["png", "pdf"]) for w in (C.file_windows(hits, path, ["png", "pdf"]), C.windows(hits, chunks)))
+    assert sorted(by_range.select("offset", "sha256").collect()) == sorted(by_chunk.select("offset", "sha256").collect()) != []
+    C.write_artifacts(by_range, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").where("category = 'Image'").count() == 1
+    sent = ledger.exported(by_range, "/case/7")
+    assert ledger.export_custody(by_range.select(F.col("id").alias("file_id"), F.lit("t").alias("extracted_at"), F.col("offset").alias("source_offset"), F.col("sha256").alias("sha256_at_extract")), sent).where("matches").count() == 2
+    got = {r["name"]: r["payload"] for r in mft.extract_records(chunks, path).collect()}
+    assert bytes(got["a_b_ä.bin"]) == body[:8192] + bytes(4096) + body[8192:] and bytes(got["classified_report.txt"]) == b"top secret body"
+    assert mft.scan_records(chunks, 1).count() == 1 and mft.scan_records(chunks).count() == 2
+    assert mft.extract(b"FILE" + bytes(4), None) is None and len(mft.extract(fixtures.file_record("s", times, times, None, runs=bytes([0x04, 0xFF, 0xFF, 0xFF, 0x7F, 0]), real=100), None)) == 100
+
+
+def test_ledger_files_and_reports(spark, data, tmp_path):
+    entries = ledger.chain(spark.createDataFrame([("l", k, str(k), "Scan", "a@b", '{"k":1}') for k in range(3)], "ledger string, index long, timestamp string, operation string, operator string, detail string"))
+    lines = entries.select(F.to_json(F.struct("index", "timestamp", "operation", "operator", "prev_hash", "entry_hash", F.from_json("detail", "k int").alias("detail"))).alias("value")).orderBy("value")
+    lines.unionByName(spark.createDataFrame([("",), ("{not json",)], "value string")).coalesce(1).write.text(f"{tmp_path}/log")
+    back = ledger.read_ledger(spark, f"{tmp_path}/log").withColumn("ledger", F.lit("l")).withColumn("line_no", F.col("index"))
+    assert ledger.verify_chain(back).first()["valid"] and '"valid":true' in ledger.report(back, "case 7").first()["report"]
+
+
+def test_views_of_one(spark):
+    rows = spark.createDataFrame([("s2", "a", 1), ("s1", "a", 2), ("s1", "b", 3)], "session_id string, id string, n int")
+    assert [r["n"] for r in views.artifact(rows, "a").collect()] == [2] and views.artifact(rows, "z").count() == 0
