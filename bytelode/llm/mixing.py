@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
+from collections import deque
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,77 +40,52 @@ def water_fill(sizes: list[int], weights: list[int], repeats: int = MAX_REPEATS)
 def min_cost_flow(patterns: list[tuple[int, tuple[int, ...]]], quotas: list[int], repeats: int = MAX_REPEATS) -> list[dict[int, int]]:
     """Words that each pattern (capacity, its sources) sends to each source, at least total cost.
 
-    The k-th use of a pattern's capacity costs k-1 a word, so repetition is spread evenly before anything is taken again;
-    the network is pattern layers -> patterns -> sources -> sink, solved by successive cheapest augmenting paths (Dijkstra
-    with potentials), ties by number. What no member can supply stays unfilled.
+    The k-th use of a pattern's capacity costs k-1 a word, so nothing is taken again before all has been taken once where that helps.
+    The network is pattern layers -> patterns -> sources -> sink. Only a path's first arc costs anything, so the cheapest augmenting
+    paths are those of the first layer, as long as there are any, then those of the second: each layer is filled up by shortest paths,
+    which lead from a pattern to a source with room, past full sources by rerouting what other patterns send there. A pattern that
+    reaches no room never does later. Ties go by number. What no member can supply stays unfilled.
     """
-    n, m = len(patterns), len(quotas)
     sent: list[dict[int, int]] = [{} for _ in patterns]
-    # Patterns of one source need no search: each is its source's alone, so the flow falls apart into independent parts.
-    by_source: dict[int, list[int]] = {}
-    shared = {s for _, members in patterns if len(members) > 1 for s in members}
-    for p, (_, members) in enumerate(patterns):
-        if len(members) == 1 and members[0] not in shared:
-            by_source.setdefault(members[0], []).append(p)
-    for s, own in by_source.items():
-        left = quotas[s]
-        for _ in range(repeats):
-            for p in own:
-                take = min(left, patterns[p][0])
-                if take:
-                    sent[p][s] = sent[p].get(s, 0) + take
-                    left -= take
-    rest = [p for p in range(n) if any(s in shared for s in patterns[p][1])]
-    if not rest:
-        return sent
-    # Nodes: 0 start, 1..len(rest) patterns, then sources, then end.
-    used, filled = {p: 0 for p in rest}, {s: 0 for s in shared}
-    node = {p: 1 + i for i, p in enumerate(rest)}
-    source = {s: 1 + len(rest) + i for i, s in enumerate(sorted(shared))}
-    end = 1 + len(rest) + len(source)
-    back_p, back_s = {v: k for k, v in node.items()}, {v: k for k, v in source.items()}
-    members = {s: [p for p in rest if s in patterns[p][1]] for s in source}
-    while True:
-        # Costs are whole numbers and small; Bellman-Ford style relaxation with a heap handles residual (negative) arcs.
-        dist, prev = {0: 0}, {}
-        heap = [(0, 0)]
-        while heap:
-            d, v = heapq.heappop(heap)
-            if d > dist.get(v, 1 << 60):
-                continue
-            arcs: list[tuple[int, int]] = []
-            if v == 0:
-                arcs = [(node[p], used[p] // patterns[p][0]) for p in rest if patterns[p][0] and used[p] < repeats * patterns[p][0]]
-            elif v in back_p:
-                arcs = [(source[s], 0) for s in patterns[back_p[v]][1] if s in source]
-            elif v in back_s:
-                s = back_s[v]
-                arcs = [(node[p], 0) for p in members[s] if sent[p].get(s)]
-                if filled[s] < quotas[s]:
-                    arcs.append((end, 0))
-            for w, cost in arcs:
-                if d + cost < dist.get(w, 1 << 60):
-                    dist[w], prev[w] = d + cost, v
-                    heapq.heappush(heap, (d + cost, w))
-        if end not in dist:
-            return sent
-        path = [end]
-        while path[-1]:
-            path.append(prev[path[-1]])
-        path.reverse()
-        p0, s1 = back_p[path[1]], back_s[path[-2]]
-        room = patterns[p0][0] - used[p0] % patterns[p0][0]
-        room = min(room, quotas[s1] - filled[s1])
-        for v, w in zip(path[1:-1], path[2:-1], strict=False):
-            if v in back_s and w in back_p:
-                room = min(room, sent[back_p[w]][back_s[v]])
-        used[p0] += room
-        filled[s1] += room
-        for v, w in zip(path[1:-1], path[2:-1], strict=False):
-            if v in back_p:
-                sent[back_p[v]][back_s[w]] = sent[back_p[v]].get(back_s[w], 0) + room
-            else:
-                sent[back_p[w]][back_s[v]] -= room
+    room = list(quotas)
+    members: list[list[int]] = [[] for _ in quotas]
+    for p, (_, own) in enumerate(patterns):
+        for s in own:
+            members[s].append(p)
+    for _ in range(repeats):
+        free = [capacity for capacity, _ in patterns]
+        moved = True
+        while moved:
+            moved = False
+            # For each source that leads to room: the next step, a pattern that it takes words of and the source that they go to instead.
+            step: dict[int, tuple[int, int] | None] = {s: None for s, n in enumerate(room) if n}
+            order = {s: k for k, s in enumerate(step)}
+            todo = deque(step)
+            while todo:
+                t = todo.popleft()
+                for p in members[t]:
+                    for s, n in sent[p].items():
+                        if n and s not in step:
+                            step[s], order[s] = (p, t), len(order)
+                            todo.append(s)
+            for p, (_, own) in enumerate(patterns):
+                for s in sorted((s for s in own if s in step), key=order.__getitem__):
+                    path, at, n = [], s, free[p]
+                    while (here := step[at]) is not None:
+                        n = min(n, sent[here[0]][at])
+                        path.append((here[0], at, here[1]))
+                        at = here[1]
+                    n = min(n, room[at])
+                    if not n:
+                        continue
+                    for q, x, y in path:
+                        sent[q][x] -= n
+                        sent[q][y] = sent[q].get(y, 0) + n
+                    sent[p][s] = sent[p].get(s, 0) + n
+                    room[at] -= n
+                    free[p] -= n
+                    moved = True
+    return sent
 
 
 def mix(docs: DataFrame, members: str | list[str] = "source", weights: dict | None = None) -> DataFrame:
@@ -128,17 +103,16 @@ def mix(docs: DataFrame, members: str | list[str] = "source", weights: dict | No
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[members]
     list_of = F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array(F.lit(None).cast("string"))))) if kind.startswith("array") else F.array(F.col(members).cast("string"))
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     order = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     base = docs.select(
-        *own,
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_CLASS)).cast("long").alias("size"),
         F.to_json(F.struct(list_of.alias("m")), {"ignoreNullFields": "false"}).alias("_pattern"),
         F.conv(F.substring(order, 1, 12), 16, 10).cast("long").alias("_order"),
     )
     scratch = Scratch(spark, "mix")
-    carried = F.struct(*own)
-    lean = scratch.save(base.select("_pattern", "_order", "size", F.xxhash64(carried).alias("_row")), "lean")
+    lean = scratch.save(base.select("_pattern", "_order", "size", F.xxhash64("row").alias("_row")), "lean")
     counted = lean.groupBy("_pattern").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
     patterns = counted.limit(MAX_PATTERNS + 1).collect()
     if len(patterns) > MAX_PATTERNS:
@@ -194,8 +168,8 @@ def mix(docs: DataFrame, members: str | list[str] = "source", weights: dict | No
         .when(at == cut_at, F.floor((F.col("_rest") - F.col("_cut_start")) / F.col("_cut_same"))).otherwise(F.lit(0))
     )
     return (
-        base.withColumn("_row", F.xxhash64(carried)).join(F.broadcast(full), "_pattern")
-        .select(*own, "size", "source_size", "target", (F.col("size") * F.col("_times") + F.least(extra, F.col("size"))).cast("long").alias("taken"))
+        base.withColumn("_row", F.xxhash64("row")).join(F.broadcast(full), "_pattern")
+        .select(*[F.col("row")[c].alias(c) for c in own], "size", "source_size", "target", (F.col("size") * F.col("_times") + F.least(extra, F.col("size"))).cast("long").alias("taken"))
     )
 
 

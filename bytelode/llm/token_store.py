@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +86,8 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, most: int = RULES_A_ROUND, lea
     return symbols, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
-def rule_table(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What all rules stand for, one after the other, and how many ids each has; rules only use earlier ones."""
+def rule_spans(rules: np.ndarray) -> np.ndarray:
+    """How many ids each rule stands for; rules only use earlier ones."""
     spans = np.ones(FIRST_RULE + len(rules), dtype=np.int64)
     pairs = rules.astype(np.int64)
     todo = np.arange(len(rules))
@@ -98,6 +99,11 @@ def rule_table(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         now = todo[ready]
         spans[now + FIRST_RULE] = spans[a[ready]] + spans[b[ready]]
         todo = todo[~ready]
+    return spans[FIRST_RULE:]
+
+
+def rule_table(rules: np.ndarray) -> np.ndarray:
+    """What all rules stand for, one after the other."""
     symbols = rules.reshape(-1).astype(np.uint32)
     while len(symbols) and (high := symbols >= FIRST_RULE).any():
         wide = np.where(high, 2, 1)
@@ -107,27 +113,37 @@ def rule_table(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both, first = rules[symbols[high].astype(np.int64) - FIRST_RULE], (ends - wide)[high]
         out[first], out[first + 1] = both[:, 0], both[:, 1]
         symbols = out
-    return symbols, spans[FIRST_RULE:]
+    return symbols
+
+
+class Expander:
+    """Symbols -> ids: the ids and all rules' expansions one after the other, where each begins, and how long it is. Built once a shard."""
+
+    def __init__(self, rules: np.ndarray, spans: np.ndarray):
+        self.source = np.concatenate((np.arange(FIRST_RULE, dtype=np.uint32), rule_table(rules)))
+        self.sizes = np.concatenate((np.ones(FIRST_RULE, np.int64), spans.astype(np.int64)))
+        self.starts = np.concatenate((np.arange(FIRST_RULE), FIRST_RULE + np.cumsum(self.sizes[FIRST_RULE:]) - self.sizes[FIRST_RULE:]))
+
+    def __call__(self, symbols: np.ndarray) -> np.ndarray:
+        if not len(symbols):
+            return symbols.astype(np.uint32)
+        n = self.sizes[symbols]
+        ends = np.cumsum(n)
+        return self.source[np.repeat(self.starts[symbols] - (ends - n), n) + np.arange(int(ends[-1]))]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that a sequence of symbols stands for: one gather from the ids and the rules' expansions."""
-    if not len(rules) or not len(symbols):
-        return symbols.astype(np.uint32)
-    table, spans = rule_table(rules)
-    source = np.concatenate((np.arange(FIRST_RULE, dtype=np.uint32), table))
-    sizes = np.concatenate((np.ones(FIRST_RULE, np.int64), spans))
-    starts = np.concatenate((np.arange(FIRST_RULE), FIRST_RULE + np.cumsum(spans) - spans))
-    n = sizes[symbols]
-    ends = np.cumsum(n)
-    return source[np.repeat(starts[symbols] - (ends - n), n) + np.arange(int(ends[-1]))]
+    """The ids that a sequence of symbols stands for."""
+    return Expander(rules, rule_spans(rules))(symbols)
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """The file format: magic, counts, document ids (and which are null), document lengths, rules, expansion lengths, symbols, and
     the id position of every 1024th symbol; all numbers little-endian."""
+    if len(ids) and int(ids.max()) >= FIRST_RULE:
+        raise ValueError(f"ids of the vocabulary must lie below {FIRST_RULE}")
     symbols, rules = repair(ids)
-    _, spans = rule_table(rules)
+    spans = rule_spans(rules)
     wide = np.ones(len(symbols), dtype=np.int64)
     high = symbols >= FIRST_RULE
     wide[high] = spans[symbols[high].astype(np.int64) - FIRST_RULE]
@@ -163,8 +179,13 @@ class Shard:
         self.symbols = take("<u4", symbols)
         self.index = take("<u8", -(-symbols // 1024))
 
+    @cached_property
+    def expanded(self) -> Expander:
+        """From the stored rules and their stored lengths."""
+        return Expander(self.rules, self.spans)
+
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules)
+        return self.expanded(self.symbols)
 
     def slice(self, start: int, count: int) -> np.ndarray:
         """count ids from position start: only the symbols that cover them are expanded."""
@@ -173,8 +194,11 @@ class Shard:
         block = int(np.searchsorted(self.index, start, "right")) - 1
         last = int(np.searchsorted(self.index, start + count, "left"))
         part = self.symbols[block * 1024 : last * 1024]
-        out = expand(part, self.rules)
-        skip = start - int(self.index[block])
+        # Stored lengths say which of the symbols cover the ids; no others are expanded.
+        ends = int(self.index[block]) + np.cumsum(self.expanded.sizes[part])
+        first, stop = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, start + count, "left")) + 1
+        out = self.expanded(part[first:stop])
+        skip = start - (int(ends[first - 1]) if first else int(self.index[block]))
         return out[skip : skip + count]
 
     def document(self, k: int) -> np.ndarray:

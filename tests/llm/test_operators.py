@@ -335,6 +335,36 @@ def test_water_fill_and_flow():
     assert [sum(f.values()) for f in flow] == [100, 50, 10]
 
 
+def test_flow_against_all_ways():
+    """Random small networks: the flow fills as much as any way does, at no greater cost."""
+    r = random.Random(1)
+    for _ in range(60):
+        m = r.randint(1, 3)
+        patterns = [(r.randint(0, 3), tuple(sorted(r.sample(range(m), r.randint(1, m))))) for _ in range(r.randint(1, 3))]
+        quotas = [r.randint(0, 5) for _ in range(m)]
+        cost = lambda cap, used: sum(k // cap for k in range(used)) if cap else 0
+        best = (0, 0)
+        ways = [[w for w in itertools.product(range(7), repeat=len(own)) if sum(w) <= 2 * cap] for cap, own in patterns]
+        for chosen in itertools.product(*ways):
+            got = Counter()
+            for (_, own), w in zip(patterns, chosen, strict=True):
+                got.update(dict(zip(own, w, strict=True)))
+            if all(got[s] <= quotas[s] for s in range(m)):
+                best = min(best, (-sum(got.values()), sum(cost(cap, sum(w)) for (cap, _), w in zip(patterns, chosen, strict=True))))
+        flow = mixing.min_cost_flow(patterns, quotas, 2)
+        total = Counter()
+        for f in flow:
+            total.update(f)
+        assert all(total[s] <= quotas[s] for s in range(m))
+        assert (-sum(total.values()), sum(cost(cap, sum(f.values())) for (cap, _), f in zip(patterns, flow, strict=True))) == best, (patterns, quotas)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(i, f"some words {i}", f"s{i % 2}", i, "a", "b", 1.5) for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, _row long, _order string, row string, Target double")).collect()
+    assert {(r["doc_id"], r["_row"], r["_order"], r["row"]) for r in got} == {(i, i, "a", "b") for i in range(20)}
+
+
 def test_overlapping_sources(spark):
     rows = [(i, " ".join(["w"] * (5 + i % 7)), [["a"], ["b"], ["a", "b"], ["c", None]][i % 4]) for i in range(200)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>"), "sources")
