@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from bytelode.llm.common import Scratch, read_table
 
 #: Lines that differ in so many characters at most (put in, left out or changed) are near copies: 0, 1 or 2.
-EDITS = 2
-#: Lines of fewer characters are only compared exactly, by default: two edits change too much of them.
+EDITS = 1
+#: Lines of fewer characters are only compared exactly, by default: an edit changes too much of them.
 SHORTEST = 20
 #: Blocks of a line of which the edits are in one or two, and the length up to which all variants are emitted.
 PARTS, LEFT = 5, 10
@@ -42,21 +42,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("doc", "twin", (F.col("at") + 1).alias("line_no"), "line")
 
 
-def _outer_keys(line: Column, edits: int) -> Column:
-    """Hashes of which lines within the edits share one. Of edits + 1 parts of length z of the shorter line one is whole: its head, its
-    tail, or, of three, if head and tail hold an edit each, what follows the head, moved by one place at most. z is a function of the
-    shorter one's length m, which may be a line's own length or up to `edits` less."""
+def _part(m: Column, edits: int) -> Column:
+    """Length of an outer part of lines of which the shorter one has m characters."""
     parts = edits + 1
-    z = lambda m: F.when(m < 8 * parts, F.floor(m / parts)).otherwise(F.floor(m / (8 * parts)) * 8).cast("int")
+    return F.when(m < 8 * parts, F.floor(m / parts)).otherwise(F.floor(m / (8 * parts)) * 8).cast("int")
 
-    def of(n: Column) -> Column:
-        keys = [F.xxhash64(F.lit("head"), n, F.substring(line, F.lit(1), n)), F.xxhash64(F.lit("tail"), n, F.right(line, n))]
-        return F.array(*keys, *([F.xxhash64(F.lit("mid"), n, F.substring(line, n + 1 + s, n)) for s in (-1, 0, 1)] if edits == 2 else []))
+
+def _outer(line: Column, z: Column, edits: int) -> Column:
+    """Hashes of which lines within the edits share one. Of edits + 1 parts of length z of the shorter line one is whole: its head, its
+    tail, or, of three, if head and tail hold an edit each, what follows the head, moved by one place at most."""
+    keys = [F.xxhash64(F.lit("head"), z, F.substring(line, F.lit(1), z)), F.xxhash64(F.lit("tail"), z, F.right(line, z))]
+    return F.array(*keys, *([F.xxhash64(F.lit("mid"), z, F.substring(line, z + 1 + s, z)) for s in (-1, 0, 1)] if edits == 2 else []))
+
+
+def _outer_keys(line: Column, edits: int) -> Column:
+    """_outer() for all lengths that the shorter one of a pair may have: the line's own and up to `edits` less."""
 
     def every(n: Column) -> Column:
-        out = of(z(n))
+        out = _outer(line, _part(n, edits), edits)
         for k in range(1, edits + 1):
-            out = F.when(z(n - k) != z(n - k + 1), F.concat(out, of(z(n - k)))).otherwise(out)
+            z = _part(n - k, edits)
+            out = F.when(z != _part(n - k + 1, edits), F.concat(out, _outer(line, z, edits))).otherwise(out)
         return F.array_distinct(out)
 
     return let(F.length(line), every)
@@ -169,8 +175,14 @@ def near_lines(first: DataFrame, texts, scratch: Scratch, edits: int) -> DataFra
     candidates = texts().join(F.broadcast(wanted) if few else wanted, ["key_a", "key_b", *_PLACE]).dropDuplicates(["key_a", "key_b"])
     candidates = scratch.save(candidates.select("key_a", "key_b", *_PLACE, "line").withColumn("num", F.monotonically_increasing_id()), "candidates")
     place = F.struct(*_PLACE, "num").alias("place")
-    texts_of = candidates.select("key_a", "key_b", "num", place, F.col("line").alias("s"))
-    groups = scratch.save(halves.join(shared, "half").distinct().join(texts_of, ["key_a", "key_b"]).select("num", "place", F.col("half").alias("grp"), "s"), "next-0")
+    # Candidates once more, by outer key and the shorter line's length, which must be that of a line of the group.
+    own = candidates.select("num", "line", F.length("line").alias("n")).withColumn("m", F.explode(F.array(*[F.col("n") - k for k in range(edits + 1)])))
+    keys = own.select("num", (F.col("n") == F.col("m")).alias("shorter"), F.explode(F.array_distinct(_outer(F.col("line"), _part(F.col("m"), edits), edits))).alias("key"), "m")
+    keys = scratch.save(keys.select("num", "shorter", F.xxhash64("m", "key").alias("grp")), "keys-0")
+    alike = keys.groupBy("grp").agg(F.min("num").alias("least"), F.max("num").alias("most"), F.bool_or("shorter").alias("shorter")).where("least <> most and shorter").select("grp")
+    alike = scratch.save(alike, "alike-0")
+    groups = keys.select("num", "grp").join(alike, "grp").join(candidates.select("num", place, F.col("line").alias("s")), "num")
+    groups = scratch.save(groups.select("num", "place", "grp", "s"), "next-0")
     step, short, found = 0, [], candidates.where("false").select("num")
     while True:
         found, state = _settled(groups, found, edits, scratch, step)
@@ -246,7 +258,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
     scratch = Scratch(docs.sparkSession, "lines")
     # A written table, so that both sides of the join are dealt out anew and a hot document's partition can be split.
     lost = scratch.save(removed_lines(docs, scratch, edits, shortest), "lost")
-    scratch.drop("lines", "first", "halves", "shared", "some", "candidates", "ends", "variants", "earliest", "pairs", "near", "gone")
+    scratch.drop("lines", "first", "halves", "shared", "some", "candidates", "keys-0", "alike-0", "ends", "variants", "earliest", "pairs", "near", "gone")
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "n_near", "removed")]
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *_doc_order()).join(lost.hint("merge"), ["doc", "twin"], "left")
     text, removed = F.col("row.text"), F.col("removed")
