@@ -6,12 +6,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bytelode.llm import encode, license_scan, line_dedup, mixing, ngram_join, packing, quality_knn, quality_rules, token_store, toxicity, vector_dedup
 from bytelode.llm.common import Scratch
+from bytelode.llm.queries import ORACLES, QUERIES
 
 SPACE = " \t\n\x0b\f\r"
 DOCS = "doc_id long, text string, size string, source string, _x int"
@@ -515,15 +517,69 @@ def test_toxicity_scores_of_odd_tables(spark, docs):
     assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in docs.collect()) and all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_pipeline(spark, data):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    got, want = QUERIES[name](spark, data), con.sql(ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(tuple(r[c] for c in want.columns) for r in got.collect()) == Counter(want.fetchall())
+
+
+def one_edit(a, b):
+    h = 0
+    while h < min(len(a), len(b)) and a[h] == b[h]:
+        h += 1
+    return a == b or a[h + 1 :] == b[h + 1 :] or a[h:] == b[h + 1 :] or a[h + 1 :] == b[h:]
+
+
+def test_pipeline(spark, data, monkeypatch):
+    """Each stage's whole output against brute force on its own input."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    columns = docs.columns
+    columns, tables = docs.columns, [docs]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = Scratch(spark, "test").save(stage(spark, docs, data), "out")
-        if k < 4:
-            assert out.columns == columns
-            docs = out
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
-    assert out.count() == corpus_pipeline.run(spark, data).count()
+        tables.append(Scratch(spark, "test").save(stage(spark, tables[-1], data), "out"))
+        assert k == 4 or tables[-1].columns == columns
+    rows = [[r.asDict() for r in t.collect()] for t in tables]
+    text = lambda k: {r["doc_id"]: r["text"] for r in rows[k]}
+
+    verdict = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, spark.read.parquet(f"{data}/labels.parquet")).collect()}
+    for r in rows[0]:
+        c = base_counts(r["text"])
+        assert verdict[r["doc_id"]]["base_failed"] == (c[0] < 50 or 100 * c[4] > 50 * c[0])
+    assert text(1) == {r["doc_id"]: r["text"] for r in rows[0] if not verdict[r["doc_id"]]["base_failed"] and not verdict[r["doc_id"]]["rule"]}
+
+    monkeypatch.setitem(globals(), "distance", lambda a, b: 0 if a == b else 1 if one_edit(a, b) else 2)
+    want = brute_line_dedup(sorted(text(1).items()), line_dedup.EDITS)
+    assert text(2) == {i: t for (i, _), (_, t) in want.items()} and all(r["n_chars"] == len(r["text"]) for r in rows[2])
+
+    before = sorted(text(2).items())
+    _, group = brute_links(before)
+    assert text(3) == {i: t for (i, t), g in zip(before, group, strict=True) if g == i}
+
+    taken = {r["doc_id"]: -(-r["taken"] // max(1, r["size"])) for r in mixing.mix(tables[3]).collect()}
+    assert Counter(r["doc_id"] for r in rows[4]) == Counter({i: n for i, n in taken.items() if n}) and all(r["text"] == text(3)[r["doc_id"]] for r in rows[4])
+
+    pieces = Counter()
+    for r in rows[4]:
+        ids = whole(r["text"])
+        pieces.update((r["doc_id"], k // 4096, len(ids[k : k + 4096]), crc(ids[k : k + 4096])) for k in range(0, len(ids), 4096))
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows[5]) == pieces
+    sequences = {}
+    for r in rows[5]:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in sequences.values():
+        ends = list(itertools.accumulate(n for _, n in sorted(s)))
+        assert [o for o, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert corpus_pipeline.run(spark, data).count() == len(rows[5])
+
+
+def test_stages_on_an_empty_table(spark, data):
+    import corpus_pipeline
+
+    none = spark.read.parquet(f"{data}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, data).count() == 0
